@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from sparkloom.llm import anchors
@@ -39,7 +40,7 @@ WIDTH = LEFT + LENGTH
 NO_ID = -(1 << 63)
 SEGMENTS = "h long, seg long, did long, th long, start long, count int, shift int, marked boolean"
 MARKS = "did long, th long, start long, count int"
-RESULT = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "did long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def spans(windows: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[in
 def _remover(keep_text: bool):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, marks in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+        for text, marks in zip(text_bytes(batch.column(2)), batch.column(3).to_pylist()):
             cut = spans([(m["start"], m["count"]) for m in marks]) if marks else []
             rest, at = [], 0
             for a, b in cut:
@@ -151,12 +152,12 @@ def _remover(keep_text: bool):
             kept = b"".join([*rest, text[at:]]) if cut else text
             rows.append((len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["did", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["did", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return per_slice(work)
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, key_columns: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also kept, the remaining bytes."""
     width = shuffle_width(docs.sparkSession)
     texts = keyed(docs)
@@ -176,9 +177,27 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     bodies = bodies.mapInArrow(per_slice(_cut_slice), "h long, did long, th long, start long, count int, shift int, body binary")
     found = bodies.repartition(width, "h").mapInArrow(_columnwise, MARKS)
     marks = met.where("marked").select("did", "th", "start", "count").unionByName(found).groupBy("did", "th").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
-    result = texts.join(marks.hint("shuffle_hash"), ["did", "th"], "left").select("did", "text", "marks").mapInArrow(_remover(keep_text), RESULT)
+    result = texts.join(marks.hint("shuffle_hash"), ["did", "th"], "left").select("did", "th", "text", "marks").mapInArrow(_remover(keep_text), RESULT)
     doc_id = F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id")
-    return result.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
+    return result.select(*(["did", "th"] if key_columns else []), doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with all their columns and repeated passages cut out of text; n_chars, where there is
+    one, follows.  A character of which a cut takes some bytes goes as a whole."""
+    keys = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    cut = remove_repeats(docs, keep_text=True, key_columns=True).where("n_removed > 0").select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("kept").alias("__kept"))
+    cut = cut.dropDuplicates(["__did", "__th"])
+    out = keys.join(cut, ["__did", "__th"], "left").withColumn("text", F.when(F.col("__kept").isNotNull(), whole_characters("__kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+@F.arrow_udf(StringType())
+def whole_characters(body: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in body.to_pylist()], pa.string())
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

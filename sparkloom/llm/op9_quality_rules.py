@@ -18,6 +18,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from sparkloom.llm.common import documents, id_and_text, per_slice, text_bytes
 
@@ -89,6 +90,12 @@ def ledger(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(per_slice(work), SCHEMA)
 
 
+@F.arrow_udf(LongType())
+def rule_bits(text: pa.Array) -> pa.Array:
+    """The ledger's failed_bits of a text column, for frames that keep their other columns."""
+    return pa.array([failed_bits(measure(t or b"")) for t in text_bytes(text)], pa.int64())
+
+
 def kept_by(policy: str) -> F.Column:
     return F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0
 

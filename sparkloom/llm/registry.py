@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from sparkloom.llm.op1_warc import op1_warc_derivatives
 from sparkloom.llm.op2_telephony import op2_telephony_audio
 from sparkloom.llm.op3_packing import op3_sum_of_squares_packing
 from sparkloom.llm.op4_lsh_forest import op4_lsh_forest
 from sparkloom.llm.op5_byte_bpe import op5_byte_bpe
+from sparkloom.llm.op6_factorisation import op6_factorisation_machine
 from sparkloom.llm.op7_suffix_dedup import op7_suffix_dedup
+from sparkloom.llm.op8_pseudonyms import op8_feistel_pseudonyms
 from sparkloom.llm.op9_quality_rules import OP9_SQL, op9_rule_ledger
+from sparkloom.llm.op10_bfd import op10_best_fit_decreasing
 
-QUERIES = {f.__name__: f for f in (op2_telephony_audio, op3_sum_of_squares_packing, op4_lsh_forest, op5_byte_bpe, op7_suffix_dedup, op9_rule_ledger)}
+_ALL = (
+    op1_warc_derivatives,
+    op2_telephony_audio,
+    op3_sum_of_squares_packing,
+    op4_lsh_forest,
+    op5_byte_bpe,
+    op6_factorisation_machine,
+    op7_suffix_dedup,
+    op8_feistel_pseudonyms,
+    op9_rule_ledger,
+    op10_best_fit_decreasing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op9_rule_ledger": OP9_SQL}
