@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "aggregates")
+MODULES = ("relational", "aggregates", "changelog")
 
 
 def _load():
