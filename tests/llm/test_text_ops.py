@@ -163,7 +163,7 @@ def test_dates_are_permuted(spark):
 
 
 def test_pseudonyms_in_texts(frame):
-    rows = [(1, "mail bo.42@mail8.example.com, and again bo.42@mail8.example.com."), (2, "so bo.42@mail8.example.com"), (3, None), (4, ""), (5, "nothing 12 here"), (6, "1.1.1.1"), (7, "x " * 20000 + "4785380592391139")]
+    rows = [(1, "mail bo.42@mail8.example.com, and again bo.42@mail8.example.com."), (2, "so bo.42@mail8.example.com"), (3, None), (4, ""), (5, "nothing 12 here"), (6, "1.1.1.1"), (7, "x " * 20000 + "4785380592391139"), (8, "12 4785380592391139 7 +1 (988) 555-2485 4785380592391139")]
     out = op8_pseudonyms.pseudonymised(frame(rows))
     got = by_id(out, "text")
     assert out.columns == frame(rows).columns and out.count() == len(rows)
@@ -172,6 +172,7 @@ def test_pseudonyms_in_texts(frame):
     assert one == f"mail {fresh}, and again {fresh}." and "bo.42" not in one
     assert got[3] == (None,) and got[4] == ("",) and got[5] == ("nothing 12 here",) and got[6] != ("1.1.1.1",)
     assert got[7][0].startswith("x " * 20000) and not got[7][0].endswith("4785380592391139")
+    assert "4785380592391139" not in got[8][0] and "555-2485" not in got[8][0] and got[8][0].startswith("12 ")
     assert op8_pseudonyms.pseudonymised(frame([])).count() == 0
 
 
