@@ -120,9 +120,9 @@ def breaker(t: Tables) -> DataFrame:
     return audit.breaker(audited(t), previous=15)
 
 
-@query(f"WITH {AUDIT} SELECT topic FROM (SELECT regexp_extract(source, '[0-9]+')::INT % 10 AS topic, reason FROM audit) GROUP BY 1 HAVING count(*) FILTER (WHERE reason = 'ACEPTADA') = 0")
+@query(f"WITH {AUDIT} SELECT topic FROM (SELECT regexp_extract(source, '[0-9]+')::INT % 20 AS topic, reason FROM audit) GROUP BY 1 HAVING count(*) FILTER (WHERE reason = 'ACEPTADA') = 0")
 def topics_without_sources(t: Tables) -> DataFrame:
-    topic = F.pmod(F.regexp_extract("source", "[0-9]+", 0).cast("int"), F.lit(10))
+    topic = F.pmod(F.regexp_extract("source", "[0-9]+", 0).cast("int"), F.lit(20))
     return audit.health(audited(t).withColumn("topic", topic), "topic").where("accepted = 0").select("topic")
 
 
