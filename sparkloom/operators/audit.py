@@ -102,3 +102,38 @@ def proposed(existing: DataFrame, candidates: DataFrame, blocked: list[str]) ->
     """New sources: useful ones, unknown, not blocked; they start inactive with a low weight."""
     fresh = candidates.where((F.col("useful") >= USEFUL) & F.col("url").rlike("^https?://") & ~F.col("host").isin(*blocked))
     return fresh.dropDuplicates(["url"]).join(existing.select("url"), "url", "left_anti").select("url", "host", F.lit(0.3).cast("double").alias("weight"), F.lit(False).alias("active"))
+
+
+def change_set(audit: DataFrame) -> DataFrame:
+    """What an audit (url, new_url, reason, licence, measured) asks to change.
+
+    A transient failure leaves activity and licence alone, a repair goes through all the same; a
+    licence is written only if it was measured, then also when it is gone (an empty text).
+    """
+    settled = ~F.col("reason").startswith(TRANSIENT)
+    rows = audit.select(
+        "url",
+        "new_url",
+        F.when(F.col("new_url").startswith("sitemap:"), "sitemap").alias("method"),
+        F.when(settled, F.col("reason") == ACCEPTED).alias("active"),
+        F.when(settled & F.col("measured"), F.coalesce("licence", F.lit(""))).alias("licence"),
+    )
+    return rows.where("new_url IS NOT NULL OR active IS NOT NULL OR licence IS NOT NULL")
+
+
+def podcasts(items: DataFrame, share: float = 0.5) -> DataFrame:
+    """Sources of whose first ten items at least half carry audio or video (items: source, nth, media_type)."""
+    media = F.coalesce(F.lower(F.trim("media_type")).rlike("^(audio|video)/"), F.lit(False))
+    return items.where(F.col("nth") <= SAMPLE).groupBy("source").agg((F.count_if(media) >= share * F.count("*")).alias("is_podcast"))
+
+
+def content_errors(cards: DataFrame, rubrics: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, error) of study content: cards(id, answer, source, reference), rubrics(id, criteria), sources(name, method, weight)."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    card = cards.select("id", F.array_compact(F.array(F.when(empty("source") | empty("reference"), "no source"), F.when(F.length(F.coalesce("answer", F.lit(""))) < 40, "answer too short"))).alias("e"))
+    twice = cards.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.array(F.lit("duplicate id")).alias("e"))
+    rubric = rubrics.where(F.coalesce(F.size("criteria"), F.lit(0)) < 4).select("id", F.array(F.lit("fewer than four criteria")).alias("e"))
+    source = sources.select(F.col("name").alias("id"), F.array_compact(F.array(F.when(~F.col("method").isin("rss", "scrape", "api", "email"), "unknown method"), F.when(~F.col("weight").between(0, 1), "weight out of range"))).alias("e"))
+    same = sources.groupBy(F.col("name").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id", F.array(F.lit("duplicate source")).alias("e"))
+    whole = card.unionByName(twice).unionByName(rubric).unionByName(source).unionByName(same)
+    return whole.select("id", F.explode("e").alias("error"))

@@ -133,3 +133,11 @@ def assigned(units_: list[dict], followed: list[str], before: dict[str, str] | N
         if best:
             take(s, best)
     return {s: out.get(s, s) for s in mine}
+
+
+def scenarios(exercises: DataFrame, notes: DataFrame) -> DataFrame:
+    """exercises(id, template), notes(exercise_id, note_id, body, hlc): whether any note differs from its
+    template, and the note to open - the latest written one, else the latest."""
+    j = exercises.join(notes.withColumnRenamed("exercise_id", "id"), "id", "left")
+    solved = F.coalesce(F.trim("body") != F.trim("template"), F.lit(False)) & (F.coalesce(F.trim("body"), F.lit("")) != "")
+    return j.groupBy("id").agg(F.max_by("note_id", F.struct(solved, F.col("hlc"))).alias("note_id"), F.max(solved).alias("solved"))

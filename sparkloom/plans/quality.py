@@ -204,3 +204,38 @@ def compare_multiset(t: Tables) -> DataFrame:
     first = flags.groupBy("l_returnflag").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("x")).select("l_returnflag", "x.*")
     fewer = flags.join(F.broadcast(first), ["l_returnflag", "l_orderkey", "l_linenumber"], "left_anti").select("l_returnflag")  # a row per flag
     return compare.multiset_difference(flags.select("l_returnflag"), fewer).select(F.get("key", F.lit(0)).alias("flag"), "n_expected", "n_got")
+
+
+@query("""WITH a AS (SELECT 'f' || s_suppkey AS url, CASE WHEN s_suppkey % 10 = 0 THEN 'sitemap:' || s_suppkey WHEN s_suppkey % 7 = 0 THEN 'g' || s_suppkey END AS new_url,
+CASE s_suppkey % 3 WHEN 0 THEN 'ACEPTADA' WHEN 1 THEN 'TRANSITORIO p9' ELSE 'p3 utiles' END AS reason, CASE WHEN s_suppkey % 4 = 0 THEN 'cc' END AS licence, s_suppkey % 5 <> 0 AS measured FROM supplier),
+c AS (SELECT url, new_url, CASE WHEN new_url LIKE 'sitemap:%' THEN 'sitemap' END AS method, CASE WHEN reason NOT LIKE 'TRANSITORIO%' THEN reason = 'ACEPTADA' END AS active, CASE WHEN reason NOT LIKE 'TRANSITORIO%' AND measured THEN coalesce(licence, '') END AS licence FROM a)
+SELECT * FROM c WHERE new_url IS NOT NULL OR active IS NOT NULL OR licence IS NOT NULL""")
+def change_set(t: Tables) -> DataFrame:
+    """The changes that an audit asks for."""
+    k = F.col("s_suppkey")
+    key = k.cast("string")
+    rows = t.supplier.select(
+        F.concat(F.lit("f"), key).alias("url"),
+        F.when(k % 10 == 0, F.concat(F.lit("sitemap:"), key)).when(k % 7 == 0, F.concat(F.lit("g"), key)).alias("new_url"),
+        F.when(k % 3 == 0, audit.ACCEPTED).when(k % 3 == 1, "TRANSITORIO p9").otherwise("p3 utiles").alias("reason"),
+        F.when(k % 4 == 0, "cc").alias("licence"),
+        (k % 5 != 0).alias("measured"),
+    )
+    return audit.change_set(rows)
+
+
+@query("SELECT source, count(*) FILTER (WHERE doc_id % 4 < 2) >= 0.5 * count(*) AS is_podcast FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 10 GROUP BY 1")
+def podcast_rule(t: Tables) -> DataFrame:
+    w = Window.partitionBy("source").orderBy("doc_id")
+    media = F.when(F.pmod("doc_id", F.lit(4)) < 2, " Audio/mpeg").otherwise("text/html")
+    return audit.podcasts(t.documents.select("source", F.row_number().over(w).alias("nth"), media.alias("media_type")))
+
+
+@query("""SELECT 'd' || doc_id AS id, 'answer too short' AS error FROM documents WHERE length(text) < 40 UNION ALL SELECT 'd' || doc_id, 'no source' FROM documents WHERE doc_id % 50 = 7
+UNION ALL SELECT 'c' || conv_id, 'fewer than four criteria' FROM conversations GROUP BY conv_id HAVING count(*) < 4 UNION ALL SELECT s_name, 'weight out of range' FROM supplier WHERE s_acctbal / 5000 NOT BETWEEN 0 AND 1""")
+def content_validation(t: Tables) -> DataFrame:
+    """What is wrong with study content, as (id, error)."""
+    cards = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("answer"), F.when(F.pmod("doc_id", F.lit(50)) != 7, F.col("source")).alias("source"), F.lit("p. 1").alias("reference"))
+    rubrics = t.conversations.groupBy("conv_id").agg(F.collect_list("turn").alias("criteria")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), "criteria")
+    sources = t.supplier.select(F.col("s_name").alias("name"), F.lit("rss").alias("method"), (F.col("s_acctbal") / 5000).alias("weight"))
+    return audit.content_errors(cards, rubrics, sources)

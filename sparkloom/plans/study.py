@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions import dates
 from sparkloom.operators import study
 from sparkloom.plans.registry import query
 from sparkloom.tables import Tables
@@ -208,3 +209,40 @@ def article_list(t: Tables) -> DataFrame:
 def annotations_nulls_last(t: Tables) -> DataFrame:
     page = F.when(F.pmod("turn", F.lit(3)) != 0, F.col("turn"))
     return t.conversations.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_last(page), "turn")).cast("bigint").alias("place"))
+
+
+@query("SELECT year(o_orderdate)::INT AS year, 'T' || (month(o_orderdate) + 2) // 3 AS quarter, count(*) AS n, round(sum(o_totalprice), 2) AS cost FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2")
+def artefacts_by_quarter(t: Tables) -> DataFrame:
+    """Finished work per quarter, with what it cost."""
+    d = F.col("o_orderdate").cast("date")
+    return t.orders.where("o_orderstatus = 'F'").groupBy(F.year(d).alias("year"), dates.quarter_label(d).alias("quarter")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("cost"))
+
+
+@query(f"WITH {CLOSED} SELECT user_id, kind, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY start DESC, event_id) AS k FROM closed WHERE valid) WHERE k <= 3")
+def recent_sessions(t: Tables) -> DataFrame:
+    w = Window.partitionBy("user_id", "kind").orderBy(F.desc("start"), "event_id")
+    return sessions(t).where("valid").withColumn("k", F.row_number().over(w)).where("k <= 3").select("user_id", "kind", "event_id")
+
+
+@query("SELECT conv_id, min(turn) AS first_turn, count(*) AS n, max(length(text)) AS longest FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) > 1")
+def note_list(t: Tables) -> DataFrame:
+    return t.conversations.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"), F.max(F.length("text")).cast("bigint").alias("longest")).where("n > 1")
+
+
+@query("SELECT item_id, length(text) AS n FROM benchmark WHERE length(text) > 100 ORDER BY item_id LIMIT 20")
+def manual_uploads(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id", F.length("text").cast("bigint").alias("n")).where("n > 100").orderBy("item_id").limit(20)
+
+
+@query("""SELECT c.conv_id, max(c.turn) FILTER (WHERE length(c.text) > 200) IS NOT NULL AS solved, arg_max(c.turn, (length(c.text) > 200, c.turn)) AS note_id FROM conversations c GROUP BY 1""")
+def scenario_solved(t: Tables) -> DataFrame:
+    """Scenarios whose note is more than its template: here a template is a text of at most 200 characters."""
+    exercises = t.conversations.select(F.col("conv_id").alias("id"), F.lit("template").alias("template")).distinct()
+    body = F.when(F.length("text") > 200, F.col("text")).otherwise("template")
+    notes = t.conversations.select(F.col("conv_id").alias("exercise_id"), F.col("turn").alias("note_id"), body.alias("body"), F.lpad(F.col("turn").cast("string"), 12, "0").alias("hlc"))
+    return study.scenarios(exercises, notes).select(F.col("id").alias("conv_id"), "solved", "note_id")
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_id % 3 = 0")
+def unsent_count(t: Tables) -> DataFrame:
+    return t.events.where("event_id % 3 = 0").agg(F.count("*").alias("n"))
