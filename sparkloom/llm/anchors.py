@@ -66,6 +66,15 @@ def grams(data: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(32))
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hash of the WINDOW bytes at each start."""
+    power, inverse = _powers(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, _U)
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTE[data] * power[: len(data)], out=prefix[1:])
+        return splitmix((prefix[starts + WINDOW] - prefix[starts]) * inverse[starts])
+
+
 def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """Segments of concatenated documents; ``ends`` are the documents' ends in ``data``.
 

@@ -9,7 +9,9 @@
 3. Those segments' bytes, aligned at the anchor, are the collection of a column-wise
    Burrows-Wheeler construction (see ``columnwise``): one symbol per segment and round, with
    common prefixes.  Windows whose common prefix with an earlier segment reaches 100 bytes are
-   marked.
+   marked.  An anchor with more than ``HOT`` different segments (the edge of a passage that a
+   large part of all rows holds) would be one task's: its segments are taken apart into single
+   windows, which meet by their content and, like segments, as a few rows per slice.
 4. Marked windows are joined to their texts, merged and cut out.
 
 Matches never cross texts, all of them are judged on the input, and overlaps count.  Order is
@@ -37,7 +39,9 @@ from sparkloom.llm.common import documents, id_and_text, joined, per_slice, shuf
 LENGTH = anchors.WINDOW
 LEFT = anchors.SPAN - 1  # most bytes of a window before its anchor
 WIDTH = LEFT + LENGTH
+HOT = 1000
 NO_ID = -(1 << 63)
+SEGMENT, LONE, MARKED = 0, 1, 2  # kinds of rows that meet in step 3
 SEGMENTS = "h long, seg long, did long, th long, start long, count int, shift int, marked boolean"
 MARKS = "did long, th long, start long, count int"
 RESULT = "did long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -87,29 +91,74 @@ def _anchor_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in cols.values()], names=list(cols))
 
 
-def _cut_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(did, th, text, wanted: [(h, start, count, shift)]) -> one row per wanted segment, with its bytes."""
-    rows = []
+def _cut_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """(did, th, text, wanted: [(h, start, count, shift, hot)]) -> a row per segment with its bytes; of hot
+    segments a row per window, the first of equal ones in the slice, and marks for the others."""
+    rows, hot, bodies = [], [], []
     for did, th, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()):
-        rows += [(w["h"], did, th, w["start"], w["count"], w["shift"], text[w["start"] : w["start"] + w["count"] - 1 + LENGTH]) for w in wanted]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "did", "th", "start", "count", "shift", "body"])
+        for w in wanted:
+            body = text[w["start"] : w["start"] + w["count"] - 1 + LENGTH]
+            if w["hot"]:
+                hot.append((w["h"], did, th, w["start"], w["count"]))
+                bodies.append(body)
+            else:
+                rows.append((w["h"], did, th, w["start"], w["count"], w["shift"], body, SEGMENT))
+    if hot:
+        data, ends = joined(bodies)
+        gram, did, th, start, count = (np.array(x, np.int64) for x in zip(*hot))
+        owner = np.repeat(np.arange(len(hot)), count)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        begins = ends - (count - 1 + LENGTH)
+        key = (anchors.window_hashes(data, begins[owner] + at) ^ anchors.splitmix(gram[owner])).view(np.int64)
+        did, th, start = did[owner], th[owner], start[owner] + at
+        order = np.lexsort((start, did, key))
+        head = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        first = np.repeat(order[head], np.diff(np.append(head, len(order))))
+        late = order[(did[order] != did[first]) | (start[order] != start[first])]
+        rows += [(int(key[k]), int(did[k]), int(th[k]), int(start[k]), 1, 0, None, LONE) for k in order[head].tolist()]
+        rows += [(int(anchors.splitmix(th[k : k + 1])[0].view(np.int64)), int(did[k]), int(th[k]), int(start[k]), 1, 0, None, MARKED) for k in late.tolist()]
+    if not rows:
+        return None
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "did", "th", "start", "count", "shift", "body", "kind"])
+
+
+CUT = "h long, did long, th long, start long, count int, shift int, body binary, kind int"
+
+
+def _marks(did: np.ndarray, th: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(did), 50_000):
+        b = slice(a, a + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(did[b]), pa.array(th[b]), pa.array(start[b]), pa.array(count[b].astype(np.int32))], names=["did", "th", "start", "count"])
 
 
 def _columnwise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All segments of a task as one collection; yields the marked windows."""
-    columns, kept = Columns(WIDTH), []
+    columns, kept, lone = Columns(WIDTH), [], []
     for batch in batches:
-        if not batch.num_rows:
+        kind = batch.column(7).to_numpy() if batch.num_rows else np.empty(0)
+        if len(at := np.flatnonzero(kind == MARKED)):
+            yield from _marks(*(batch.column(k).to_numpy()[at] for k in (1, 2, 3, 4)))
+        if len(at := np.flatnonzero(kind == LONE)):
+            lone.append([batch.column(k).to_numpy()[at] for k in (0, 1, 2, 3)])
+        part = batch.filter(pa.array(kind == SEGMENT))
+        if not part.num_rows:
             continue
-        start, shift = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-        data, ends = joined(batch.column(6).to_pylist())
+        start, shift = part.column(3).to_numpy(), part.column(5).to_numpy()
+        data, ends = joined(part.column(6).to_pylist())
         size = np.diff(np.append(0, ends))
-        matrix = np.zeros((batch.num_rows, WIDTH), np.uint16)
-        row = np.repeat(np.arange(batch.num_rows), size)
+        matrix = np.zeros((part.num_rows, WIDTH), np.uint16)
+        row = np.repeat(np.arange(part.num_rows), size)
         matrix[row, np.arange(len(data)) - np.repeat(ends - size, size) + np.repeat(LEFT - shift, size)] = data.astype(np.uint16) + 1
         columns.add(matrix)
-        kept.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), start + shift))
+        kept.append((part.column(1).to_numpy(), part.column(2).to_numpy(), start + shift))
+    if lone:
+        key, did, th, start = (np.concatenate(x) for x in zip(*lone))
+        order = np.lexsort((start, did, key))
+        head = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        first = np.repeat(order[head], np.diff(np.append(head, len(order))))
+        late = order[(did[order] != did[first]) | (start[order] != start[first])]
+        yield from _marks(did[late], th[late], start[late], np.ones(len(late), np.int64))
     if not columns.rows:
         return
     did, th, anchor = (np.concatenate(x) for x in zip(*kept))
@@ -123,9 +172,7 @@ def _columnwise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.unpackbits(found[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     at, offset = np.nonzero(bits)
     row, begin, count = _runs(hit[at], anchor[hit[at]] - LEFT + offset, np.ones(len(at), np.int64))
-    for a in range(0, len(row), 50_000):
-        b = slice(a, a + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(did[row[b]]), pa.array(th[row[b]]), pa.array(begin[b]), pa.array(count[b].astype(np.int32))], names=["did", "th", "start", "count"])
+    yield from _marks(did[row], th[row], begin, count)
 
 
 def spans(windows: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -157,7 +204,7 @@ def _remover(keep_text: bool):
     return per_slice(work)
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, key_columns: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, key_columns: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also kept, the remaining bytes."""
     width = shuffle_width(docs.sparkSession)
     texts = keyed(docs)
@@ -168,13 +215,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, key_columns: bool =
         F.rank().over(Window.partitionBy("h", "seg").orderBy("did", "start")).alias("nth"),
         (F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor)).alias("several"),
     )
-    met = met.select("h", "did", "th", "start", "count", "shift", (F.col("marked") | (F.col("nth") > 1)).alias("marked"), "several")
+    met = met.withColumn("hot", F.count_if(F.col("nth") == 1).over(by_anchor) > hot)
+    met = met.select("h", "did", "th", "start", "count", "shift", (F.col("marked") | (F.col("nth") > 1)).alias("marked"), "several", "hot")
     met = written(met.where("marked OR several"), "segments")
 
     texts = texts.repartition(width, "did", "th")
-    wanted = met.where("NOT marked").groupBy("did", "th").agg(F.collect_set(F.struct("h", "start", "count", "shift")).alias("wanted"))
+    wanted = met.where("NOT marked").groupBy("did", "th").agg(F.collect_set(F.struct("h", "start", "count", "shift", "hot")).alias("wanted"))
     bodies = texts.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "wanted")
-    bodies = bodies.mapInArrow(per_slice(_cut_slice), "h long, did long, th long, start long, count int, shift int, body binary")
+    bodies = bodies.mapInArrow(per_slice(_cut_slice, 8 << 20), CUT)
     found = bodies.repartition(width, "h").mapInArrow(_columnwise, MARKS)
     marks = met.where("marked").select("did", "th", "start", "count").unionByName(found).groupBy("did", "th").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
     result = texts.join(marks.hint("shuffle_hash"), ["did", "th"], "left").select("did", "th", "text", "marks").mapInArrow(_remover(keep_text), RESULT)
