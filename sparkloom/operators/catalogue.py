@@ -58,22 +58,27 @@ def any_word(column: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (text.has_word(text.folded(column), t) for t in terms))
 
 
-def _grams(words: Column) -> Column:
-    """Words and pairs of neighbouring words."""
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.contains(" "))))
+_NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
-def _tokens(column: Column) -> Column:
-    return F.filter(F.split(text.folded(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+def _parts(column: Column, pairs: bool) -> Column:
+    """Folded words of a text; with ``pairs`` also neighbouring words together."""
+    words = F.split(text.folded(column), _NOT_WORD)
+    if not pairs:
+        return words
+    both = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(words, both)
 
 
-def topic_scores(items: DataFrame, terms: DataFrame, concepts: list[tuple[str, str]] = CONCEPTS) -> DataFrame:
-    """(idx, topic, score, strong): a term in the title counts once and a half, and then not in the abstract."""
-    in_title, in_abstract = _grams(_tokens(F.col("title"))), _grams(_tokens(F.col("abstract")))
-    only_abstract = F.array_except(in_abstract, in_title)
-    hits = items.select("idx", F.explode(F.concat(F.transform(in_title, lambda w: F.struct(w.alias("term"), F.lit(TITLE).alias("f"))), F.transform(only_abstract, lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("f"))))).alias("h"))
-    hits = hits.select("idx", "h.term", F.col("h.f").cast("double").alias("f")).join(F.broadcast(terms), "term")  # an authored table
+def topic_scores(items: DataFrame, terms: DataFrame, concepts: list[tuple[str, str]] = CONCEPTS, pairs: bool = False) -> DataFrame:
+    """(idx, topic, score, strong): a term in the title counts once and a half, and then not in the abstract.
+
+    ``pairs`` is for vocabularies with terms of two words.  Words are looked up as they are split
+    off, in generated code, and only hits go on.
+    """
+    sides = F.explode(F.array(F.struct(F.col("title").alias("t"), F.lit(TITLE).alias("f")), F.struct(F.col("abstract").alias("t"), F.lit(1.0).alias("f")))).alias("s")
+    words = items.select("idx", sides).select("idx", F.col("s.f").cast("double").alias("f"), F.explode(_parts(F.coalesce("s.t", F.lit("")), pairs)).alias("term"))
+    hits = words.join(F.broadcast(terms), "term").groupBy("idx", "topic", "term", "strong").agg(F.max("f").alias("f"))  # an authored table
     scored = hits.select("idx", "topic", (F.when(F.col("strong"), F.lit(STRONG)).otherwise(F.lit(WEAK)).cast("double") * F.col("f")).alias("p"), "strong")
     named = items.sparkSession.createDataFrame(concepts, "topic string, concept string")
     extra = items.select("idx", F.explode("concepts").alias("concept")).distinct().join(F.broadcast(named), "concept").select("idx", "topic", F.lit(CONCEPT).cast("double").alias("p"), F.lit(True).alias("strong"))

@@ -148,7 +148,7 @@ def test_topic_scores(spark):
 def test_terms_of_two_words(spark):
     words = catalogue.vocabulary(spark, [("health", "public health", "strong")])
     items = spark.createDataFrame([item(1, title="Public Health now"), item(2, title="public", abstract="health"), item(3, title="x", abstract="on public health")], ITEM)
-    assert {(r.idx, r.score) for r in catalogue.topic_scores(items, words, []).collect()} == {(1, 1.5), (3, 1.0)}
+    assert {(r.idx, r.score) for r in catalogue.topic_scores(items, words, [], pairs=True).collect()} == {(1, 1.5), (3, 1.0)}
 
 
 def test_best_copy_and_sources(spark):
