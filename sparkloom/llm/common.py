@@ -33,22 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that written() made in this process; results that were not saved yet can't be read after it."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(*frames: DataFrame) -> None:
-    """Deletes tables made by written(), once nothing reads them any more."""
-    for df in frames:
-        for file in df.inputFiles()[:1]:
-            jvm = df.sparkSession._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if folder.getName().startswith("loom-"):
-                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+def forget(df: DataFrame) -> None:
+    """Deletes one table that written() made, once nothing reads it any more."""
+    for file in df.inputFiles()[:1]:
+        path = next((p for p in _MADE if p.rpartition("/")[2] in file), None)
+        if path:
+            _MADE.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
