@@ -53,8 +53,9 @@ def test_near_duplicates_edge_rows(spark, frame):
     assert op4_lsh_forest.near_duplicates(frame([])).count() == 0
     rows = op4_lsh_forest.near_duplicates(frame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, None), (None, "")])).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in rows) == [("5", 2, "5", True), ("5", 2, "5", True), ("None", 0, "None", True), ("None", 0, "None", True), ("None", 2, "5", False)]
-    kept = op4_lsh_forest.one_of_each(frame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y"), (3, "x y"), (4, ""), (None, "q")])).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "None"]
+    kept = op4_lsh_forest.one_of_each(frame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y"), (3, "x y"), (3, "z z"), (4, ""), (None, "q"), (None, "r"), (None, "q"), (5, "q")])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", "a b c d e f"), ("3", "x y"), ("3", "z z"), ("4", ""), ("5", "q"), ("None", "r")]
+    assert kept[0].node == "clash"
 
 
 def test_likely_links_join_dense_regions():
