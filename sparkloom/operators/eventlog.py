@@ -1,8 +1,8 @@
 """The append-only change log: order, merge, conflicts, projection.
 
 A log row is (id, hlc, device, entity, entity_id, kind, payload): kind is crea, aggiorna or
-elimina, payload is a JSON object as text.  The order is (hlc, id).  Everything is expressed as
-one shuffle by entity: ``max_by`` of ordered structs, never a sort of collected rows.
+elimina, payload is a JSON object as text.  The order is (hlc, id); folds are ``max_by`` over
+it, which combine before the shuffle, never a sort of collected rows.
 """
 
 from __future__ import annotations
@@ -78,18 +78,21 @@ def projected(log: DataFrame) -> DataFrame:
     """Per living entity: fields (a map; explicit nulls stay), hlc of its last event.
 
     A deletion forgets all that came before; a later write brings the entity back with only what
-    was written since.  Unreadable payloads are skipped.  One shuffle by entity, and the fields'
-    latest values are found by a partial ``max_by`` before it.
+    was written since.  Unreadable payloads are skipped.
+
+    A field's latest write settles it: if even that is not later than the entity's last deletion,
+    no other is.  So every task reduces its events to one row per entity and field before
+    anything is shuffled, and an entity with very many events is no task's burden.
     """
-    written = fields(F.col("payload"))
-    rows = log.select(*KEY, position().alias("at"), (F.col("kind") == DELETE).alias("gone"), F.col("device"), written.alias("fields"))
-    by = Window.partitionBy(*KEY)
-    rows = rows.withColumn("last_gone", F.max(F.when(F.col("gone"), F.col("at"))).over(by))
-    live = rows.where("NOT gone AND fields IS NOT NULL AND (last_gone IS NULL OR at > last_gone)")
-    pairs = live.select(*KEY, "at", F.explode_outer(F.map_entries("fields")).alias("e"))
-    latest = pairs.groupBy(*KEY, F.col("e.key").alias("field")).agg(F.max_by("e.value", "at").alias("value"), F.max("at").alias("at"))
-    entry = F.when(F.col("field").isNotNull(), F.struct("field", "value"))
-    return latest.groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("fields"), F.max("at.hlc").alias("hlc"))
+    gone = F.col("kind") == DELETE
+    rows = log.select(*KEY, position().alias("at"), gone.alias("gone"), F.map_entries(fields(F.col("payload"))).alias("entries"))
+    rows = rows.where("gone OR entries IS NOT NULL")
+    pairs = rows.select(*KEY, "at", "gone", F.explode_outer(F.when(~F.col("gone"), F.col("entries"))).alias("e"))
+    latest = pairs.groupBy(*KEY, "gone", F.col("e.key").alias("field")).agg(F.max_by("e.value", "at").alias("value"), F.max("at").alias("at"))
+    entity = latest.groupBy(*KEY).agg(F.max(F.when(F.col("gone"), F.col("at"))).alias("last"), F.collect_list(F.when(~F.col("gone"), F.struct("field", "value", "at"))).alias("writes"))
+    live = entity.withColumn("live", F.filter("writes", lambda w: F.col("last").isNull() | (w["at"] > F.col("last")))).where(F.size("live") > 0)
+    named = F.transform(F.filter("live", lambda w: w["field"].isNotNull()), lambda w: F.struct(w["field"].alias("field"), w["value"].alias("value")))
+    return live.select(*KEY, F.map_from_entries(F.sort_array(named)).alias("fields"), F.array_max(F.transform("live", lambda w: w["at"]["hlc"])).alias("hlc"))
 
 
 def materialised(states: DataFrame, schema: StructType, required: list[str]) -> tuple[DataFrame, DataFrame]:
