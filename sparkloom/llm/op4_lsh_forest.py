@@ -2,20 +2,23 @@
 
 1. Texts with equal shingle sets form a class; one row per class goes on.
 2. The forest holds each class's MinHash values in ``TREES`` sorted orders of ``DEPTH`` values.
-   Classes whose first ``BASE`` values in an order agree are a region.  A region of at most
-   ``REGION`` classes is compared through the whole sketches; a larger one is split by its next
-   value, again and again, so that depth follows density, and neighbours by longest common prefix
-   across a split are compared as well.  A region hands on a spanning forest of its likely links,
-   never all pairs.  A region of more than ``HOT`` classes (near copies of one text) is dealt out
-   in blocks of about that size, and one class of each block stands for it in a region of its own.
+   Classes whose first ``BASE`` values in an order agree are a region.  All its pairs that are not
+   yet connected are compared through the whole sketches; it hands on a spanning forest of its
+   likely links, never all pairs.  A region of more than ``HOT`` classes is dealt out in blocks of
+   about that size, and one class of each block stands for it in a region of its own, which joins
+   near copies of one text; there alone more than ``REGION`` classes are split by their next values.
+   Then all that is outside the region's largest group is compared with every block.  Where a
+   region's texts are no near copies (they share a long template), that is all its pairs: the work
+   grows with the square of the region.
 3. Components of the likely links are clusters.  Within a cluster all links are confirmed on
    the full shingle sets; a pair that is already connected needs no test.  A cluster beyond
    ``CLUSTER`` classes is dealt out in blocks.  Then whatever its blocks did not connect is
    compared with all blocks: first one class of each block's largest group and all outside it, then
    all that is still outside the cluster's largest group and has not been compared.
 
-A link of similarity 0.75 or more shares a region in an order with probability 0.42, so it is
-missed by all 24 orders about once in 500,000; links below are never made.
+A link of similarity 0.75 shares a region in an order with probability 0.42, whatever the size of
+the region, so it is missed by all 24 orders about once in 500,000, and its sketches agree too
+seldom about once in 250,000; stronger links are missed more rarely, links below are never made.
 
 Shingles follow the query's contract.  Null and empty texts have an empty set and are linked
 with nothing.  Rows with a null doc_id count as the largest id (their component_id is null if
@@ -47,6 +50,7 @@ CLUSTER_SHINGLES = 4_000_000
 PERCENT = 75
 LIKELY = int(SIZE * 0.585)  # 0.75 less 4.6 standard deviations of the estimate
 NO_ID = (1 << 63) - 1
+COLD, STAND_INS = -1, -2  # blocks: a region that is not dealt out; those who stand for blocks
 SKETCH = "did long, th long, n_shingles long, node binary, sketch binary"
 
 
@@ -95,12 +99,14 @@ class Groups:
 
 def likely_links(values: np.ndarray, deep: np.ndarray, most: int = REGION, bits: int = 16 * (DEPTH - BASE)) -> list[tuple[int, int]]:
     """A spanning forest of the likely links of a region, whose rows are sorted by ``deep``."""
-    groups, links = Groups(len(values)), []
+    group, links = np.arange(len(values)), []
 
     def test(i: int, others: np.ndarray) -> None:
+        others = others[group[others] != group[i]]
         near = others[np.count_nonzero(values[others] == values[i], axis=1) >= LIKELY]
         for j in near.tolist():
-            if groups.join(i, j):
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
                 links.append((i, j))
 
     def part(lo: int, hi: int, left: int) -> None:
@@ -136,7 +142,7 @@ def _region_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if np.count_nonzero(values[a] == values[a + 1]) >= LIKELY:
                     out.add((max(nodes[a], nodes[a + 1]), min(nodes[a], nodes[a + 1])))
             elif b - a > 2:
-                for i, j in likely_links(values[a:b], deep[a:b]):
+                for i, j in likely_links(values[a:b], deep[a:b], REGION if block[a] == STAND_INS else b - a):
                     out.add((max(nodes[a + i], nodes[a + j]), min(nodes[a + i], nodes[a + j])))
         if not out:
             return None
@@ -270,6 +276,88 @@ def _join_blocks(members: DataFrame, links: DataFrame, width: int) -> DataFrame:
     return links
 
 
+def _visits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, block, visits, home, asked, owner, node, sketch) sorted by the first three -> likely links (a, b).
+
+    Of a block come its own rows, then the visitors: asked rows of the region's other blocks.  Each is
+    compared with the block's own rows of other owners; of two asked rows only one visits the other.
+    """
+    at, own, up, ready = None, [], {}, False
+
+    def find(x: bytes) -> bytes:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_pylist() for k in range(8)]
+        out = []
+        for key, block, visits, home, asked, owner, node, sketch in zip(*cols):
+            if at != (key, block):
+                at, own, up, ready = (key, block), [], {}, False
+            if not visits:
+                own.append((asked, owner, node, sketch))
+                continue
+            if not ready:
+                nodes = [x[2] for x in own]
+                held = np.array([x[0] for x in own], bool)
+                owners = np.array([*(x[1] for x in own), None], object)[:-1]
+                values = np.frombuffer(b"".join(x[3] for x in own), np.uint16).reshape(-1, SIZE)
+                ready = True
+            mine = find(owner)
+            wanted = owners != mine
+            if home < block:
+                wanted &= ~held
+            others = np.flatnonzero(wanted)
+            if not len(others):
+                continue
+            of = values if len(others) == len(values) else values[others]
+            near = others[np.count_nonzero(of == np.frombuffer(sketch, np.uint16), axis=1) >= LIKELY]
+            for j in near.tolist():
+                if owners[j] != mine:
+                    out.append((node, nodes[j]))
+                    up[owners[j]] = mine
+                    owners[owners == owners[j]] = mine
+        if out:
+            x, y = zip(*local_stars(out))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+
+
+def _join_regions(dealt: DataFrame, sketches: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """The components ``roots`` after all pairs of regions (key, block, node) that are dealt out; see step 2."""
+    named = dealt.join(roots, "node", "left").select("key", "block", "node", F.coalesce("root", "node").alias("owner"))
+    named = written(named, "regions")
+    largest = _largest(named.groupBy("key", F.col("owner").alias("root")).agg(F.count("*").alias("size")), ["key"])
+    asked = named.join(largest, "key").select("key", "block", "node", "owner", (F.col("owner") != F.col("largest")).alias("asked"))
+    asked = written(asked, "asked")
+    if asked.where("asked").isEmpty():
+        return roots
+    blocks = dealt.groupBy("key").agg(F.max("block").alias("last"))
+    rows = asked.select("key", "block", F.lit(False).alias("visits"), F.col("block").alias("home"), "asked", "owner", "node")
+    out = asked.where("asked").join(blocks, "key").select("key", F.explode(F.sequence(F.lit(0), "last")).alias("to"), F.lit(True).alias("visits"), F.col("block").alias("home"), "asked", "owner", "node")
+    rows = rows.unionByName(out.withColumnRenamed("to", "block").where("home <> block")).join(sketches, "node")
+    rows = rows.select("key", "block", "visits", "home", "asked", "owner", "node", "sketch").repartition(width, "key", "block").sortWithinPartitions("key", "block", "visits")
+    links = rows.mapInArrow(_visits, "a binary, b binary")
+    return components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def likely_roots(classes: DataFrame, width: int, hot: int = HOT) -> DataFrame:
+    """(node, root) of the components of likely links between classes (node, sketch)."""
+    forest = classes.select("node", "sketch").mapInArrow(_tree_rows, "key long, deep long, node binary").repartition(width, "key")
+    forest = forest.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    block = F.when(F.col("n") > hot, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(hot))).cast("int")).otherwise(F.lit(COLD))
+    forest = forest.select("key", block.alias("block"), "deep", "node")
+    first = forest.where("block >= 0").groupBy("key", "block").agg(F.min(F.struct("deep", "node")).alias("f")).select("key", F.lit(STAND_INS).alias("block"), "f.deep", "f.node")
+    forest = written(forest.unionByName(first), "forest")
+    rows = forest.join(classes.select("node", "sketch"), "node").select("key", "deep", "node", "sketch", "block")
+    likely = rows.repartition(width, "key", "block").sortWithinPartitions("key", "block", "deep", "node").mapInArrow(_region_links, "a binary, b binary")
+    roots = components(likely)
+    dealt = forest.where("block >= 0").select("key", "block", "node")
+    return roots if dealt.isEmpty() else _join_regions(dealt, classes.select("node", "sketch"), roots, width)
+
+
 def near_duplicates(docs: DataFrame, cluster: int = CLUSTER, cluster_shingles: int = CLUSTER_SHINGLES, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; see the module's docstring."""
     result = _grouped(docs, cluster, cluster_shingles, hot)
@@ -304,14 +392,7 @@ def _grouped(docs: DataFrame, cluster: int = CLUSTER, cluster_shingles: int = CL
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("did", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = written(classes.select("node", "rep.did", "rep.th", "n_shingles", "sketch"), "classes")
 
-    forest = classes.select("node", "sketch").mapInArrow(_tree_rows, "key long, deep long, node binary").repartition(width, "key")
-    forest = forest.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    block = F.when(F.col("n") > hot, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(hot))).cast("int")).otherwise(F.lit(-1))
-    forest = forest.select("key", block.alias("block"), "deep", "node")
-    first = forest.where("block >= 0").groupBy("key", "block").agg(F.min(F.struct("deep", "node")).alias("f")).select("key", F.lit(-2).alias("block"), "f.deep", "f.node")
-    forest = written(forest.unionByName(first), "forest").join(classes.select("node", "sketch"), "node").select("key", "deep", "node", "sketch", "block")
-    likely = forest.repartition(width, "key", "block").sortWithinPartitions("key", "block", "deep", "node").mapInArrow(_region_links, "a binary, b binary")
-    roots = components(likely)
+    roots = likely_roots(classes, width, hot)
     clusters = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
     members = clusters.join(classes, "node").select("node", F.col("root").alias("cluster"), "did", "th", "n_shingles", "sketch")

@@ -70,6 +70,21 @@ def test_likely_links_join_dense_regions():
     assert len(links) <= 699 and len({groups.find(k) for k in range(700)}) == 1
 
 
+@pytest.mark.parametrize("hot", [8, 32, 1024])
+def test_pairs_of_a_shared_template_are_found_whatever_the_blocks(spark, hot):
+    draw = np.random.default_rng(5)
+    size, depth, base = op4_lsh_forest.SIZE, op4_lsh_forest.DEPTH, op4_lsh_forest.BASE
+    values = draw.integers(0, 60000, (300, size)).astype(np.uint16)
+    shared = np.arange(size) % depth < base  # the template's minima: one region of all 300 in each order
+    values[:, shared] = draw.integers(0, 60000, size).astype(np.uint16)[shared]
+    common = np.arange(size) % depth == depth - 1
+    values[1:80:2, common] = values[0:80:2, common]  # 40 pairs agree in 96 values, all others in 72
+    nodes = [draw.bytes(16) for _ in range(300)]
+    classes = spark.createDataFrame([(n, v.tobytes()) for n, v in zip(nodes, values)], "node binary, sketch binary")
+    got = {frozenset((bytes(r.node), bytes(r.root))) for r in op4_lsh_forest.likely_roots(classes, 4, hot).collect()}
+    assert got == {frozenset(nodes[k : k + 2]) for k in range(0, 80, 2)}
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_repeated_passages(frame, hot):
     got = by_id(op7_suffix_dedup.remove_repeats(frame(corpus()), hot=hot), "n_bytes", "n_removed", "n_spans", "kept_sha256")
