@@ -12,6 +12,8 @@ the character's class (digits 10, letters 26, hexadecimal letters 6, characters
 not at all).  A *mask* says which class each character belongs to.  Dates are day numbers in a
 domain of 270 * 270 days, with halves modulo 270.
 
+A secret is the whole run up to a blank, quote or angle bracket, however long.
+
 A text is cut at its matches (``split``) and put together again around the pseudonyms, which
 reads it a fixed number of times however many matches it has; texts without a match pass as they
 are.  No shuffle, no state.
@@ -39,7 +41,7 @@ _B, _E = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}(?![A-Za-z0-9-])",
     "access_key": _B + "(?:AKIA|ASIA)[0-9A-Z]{16}" + _E,
-    "secret": r"(?i:(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>]{6,200}",
+    "secret": r"(?i:(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>]{6,}+",
     "iban": _B + "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "iso_date": _B + "(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]" + _E,
     "day_date": _B + "[0-3][0-9][./][01][0-9][./](?:19|20)[0-9]{2}" + _E,
@@ -81,14 +83,14 @@ def _shift(c: Column, m: Column, by: Column) -> Column:
 def _round(half: Column, mask: Column, other: Column, number: Column, key: str, invert: bool) -> Column:
     hashed = F.sha2(F.concat_ws("\x1f", F.lit(key), number.cast("string"), mask, other), 512)
 
-    def moved(h: Column) -> Column:
-        def one(i: Column) -> Column:
-            by = F.conv(F.substr(h, F.pmod(4 * (i - 1), F.lit(128)) + 1, F.lit(4)), 16, 10).cast("int")
-            return _shift(F.substr(half, i, F.lit(1)), F.substr(mask, i, F.lit(1)), -by if invert else by)
+    def moved(s: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:  # arrays, as finding a string's i-th character reads all before it
+            by = F.conv(F.substr(s["h"], F.pmod(4 * i, F.lit(128)) + 1, F.lit(4)), 16, 10).cast("int")
+            return _shift(c, F.get(s["m"], i), -by if invert else by)
 
-        return F.array_join(F.transform(_chars(F.length(half)), one), "")
+        return F.array_join(F.transform(F.split(half, ""), one), "")
 
-    return _let(hashed, moved)
+    return _let(F.struct(hashed.alias("h"), F.split(mask, "").alias("m")), moved)
 
 
 def feistel(value: Column, mask: Column, key: str = KEY, invert: bool = False) -> Column:

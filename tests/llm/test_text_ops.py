@@ -178,6 +178,19 @@ def test_dates_are_permuted(spark):
     assert out.where("p IS NULL").count() == 0 and out.select("p").distinct().count() == days.count()
 
 
+@pytest.mark.parametrize("n", [240, 700, 20000])
+def test_long_secrets_are_replaced_to_their_end(spark, frame, n):
+    draw = random.Random(n)
+    value = "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_.") for _ in range(n))
+    (row,) = op8_pseudonyms.pseudonymised(frame([(1, f"use token={value} here")])).collect()
+    assert len(row.text) == n + 15 and row.text.startswith("use token=") and row.text.endswith(" here")
+    fresh = row.text[10:-5]
+    assert all(fresh[k : k + 40] != value[k : k + 40] for k in range(0, n, 40) if n - k >= 8)
+    assert fresh[-8:] != value[-8:] and re.sub("[^-_.]", "x", fresh) == re.sub("[^-_.]", "x", value)
+    (back,) = spark.createDataFrame([(f"token={fresh}",)], "v string").select(op8_pseudonyms.pseudonym(F.col("v"), invert=True)).first()
+    assert back == f"token={value}"
+
+
 def test_pseudonyms_in_texts(frame):
     rows = [(1, "mail bo.42@mail8.example.com, and again bo.42@mail8.example.com."), (2, "so bo.42@mail8.example.com"), (3, None), (4, ""), (5, "nothing 12 here"), (6, "1.1.1.1"), (7, "x " * 20000 + "4785380592391139"), (8, "12 4785380592391139 7 +1 (988) 555-2485 4785380592391139")]
     out = op8_pseudonyms.pseudonymised(frame(rows))
