@@ -41,6 +41,16 @@ def inverted_abstract(t: Tables) -> DataFrame:
     return index.select("doc_id", readers.unfolded_abstract(F.col("m")).alias("text"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL")
+def inverted_abstract_all(t: Tables) -> DataFrame:
+    """The same for every text there is: words are split on white space, which comes back collapsed."""
+    plain = F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " "))
+    texts = t.documents.where("text IS NOT NULL").select("doc_id", plain.alias("text")).repartition("doc_id")  # texts move once, words never
+    d = texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    index = d.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    return index.select("doc_id", readers.unfolded_abstract(F.col("m")).alias("text"))
+
+
 @query("SELECT 'd' || (event_id % 2) AS device, count(*) AS n, ceil(count(*) / 500.0)::BIGINT AS packets FROM events GROUP BY 1")
 def sealed_packets(t: Tables) -> DataFrame:
     """The log in encrypted packets, opened again and counted."""

@@ -186,6 +186,14 @@ def test_html_text():
     assert html.text_of(f"<body><div>short</div><div>{'long ' * 60}</div></body>").startswith("long")
 
 
+def test_every_text_comes_back_from_its_inverted_index(spark, data):
+    from sparkloom import plans
+
+    texts = {r.doc_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{data}/documents.parquet").where("text IS NOT NULL").collect()}
+    got = plans.queries()["inverted_abstract_all"](spark, data).collect()
+    assert len(got) == len(texts) and all(" ".join(r.text.split()) == texts[r.doc_id] for r in got)
+
+
 def test_transcripts_and_feeds():
     assert html.prose_of("WEBVTT\n\n1\n00:00.000 --> 00:01.000\nHello\n\n00:01.000 --> 00:02.000\nHello\nthere") == "Hello there"
     assert html.prose_of('{"segments": [{"text": " a"}, {"text": "b"}]}') == "a b" and html.prose_of(None) == ""
