@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import html, text
+from sparkloom.functions import html, text, urls
 from sparkloom.operators.catalogue import MOST_ABSTRACT, MOST_AUTHORS, MOST_CONCEPTS
 
 #: Column, type of a catalogue item.
@@ -96,6 +96,12 @@ def feeds(bodies: DataFrame) -> DataFrame:
     return e.select(*item(title=F.col("i.title"), url=F.col("i.link"), day=feed_date(F.col("i.date")), abstract=F.col("i.text"), authors=F.array_compact(F.array(F.nullif(F.col("i.author"), F.lit("")))), source=F.col("source"), kind=F.lit("articolo")))
 
 
+def sitemaps(bodies: DataFrame) -> DataFrame:
+    """(source, site, body) of stored sitemaps -> sub-maps to store next, and addresses of the site itself."""
+    e = bodies.select("source", "site", F.explode(html.sitemap_places("body")).alias("p")).select("source", "site", "p.*")
+    return e.where(F.col("is_map") | urls.same_site(F.col("loc"), F.col("site"))).select("source", "is_map", "loc", "lastmod", "day")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Stored files with their SHA-256 and whether they are PDFs by their first bytes."""
     f = spark.read.format("binaryFile").load(path)

@@ -186,6 +186,22 @@ def test_html_text():
     assert html.text_of(f"<body><div>short</div><div>{'long ' * 60}</div></body>").startswith("long")
 
 
+def test_sitemaps_canonical_links_and_profiles(spark):
+    pages = "<?xml version='1.0'?><urlset><url><loc> https://a.org/2024/05/x </loc></url><url><loc>https://a.org/y?a=1&amp;b=2</loc><lastmod>2024-06-01</lastmod></url><url><lastmod>2024-07-01T10:00:00Z</lastmod><loc>https://b.net/z</loc></url><url><loc>https://a.org/2024/05/x</loc></url></urlset>"
+    assert [(p["loc"], p["lastmod"], p["day"]) for p in html.places_of(pages)] == [("https://b.net/z", "2024-07-01T10:00:00Z", ""), ("https://a.org/y?a=1&b=2", "2024-06-01", ""), ("https://a.org/2024/05/x", "", "2024-05-01")]
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://a.org/{n}.xml</loc></sitemap>" for n in ("tag-sitemap", "post-sitemap", "other")) + "</sitemapindex>"
+    assert [(p["is_map"], p["loc"]) for p in html.places_of(index)] == [(True, "https://a.org/post-sitemap.xml")]
+    assert [p["loc"] for p in html.places_of(index.replace("post-", "misc-"))] == ["https://a.org/misc-sitemap.xml", "https://a.org/other.xml"]
+    assert html.places_of(None) == [] and html.places_of("<rss/>") == []
+    got = readers.sitemaps(spark.createDataFrame([("s", "https://www.a.org/", pages), ("s", "https://a.org", index)], "source string, site string, body string")).collect()
+    assert sorted((r.is_map, r.loc) for r in got) == [(False, "https://a.org/2024/05/x"), (False, "https://a.org/y?a=1&b=2"), (True, "https://a.org/post-sitemap.xml")]
+    page = "<link rel='me' href='/@me'><a href=\"https://www.youtube.com/@who\">v</a><a rel=\"nofollow me\" href=\"https://m.social/@x\">m</a><a href=\"/home\">h</a><a rel=me>n</a><link rel=\"canonical\" href=\"/own?a=1&amp;b=2\">"
+    r = spark.createDataFrame([(page, "https://a.org/p"), (None, None)], "h string, u string").select(html.canonical("h", "u").alias("c"), html.profiles("h", "u").alias("p")).collect()
+    assert r[0].c == "https://a.org/own?a=1&b=2" and r[0].p == ["https://a.org/@me", "https://www.youtube.com/@who", "https://m.social/@x"]
+    assert r[1].c == "" and r[1].p == []
+    assert html.canonical_of('<meta property="og:url" content="https://o.org/">', "https://a.org") == "https://o.org/"
+
+
 def test_every_text_comes_back_from_its_inverted_index(spark, data):
     from sparkloom import plans
 
