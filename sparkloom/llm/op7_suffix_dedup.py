@@ -2,7 +2,7 @@
 
 1. Each 100-byte window of a text belongs to an anchor (see ``anchors``): equal windows have
    equal anchors at equal offsets.  A run of windows with one anchor is a segment.  Within a
-   slice of rows, all but the first of equal segments are marked at once, so that a passage in a
+   slice of rows, all but the first of equal segments (one per text where ids repeat) are marked at once, so that a passage in a
    third of all rows meets in one task as a few rows per slice.
 2. Segments meet by anchor.  Of equal segments all but the earliest are marked.  Anchors whose
    earliest segments differ go on.
@@ -67,14 +67,14 @@ def _anchor_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
     did, th = (batch.column(k).to_numpy() for k in (0, 1))
     s = anchors.segments(*joined(text_bytes(batch.column(2))))
     owner = did[s["doc"]]
-    order = np.lexsort((s["start"], owner, s["content"], s["gram"]))
-    gram, content, who, start = (x[order] for x in (s["gram"], s["content"], owner, s["start"]))
+    order = np.lexsort((th[s["doc"]], s["start"], owner, s["content"], s["gram"]))
+    gram, content, who, start, which = (x[order] for x in (s["gram"], s["content"], owner, s["start"], th[s["doc"]]))
     new = np.append(True, (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])) if len(order) else np.empty(0, bool)
     head = np.flatnonzero(new)
     first = np.repeat(head, np.diff(np.append(head, len(order))))
     late = (who != who[first]) | (start != start[first])
     d, b, c = _runs(s["doc"][order[late]], start[late], s["count"][order[late]])
-    keep = order[head]
+    keep = order[~late & (new | np.append(True, which[1:] != which[:-1])[: len(order)])]  # of rows with one id each text
     salt = anchors.splitmix(th[d].view(np.uint64) ^ anchors.splitmix(b))
     doc = np.concatenate([s["doc"][keep], d])
     zero = np.zeros(len(d), np.int64)
@@ -111,11 +111,13 @@ def _cut_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         begins = ends - (count - 1 + LENGTH)
         key = (anchors.window_hashes(data, begins[owner] + at) ^ anchors.splitmix(gram[owner])).view(np.int64)
         did, th, start = did[owner], th[owner], start[owner] + at
-        order = np.lexsort((start, did, key))
-        head = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        order = np.lexsort((th, start, did, key))
+        new = np.append(True, np.diff(key[order]) != 0)
+        head = np.flatnonzero(new)
         first = np.repeat(order[head], np.diff(np.append(head, len(order))))
-        late = order[(did[order] != did[first]) | (start[order] != start[first])]
-        rows += [(int(key[k]), int(did[k]), int(th[k]), int(start[k]), 1, 0, None, LONE) for k in order[head].tolist()]
+        after = (did[order] != did[first]) | (start[order] != start[first])
+        late, keep = order[after], order[~after & (new | np.append(True, np.diff(th[order]) != 0))]
+        rows += [(int(key[k]), int(did[k]), int(th[k]), int(start[k]), 1, 0, None, LONE) for k in keep.tolist()]
         rows += [(int(anchors.splitmix(th[k : k + 1])[0].view(np.int64)), int(did[k]), int(th[k]), int(start[k]), 1, 0, None, MARKED) for k in late.tolist()]
     if not rows:
         return None

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,27 @@ def test_repeated_passages(frame, hot):
     assert got == brute.repeats(corpus())
 
 
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_repeated_passages_of_texts_that_share_an_id(frame, hot):
+    passage = "".join(random.Random(8).choices("abcdefghijklmnop ", k=900))
+    early = frame([(1, passage + "x" + prose(31, 40))]).coalesce(1)
+    late = frame([(5, passage + "y" + prose(32, 40)), (5, passage + "z" + prose(33, 40)), (None, ""), (6, "q" + passage)]).coalesce(1)  # one slice
+    rows = op7_suffix_dedup.remove_repeats(early.unionByName(late), hot=hot).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (1, 0), (5, 900), (5, 900), (6, 900)]
+
+
+def test_a_slice_keeps_every_text_of_an_id():
+    passage = "".join(random.Random(8).choices("abcdefghijklmnop ", k=900))
+    texts, th = [passage + "y" * 150, passage + "z" * 150, passage + "z" * 150], [11, 12, 12]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 5, 5]), pa.array(th), pa.array(texts)], names=["did", "th", "text"])
+    rows = op7_suffix_dedup._anchor_slice(batch).to_pylist()
+    inside = {t: {(r["seg"], r["start"]) for r in rows if r["th"] == t and not r["marked"] and r["start"] + r["count"] + 99 <= 900} for t in th}
+    assert len(inside[11]) > 3 and inside[11] == inside[12]
+    hot = [[{"h": 1, "start": 0, "count": 3, "shift": 0, "hot": True}]] * 3
+    cut = op7_suffix_dedup._cut_slice(batch.append_column("wanted", pa.array(hot))).to_pylist()
+    assert sorted((r["th"], r["start"]) for r in cut if r["kind"] == op7_suffix_dedup.LONE) == [(t, k) for t in (11, 12) for k in range(3)]
+
+
 def test_repeated_passages_on_few_letters(frame):
     draw = random.Random(5)
     rows = [(k, "".join(draw.choice("ab") for _ in range(40)) + "ab" * draw.randrange(90) + "".join(draw.choice("ab") for _ in range(130))) for k in range(60)]
