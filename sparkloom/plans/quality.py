@@ -48,11 +48,12 @@ def transcript_text(t: Tables) -> DataFrame:
 
 @query()
 def feed_items(t: Tables) -> DataFrame:
-    """Documents written as one RSS feed per source and language and read back."""
-    entry = F.concat(F.lit("<item><title>D"), F.col("doc_id").cast("string"), F.lit("</title><link>https://example.org/"), F.col("doc_id").cast("string"), F.lit("</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><description>"), F.regexp_replace(F.substring("text", 1, 200), "[&<>]", " "), F.lit("</description></item>"))
+    """Documents, with their whole texts, written as one RSS feed per source and language and read back."""
+    body = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    entry = F.concat(F.lit("<item><title>D"), F.col("doc_id").cast("string"), F.lit("</title><link>https://example.org/"), F.col("doc_id").cast("string"), F.lit("</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><description>"), body, F.lit("</description></item>"))
     feeds = t.documents.select("source", "lang", F.col("doc_id"), entry.alias("e")).groupBy("source", "lang", F.floor(F.col("doc_id") / 1000).alias("page")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "e"))).alias("x"))
     read = feeds.select("source", F.explode(html.feed_items(F.concat(F.lit("<rss><channel>"), F.array_join("x.e", ""), F.lit("</channel></rss>")))).alias("i"))
-    return read.select("source", "i.title", "i.link", dates.feed_date(F.col("i.date")).alias("day"))
+    return read.select("source", "i.title", "i.link", dates.feed_date(F.col("i.date")).alias("day"), F.sha2("i.text", 256).alias("text_sha256"))
 
 
 @query("""WITH e AS (SELECT doc_id, (doc_id % 5)::INT AS form, DATE '2024-01-01' + (doc_id % 300)::INT AS d FROM documents)

@@ -202,6 +202,16 @@ def test_sitemaps_canonical_links_and_profiles(spark):
     assert html.canonical_of('<meta property="og:url" content="https://o.org/">', "https://a.org") == "https://o.org/"
 
 
+def test_feed_items_bring_back_whole_texts(spark, data):
+    import hashlib
+
+    from sparkloom import plans
+
+    texts = {f"D{r.doc_id}": " ".join((r.text or "").split()) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r.title: r.text_sha256 for r in plans.queries()["feed_items"](spark, data).collect()}
+    assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in texts.items()} and max(map(len, texts.values())) > 200
+
+
 def test_every_text_comes_back_from_its_inverted_index(spark, data):
     from sparkloom import plans
 
