@@ -1,8 +1,11 @@
 """WARC, audio, packing and token operators: round trips and plain versions."""
 
 import base64
+import gzip
 import hashlib
+import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -23,25 +26,46 @@ ROWS = [(k, t) for k, t in enumerate(ODD)] + [(900, None), (None, "id-less"), (7
 
 
 class Plain(HTMLParser):
-    """Text outside of dropped elements, white space aside."""
+    """What a page says, by the library's parser, for pages whose elements are all closed."""
 
-    def __init__(self):
+    def __init__(self, source):
         super().__init__()
-        self.off, self.out = 0, []
+        self.off, self.lines, self.links, self.title, self.language, self.in_title = 0, [""], [], None, None, False
+        self.feed(source)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        self.off += tag in ("script", "style", "head")
+        values = dict(attrs)
+        self.off += tag in (*op1_warc.DROPPED, "head")
+        if tag == "html" and self.language is None:
+            self.language = (values.get("lang") or "").lower() or None
+        if tag == "a" and (values.get("href") or "").strip() and values["href"].strip() not in self.links:
+            self.links.append(values["href"].strip())
+        if tag == "title" and self.title is None:
+            self.in_title, self.title = True, ""
+        if tag in op1_warc.LINES:
+            self.lines.append("")
 
     def handle_endtag(self, tag):
-        self.off -= tag in ("script", "style", "head")
+        self.off -= tag in (*op1_warc.DROPPED, "head")
+        self.in_title = self.in_title and tag != "title"
+        if tag in op1_warc.LINES:
+            self.lines.append("")
 
-    def handle_data(self, data):
-        if not self.off:
-            self.out.append(data)
+    def handle_comment(self, data):
+        self.handle_data(" ")
 
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        elif not self.off:
+            first, *more = data.split("\n")
+            self.lines[-1] += first
+            self.lines += more
 
-def squeezed(text):
-    return "".join(text.split())
+    def text(self):
+        lines = [" ".join(re.split(r"[ \t\r\f\v\xa0]+", x)).strip() for x in [self.title or "", *self.lines]]
+        return "\n".join(x for x in lines if x)
 
 
 def test_warc_derivatives(spark):
@@ -53,15 +77,17 @@ def test_warc_derivatives(spark):
         page = source[r.page_id]
         body = page.html.encode()
         assert r.response_payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
-        (meta, about), (conv, text) = (next(op1_warc.read_records(x)) for x in (r.metadata_record, r.conversion_record))
+        (meta, about), (conv, text) = (next(op1_warc.read_records(x)) for x in (r.metadata_member, r.conversion_member))
+        assert gzip.decompress(r.metadata_member).decode() == r.metadata_record and gzip.decompress(r.conversion_member).decode() == r.conversion_record
         assert (meta["warc-type"], conv["warc-type"]) == ("metadata", "conversion")
         assert meta["warc-refers-to"] == conv["warc-refers-to"] == r.response_id and conv["warc-refers-to-target-uri"] == page.url
         assert conv["warc-payload-digest"] == op1_warc.digest(text) and conv["warc-source-payload-digest"] == r.response_payload_digest
-        assert f"source-payload-digest: {r.response_payload_digest}\r\n".encode() in about and b"http-content-type: text/html" in about
+        assert f"source-payload-digest: {r.response_payload_digest}\r\n".encode() in about and about.decode().startswith(r.source_headers)
+        assert r.source_headers == f"http-status: HTTP/1.1 200 OK\r\nhttp-content-type: text/html; charset=utf-8\r\nhttp-content-length: {len(body)}\r\n"
         assert len(text) == r.n_text_bytes and hashlib.sha256(text).hexdigest() == r.text_sha256
-        plain = Plain()
-        plain.feed(page.html)
-        assert squeezed(text.decode()).endswith(squeezed("".join(plain.out))[-200:])
+        plain = Plain(page.html)
+        assert (r.title, r.language, r.links, r.n_links) == (plain.title and " ".join(plain.title.split()), plain.language, plain.links, len(plain.links))
+        assert text.decode() == plain.text()
     assert len({r.response_id for r in rows}) == len({(r.page_id) for r in rows})
 
 
@@ -69,13 +95,39 @@ def test_warc_edges_and_files(spark, tmp_path):
     df = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", ""), (None, "v", "<p>a<p>b &lt;c&gt;<script>x")], "page_id long, url string, html string")
     rows = op1_warc.derivatives(op1_warc.captured(df)).collect()
     assert len(rows) == 4 and Counter(r.response_id for r in rows).most_common(1)[0][1] == 2
-    assert op1_warc.plain_text("<p>a<p>b &lt;c&gt;<script>x") == "a\nb <c>"
+    assert op1_warc.read_page("<p>a<p>b &lt;c&gt;<script>x").text == "a\nb <c>"
+    assert op1_warc.read_page("<head><title>t</title><style>s</style><body>a &#" + "9" * 9000 + "; <b>b</b> <").text == "t\na \ufffd b <"
     assert op1_warc.derivatives(op1_warc.captured(df.limit(0))).count() == 0
-    broken = spark.createDataFrame([(1, b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 0\r\n\r\n\r\n\r\n"), (2, b"junk"), (3, None)], "page_id long, record binary")
+    odd = b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    cut = op1_warc.response(1, "u", b"<p>x")[:-9]
+    broken = spark.createDataFrame([(1, odd), (2, b"junk"), (3, None), (4, cut), (5, b"\x1f\x8bjunk"), (6, b"WARC/1.1\r\nContent-Length: \xc2\xb2\r\n\r\n")], "page_id long, record binary")
     assert op1_warc.derivatives(broken).count() == 0
-    whole = b"".join(op1_warc.response(k, f"http://x/{k}", b"<title>t</title>") for k in range(3))
-    (tmp_path / "a.warc").write_bytes(whole)
-    assert op1_warc.derivatives(op1_warc.read_warc(spark, str(tmp_path))).count() == 3
+    for name in ("idna", "rot13", "undefined", "utf-16", "no-such"):
+        assert "a" in op1_warc.decoded("<p>a".encode("utf-16" if name == "utf-16" else "utf-8"), f"text/html; charset={name}")
+
+
+def test_warc_files_are_read_in_ranges(spark, tmp_path):
+    inner = op1_warc.response(9, "http://inner", b"<p>inside")
+    bodies = [b"<title>t</title>" + b"<p>x" * (k % 700) + (inner if k == 20 else b"") for k in range(600)]
+    records = [op1_warc.response(k, f"http://x/{k}", b) for k, b in enumerate(bodies)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:50]))
+    expected = Counter(op1_warc.digest(b) for b in bodies + bodies[:50])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+        got = op1_warc.read_warc(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 5
+        assert Counter(r.response_payload_digest for r in op1_warc.derivatives(got).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<title>", "<!-- ", "<script>", "<p", "&#1", "<a href=", '<a href="', "</p  ", "<html lang ", "<a" + " " * 50])
+def test_pages_are_read_in_linear_time(part):
+    began = time.perf_counter()
+    op1_warc.read_page(part * (5_000_000 // len(part)) + ">")
+    assert time.perf_counter() - began < 10
 
 
 # ------------------------------------------------------------------ audio
