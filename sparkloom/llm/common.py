@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
@@ -65,6 +67,17 @@ def forget(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that a column of the frame has already (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

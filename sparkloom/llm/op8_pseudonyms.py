@@ -8,9 +8,11 @@ different; who has the key can turn it back (``invert``).
 
 The cipher is a Feistel network of ``ROUNDS`` rounds: the value is cut into two halves; in turn
 each half is added to a keyed SHA-512 of the other, character by character, modulo the size of
-the character's class (digits 10, letters 26, hexadecimal letters 6, characters of the format
-not at all).  A *mask* says which class each character belongs to.  Dates are day numbers in a
-domain of 270 * 270 days, with halves modulo 270.
+the character's class (digits 10, letters 26, hexadecimal letters 6, characters beyond ASCII
+within their aligned block of 64, characters of the format not at all).  A *mask* says which class
+each character belongs to.  Values of which not all strings of their format are valid are
+numbered: the network runs on the two parts of the number, each modulo its own size (``SIZES``), so
+that a date of 1900 to 2099 becomes another one and a valid national number a valid one.
 
 A secret is the whole run up to a blank, quote or angle bracket, however long.
 
@@ -18,9 +20,11 @@ A text is cut at its matches (``split``) and put together again around the pseud
 reads it a fixed number of times however many matches it has; texts without a match pass as they
 are.  No shuffle, no state.
 
-Values that fail validation (check digits, days that do not exist) are not personal values and
-stay.  Null texts stay null (op8's query counts no values there), empty ones empty; repeated
-rows and ties give equal rows; other columns pass through ``pseudonymised`` untouched.
+Values that fail validation (check digits, days that do not exist, national numbers with a part
+that is never given out, telephone numbers of fewer than 8 or more than 15 digits) are not personal
+values and stay.  Null texts stay null (op8's query counts no values there), empty ones empty;
+repeated rows and ties give equal rows; other columns pass through ``pseudonymised`` untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents
+from sparkloom.llm.common import documents, free_names
 
 KEY = "sparkloom-demonstration-key"
 ROUNDS = 8
-DAY_BASE = 270  # dates 1900-01-01 to 2099-08-04
+DAYS = 73049  # 1900-01-01 to 2099-12-31
+#: Kind -> sizes of the two parts of its values' numbers; their product is the number of valid values.
+SIZES = {"ipv4": (65536, 65536), "date": (17, DAYS // 17), "national_id": (998 * 99, 9999)}
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _B, _E = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 #: Kind -> pattern, in order of precedence. Java syntax; possessive where a long run could be retried.
@@ -46,7 +52,9 @@ PATTERNS = {
     "iso_date": _B + "(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]" + _E,
     "day_date": _B + "[0-3][0-9][./][01][0-9][./](?:19|20)[0-9]{2}" + _E,
     "ipv4": r"(?<![0-9A-Za-z.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4})" + _E,
+    "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?(?:(?:[ -]?[0-9]{2,4}){2,4}|(?:\.?[0-9]{2,4}){2,4})(?!\.[0-9])"
+    r"|\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4})" + _E,
     "national_id": _B + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E,
     "card": _B + "(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _E,
 }
@@ -76,10 +84,27 @@ def _shift(c: Column, m: Column, by: Column) -> Column:
         .when(m == "l", within("a", 26))
         .when(m == "u", within("A", 26))
         .when(m == "h", within("a", 6))
+        .when(m == "w", _beyond_ascii(c, by))
         .otherwise(c)
     )
 
 
+def _beyond_ascii(c: Column, by: Column) -> Column:
+    """Character c moved within its aligned block of 64 code points (U+00A0 to U+00BF: of 32)."""
+
+    def moved(n: Column) -> Column:
+        low = F.when(n < 0xC0, F.lit(0xA0)).otherwise(n - F.pmod(n, F.lit(64)))
+        to = low + F.pmod(n - low + by, F.when(n < 0xC0, F.lit(32)).otherwise(F.lit(64)))
+        return F.decode(F.unhex(F.lpad(F.hex(to), 8, "0")), "UTF-32")
+
+    return _let(F.ascii(c), moved)
+
+
+def _characters(text: Column) -> Column:
+    """The characters of a string, those beyond 16 bits whole."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def _round(half: Column, mask: Column, other: Column, number: Column, key: str, invert: bool) -> Column:
     hashed = F.sha2(F.concat_ws("\x1f", F.lit(key), number.cast("string"), mask, other), 512)
 
@@ -88,9 +113,9 @@ def _round(half: Column, mask: Column, other: Column, number: Column, key: str,
             by = F.conv(F.substr(s["h"], F.pmod(4 * i, F.lit(128)) + 1, F.lit(4)), 16, 10).cast("int")
             return _shift(c, F.get(s["m"], i), -by if invert else by)
 
-        return F.array_join(F.transform(F.split(half, ""), one), "")
+        return F.array_join(F.transform(_characters(half), one), "")
 
-    return _let(F.struct(hashed.alias("h"), F.split(mask, "").alias("m")), moved)
+    return _let(F.struct(hashed.alias("h"), _characters(mask).alias("m")), moved)
 
 
 def feistel(value: Column, mask: Column, key: str = KEY, invert: bool = False) -> Column:
@@ -114,7 +139,7 @@ def feistel(value: Column, mask: Column, key: str = KEY, invert: bool = False) -
 
 def _by_class(value: Column) -> Column:
     """The mask of a value of which every letter and digit moves within its class."""
-    return F.translate(value, _DIGITS + _LOWER + _UPPER, "d" * 10 + "l" * 26 + "u" * 26)
+    return F.regexp_replace(F.translate(value, _DIGITS + _LOWER + _UPPER, "d" * 10 + "l" * 26 + "u" * 26), r"[^\x00-\x9F]", "w")
 
 
 def _digits(value: Column) -> Column:
@@ -156,12 +181,14 @@ def _card(value: Column, key: str, invert: bool) -> Column:
 
 
 def _phone(value: Column, key: str, invert: bool) -> Column:
-    """Country code 1 and the leading digits of its area and exchange codes (2 to 9) keep to the plan."""
+    """The first digit stays.  With country code 1 (or none) area and exchange codes that start with 2 to 9,
+    as the plan has it, get such ones, and others keep their first digits; None for less than 8 or more than 15 digits."""
 
     def body(digits: Column) -> Column:
-        area = F.when(digits.rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$"), F.lit("-nddnddddddd"[:11])).when(digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & ~value.startswith("+"), F.lit("nddndddddd"))
-        mask = F.coalesce(area, F.concat(F.lit("-"), F.repeat(F.lit("d"), F.length(digits) - 1)))
-        return _refilled(value, feistel(digits, mask, key, invert))
+        plan = F.when(digits.rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$"), F.lit("-nddndddddd")).when(digits.rlike("^1[0-9]{10}$"), F.lit("--dd-dddddd"))
+        plan = plan.when(~value.startswith("+"), F.lit("nddndddddd"))
+        mask = F.coalesce(plan, F.concat(F.lit("-"), F.repeat(F.lit("d"), F.length(digits) - 1)))
+        return F.when(F.length(digits).between(8, 15), _refilled(value, feistel(digits, mask, key, invert)))
 
     return _let(_digits(value), body)
 
@@ -176,34 +203,37 @@ def _ipv4(value: Column, key: str, invert: bool) -> Column:
     def done(s: Column) -> Column:
         return F.concat_ws(".", *((F.floor(x / 256) if high else F.pmod(x, F.lit(256))).cast("string") for x in (s["a"], s["b"]) for high in (True, False)))
 
-    return _two_numbers(pair(1), pair(3), 65536, "ipv4", key, invert, done)
+    return _two_numbers(pair(1), pair(3), "ipv4", key, invert, done)
 
 
-def _two_numbers(a: Column, b: Column, size: int, kind: str, key: str, invert: bool, done) -> Column:
-    """The Feistel network on two numbers below ``size``."""
+def _two_numbers(a: Column, b: Column, kind: str, key: str, invert: bool, done) -> Column:
+    """The Feistel network on two numbers below the kind's sizes."""
 
-    def moved(x: Column, other: Column, r: Column) -> Column:
+    def moved(x: Column, other: Column, r: Column, size: int) -> Column:
         h = F.conv(F.substr(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), r.cast("string"), other.cast("string")), 256), F.lit(1), F.lit(12)), 16, 10).cast("long")
         return F.pmod(x - h if invert else x + h, F.lit(size)).cast("long")
 
+    first, second = SIZES[kind]
+
     def step(s: Column, r: Column) -> Column:
         even = F.pmod(r, F.lit(2)) == 0
-        return F.struct(F.when(even, moved(s["a"], s["b"], r)).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(moved(s["b"], s["a"], r)).alias("b"))
+        return F.struct(F.when(even, moved(s["a"], s["b"], r, first)).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(moved(s["b"], s["a"], r, second)).alias("b"))
 
     order = list(range(ROUNDS))[:: -1 if invert else 1]
     return F.aggregate(F.array(*map(F.lit, order)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step, done)
 
 
 def _date(value: Column, form: Column, key: str, invert: bool) -> Column:
-    """Another day of the domain in the same format; None for a day that does not exist or lies outside it."""
+    """Another day of 1900 to 2099 in the same format; None for a day that does not exist."""
     day = F.datediff(F.to_date(F.try_to_timestamp(value, form)), F.lit("1900-01-01").cast("date"))
+    size = SIZES["date"][1]
 
     def back(s: Column) -> Column:
-        return F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * DAY_BASE + s["b"]).cast("int"))
+        return F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * size + s["b"]).cast("int"))
 
     def body(n: Column) -> Column:
-        moved = _two_numbers(F.floor(n / DAY_BASE), F.pmod(n, F.lit(DAY_BASE)), DAY_BASE, "date", key, invert, back)
-        return F.when(n.between(0, DAY_BASE * DAY_BASE - 1), F.date_format(moved, "yyyy-MM-dd"))
+        moved = _two_numbers(F.floor(n / size), F.pmod(n, F.lit(size)), "date", key, invert, back)
+        return F.when(n.between(0, DAYS - 1), F.date_format(moved, "yyyy-MM-dd"))
 
     return _let(day, body)
 
@@ -265,7 +295,17 @@ def _secret(value: Column, key: str, invert: bool) -> Column:
 
 
 def _national_id(value: Column, key: str, invert: bool) -> Column:
-    return _let(_digits(value), lambda d: _refilled(value, feistel(d, F.repeat(F.lit("d"), F.length(d)), key, invert)))
+    """Area 001 to 999 but 666, group 01 to 99, serial 0001 to 9999; None for any other."""
+    area, group, serial = (F.substr(value, F.lit(at), F.lit(n)).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    valid = (area > 0) & (area != 666) & (group > 0) & (serial > 0)
+    place = area - F.when(area > 666, F.lit(2)).otherwise(F.lit(1))
+
+    def done(s: Column) -> Column:
+        nth, last = F.floor(s["a"] / 99).cast("int"), F.pmod(s["a"], F.lit(99)) + 1
+        shown = nth + F.when(nth >= 665, F.lit(2)).otherwise(F.lit(1))
+        return F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in ((shown, 3), (last, 2), (s["b"] + 1, 4))))
+
+    return F.when(valid, _two_numbers(place * 99 + group - 1, serial - 1, "national_id", key, invert, done))
 
 
 _KINDS = {"email": _email, "access_key": _access_key, "secret": _secret, "iban": _iban, "iso_date": _iso_date, "day_date": _day_date, "ipv4": _ipv4, "phone": _phone, "national_id": _national_id, "card": _card}
@@ -284,7 +324,7 @@ def _found(text: Column) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str = KEY, column: str = "text", found: str | None = None) -> DataFrame:
     """The frame with its personal values replaced in ``column``; with ``found`` also their array under that name."""
-    values, fresh, parts, n = (f"__{x}_{column}" for x in ("values", "fresh", "parts", "n"))
+    values, fresh, parts, n = free_names(docs, "values", "fresh", "parts", "n")
     text = F.col(f"`{column}`").cast("string")
     near = docs.withColumn(values, F.when(text.rlike("[0-9@]|(?i:password|passwd|secret|token|key)"), _found(text)))
     near = near.withColumn(n, F.coalesce(F.size(values), F.lit(0)))

@@ -10,7 +10,7 @@ def frame(spark):
 
     def make(rows):
         df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
-        clashing = ("h", "did", "th", "node", "key", "marks", "kept", "score", "values", "text_", "__n_text")
+        clashing = ("h", "did", "th", "node", "key", "marks", "kept", "score", "values", "fresh", "parts", "n", "set", "th_", "__did", "__th", "__kept", "__n_text", "__values_text", "kept_", "_did", "_kept")
         return df.withColumns({c: F.lit("clash") for c in clashing})
 
     return make
