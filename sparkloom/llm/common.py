@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def shuffles(spark: SparkSession, rows: int, per_task: int) -> Iterator[None]:
+    """Shuffles that are planned within are as wide as so many narrow rows need, at most as wide as the session's."""
+    width = shuffle_width(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", min(width, max(8, -(-rows // per_task))))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -6,22 +6,35 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sparkloom.llm.common import forget, written
+from sparkloom.llm.common import forget, shuffle_width, shuffles, written
+
+EDGES = 200_000  # edges for a task
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """Edges with m, the smallest b of their a.
+
+    A node with a large part of all edges is not one task's: its edges are dealt out in parts by their
+    other end, and only one row per part meets on the node.
+    """
+    parts = max(8, shuffle_width(edges.sparkSession) // 6)
+    edges = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(parts)))
+    least = edges.groupBy("a", "s").agg(F.min("b").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("a")))
+    return edges.join(least, ["a", "s"]).select("a", "b", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, are tied to its smallest neighbour; edges are (larger, smaller)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    least = _least(edges)
+    return least.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
 def local_stars(links: Iterable[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
@@ -54,10 +67,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     executor costs one round at most.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most_rounds):
-        if _are_stars(now):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-        now = written(_small_star(_large_star(before)).distinct(), "edges")
-        forget(before)
+    with shuffles(now.sparkSession, now.count(), EDGES):
+        for _ in range(most_rounds):
+            if _are_stars(now):
+                return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            before = now
+            now = written(_small_star(_large_star(before)).distinct(), "edges")
+            forget(before)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``roots`` with further links between their nodes."""
+    if links.isEmpty():
+        return roots
+    return components(links.select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))

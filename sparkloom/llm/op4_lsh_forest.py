@@ -1,6 +1,7 @@
 """MinHash near-duplicates by an LSH forest.
 
-1. Texts with equal shingle sets form a class; one row per class goes on.
+1. Texts with equal shingle sets form a class; one row per class goes on, under a label that starts
+   with the class's smallest doc_id, so that the smallest label of a component names its smallest id.
 2. The forest holds each class's MinHash values in ``TREES`` sorted orders of ``DEPTH`` values.
    Classes whose first ``BASE`` values in an order agree are a region.  All its pairs that are not
    yet connected are compared through the whole sketches; it hands on a spanning forest of its
@@ -12,9 +13,11 @@
    grows with the square of the region.
 3. Components of the likely links are clusters.  Within a cluster all links are confirmed on
    the full shingle sets; a pair that is already connected needs no test.  A cluster beyond
-   ``CLUSTER`` classes is dealt out in blocks.  Then whatever its blocks did not connect is
-   compared with all blocks: first one class of each block's largest group and all outside it, then
-   all that is still outside the cluster's largest group and has not been compared.
+   ``CLUSTER`` classes is dealt out in blocks.  One class of each block's largest group meets
+   those of other blocks, which connects near copies of one text.  Whatever is then outside the
+   cluster's largest group is compared with all blocks: first one class of each group and those
+   outside their block's largest group, then all that is left.  Sketches alone visit the blocks;
+   texts follow only where sketches agree, to a place per pair of blocks.
 
 A link of similarity 0.75 shares a region in an order with probability 0.42, whatever the size of
 the region, so it is missed by all 24 orders about once in 500,000, and its sketches agree too
@@ -23,7 +26,7 @@ seldom about once in 250,000; stronger links are missed more rarely, links below
 Shingles follow the query's contract.  Null and empty texts have an empty set and are linked
 with nothing.  Rows with a null doc_id count as the largest id (their component_id is null if
 there is no other).  Repeated rows get equal rows.  Columns other than doc_id and text are not
-read; an empty table gives no rows.
+read and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,25 +36,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sparkloom.llm.common import documents, id_and_text, per_slice, shuffle_width, text_bytes, written
-from sparkloom.llm.components import components, local_stars
+from sparkloom.llm.common import documents, free_names, id_and_text, per_slice, shuffle_width, shuffles, text_bytes, written
+from sparkloom.llm.components import components, extended, local_stars
 from sparkloom.llm.shingles import shingle_sets, similar, sketches
 
 TREES, DEPTH, BASE = 24, 6, 3
 SIZE = TREES * DEPTH
 REGION = 256
 HOT = 1024
-CLUSTER = 4000
-CLUSTER_SHINGLES = 4_000_000
+CLUSTER = 400
+CLUSTER_SHINGLES = 500_000
+MEMBERS = 50_000  # members of large clusters for a task, without their texts
 PERCENT = 75
 LIKELY = int(SIZE * 0.585)  # 0.75 less 4.6 standard deviations of the estimate
 NO_ID = (1 << 63) - 1
+SIGN = -(1 << 63)
 COLD, STAND_INS = -1, -2  # blocks: a region that is not dealt out; those who stand for blocks
-SKETCH = "did long, th long, n_shingles long, node binary, sketch binary"
+SKETCH = "did long, th long, n_shingles long, set binary, sketch binary"
 
 
 def _sketch_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -59,7 +63,23 @@ def _sketch_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
     values = sketches(sets, SIZE)
     nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
     rows = [v.tobytes() if n else None for v, n in zip(values, nodes)]
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(rows, pa.binary())], names=["did", "th", "n_shingles", "node", "sketch"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(rows, pa.binary())], names=["did", "th", "n_shingles", "set", "sketch"])
+
+
+def _tree_values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Values by class, order and depth; the regions' keys: three values of 16 bits under the order's number."""
+    v = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH).astype(np.int64)
+    key = np.broadcast_to(np.arange(TREES, dtype=np.int64), v.shape[:2])
+    for k in range(BASE):
+        key = key << 16 | v[:, :, k]
+    return v, key
+
+
+def _tree_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sketch) -> a row per order: the region's key."""
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(_tree_values(batch)[1].ravel())], names=["key"])
 
 
 def _tree_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,10 +87,8 @@ def _tree_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH).astype(np.int64)
-        key, deep = np.broadcast_to(np.arange(TREES, dtype=np.int64), v.shape[:2]), np.zeros(v.shape[:2], np.int64)
-        for k in range(BASE):  # three values of 16 bits under the order's number
-            key = key << 16 | v[:, :, k]
+        v, key = _tree_values(batch)
+        deep = np.zeros(v.shape[:2], np.int64)
         for k in range(BASE, DEPTH):
             deep = deep << 16 | v[:, :, k]
         node = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))
@@ -245,35 +263,111 @@ def _links(rows: DataFrame, width: int) -> DataFrame:
     return rows.repartition(width, "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_confirmed, "a binary, b binary")
 
 
-def _largest(sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """The root of the largest group per key, the smallest root on ties."""
-    return sizes.groupBy(*keys).agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, block, visits, home, asked, owner, node, sketch) sorted by the first four -> those that need a test.
+
+    Of a block come its own rows, then the visitors, home by home: asked rows of the cluster's other
+    blocks.  Out come, as (block, home, node, asked, owner), visitors whose sketch agrees with one of
+    the block's rows of another owner, and the rows that they agree with, each once a home.
+    """
+    place, home_, own, met, values = None, None, [], {}, None
 
+    def rows() -> list[tuple]:
+        found = [(place[0], place[1], home_, *x) for x in met.values()]
+        met.clear()
+        return found
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out: list[tuple] = []
+        for cluster, block, visits, home, asked, owner, node, sketch in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            if met and ((cluster, block) != place or home != home_):
+                out += rows()
+            if (cluster, block) != place:
+                place, own, values = (cluster, block), [], None
+            home_ = home
+            if not visits:
+                own.append((asked, owner, node, sketch))
+                continue
+            if values is None:
+                held = np.array([x[0] for x in own], bool)
+                owners = np.array([*(x[1] for x in own), None], object)[:-1]
+                values = np.frombuffer(b"".join(x[3] for x in own), np.uint16).reshape(-1, SIZE)
+            wanted = owners != owner
+            if home < block:  # of two asked rows only one visits the other
+                wanted &= ~held
+            others = np.flatnonzero(wanted)
+            near = others[np.count_nonzero(values[others] == np.frombuffer(sketch, np.uint16), axis=1) >= LIKELY]
+            if len(near):
+                met[node] = (node, True, owner)
+                for j in near.tolist():
+                    met.setdefault(own[j][2], (own[j][2], False, own[j][1]))
+        if out:
+            yield _meeting_rows(out)
+    if met:
+        yield _meeting_rows(rows())
+
+
+MEETING = "cluster binary, block int, home int, node binary, asked boolean, owner binary"
+
+
+def _meeting_rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["cluster", "block", "home", "node", "asked", "owner"])
+
+
+def _tagged(members: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
+    """Members with their group (owner), and who is to be compared with other blocks (asked): none of the cluster's
+    largest group; of other groups all, or unless ``every`` one member and all outside their block's largest group."""
+    named = members.join(roots, "node", "left").select("cluster", "block", "node", "sketch", F.coalesce("root", "node").alias("owner"))
+    named = written(named, "named")
+    parts = named.groupBy("cluster", "block", "owner").agg(F.count("*").alias("size"), F.min("node").alias("one"))
+    groups = written(parts.groupBy("cluster", "owner").agg(F.sum("size").alias("size"), F.min("one").alias("one")), "owners")
+    largest = groups.groupBy("cluster").agg(F.max_by("owner", F.struct("size", "owner")).alias("largest"))
+    outside = named.join(written(largest, "largest"), "cluster").where("owner <> largest")
+    if every:
+        asked = outside.select("node")
+    else:
+        of_block = parts.groupBy("cluster", "block").agg(F.max_by("owner", F.struct("size", "owner")).alias("common"))
+        outside = outside.join(written(of_block, "common"), ["cluster", "block"]).join(groups.select("one", F.lit(True).alias("is_one")), F.col("node") == F.col("one"), "left")
+        asked = outside.where(F.col("is_one") | (F.col("owner") != F.col("common"))).select("node")
+    return written(named.join(asked.withColumn("asked", F.lit(True)), "node", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "asked")
+
+
+def _join_blocks(members: DataFrame, roots: DataFrame, width: int, cluster: int) -> DataFrame:
+    """The components ``roots`` with the links between the blocks of clusters that are too large for one task; see step 3."""
+    spark = members.sparkSession
+    narrow = members.select("cluster", "block", "node", "sketch")
+    with shuffles(spark, narrow.count(), MEMBERS):
+        firsts = narrow.join(roots, "node", "left").groupBy("cluster", "block", F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("size"), F.min("node").alias("node"))
+        firsts = firsts.groupBy("cluster", "block").agg(F.max_by("node", F.struct("size", "root")).alias("node"))
+        firsts = written(firsts.select("node", F.floor(F.col("block") / F.lit(cluster)).cast("long").alias("place")), "firsts")
+        blocks = written(members.groupBy("cluster").agg(F.max("block").alias("last")), "last")
+    met = members.join(firsts, "node").select("cluster", F.col("place").alias("block"), "node", "sketch", "text", F.lit(None).cast("boolean").alias("asked"), F.lit(None).cast("binary").alias("owner"))
+    roots = extended(roots, written(_links(met, width), "links"))
 
-def _join_blocks(members: DataFrame, links: DataFrame, width: int) -> DataFrame:
-    """Links between the blocks of clusters that are too large for one task; see step 3."""
     done: DataFrame | None = None
-    for turn in (0, 1):
-        roots = components(links)
-        named = members.select("cluster", "block", "node").join(roots, "node", "left").select("cluster", "block", "node", F.coalesce("root", "node").alias("root"))
-        named = written(named, "named")
-        keys = ["cluster", "block"] if turn == 0 else ["cluster"]
-        sizes = named.groupBy(*keys, "root").agg(F.count("*").alias("size"), F.min("node").alias("one"))
-        tagged = named.join(_largest(sizes, keys), keys).join(sizes, [*keys, "root"])
-        asked = tagged.where("root <> largest" if turn else "root <> largest OR node = one").select("cluster", "node", "root")
-        if turn and done is not None:
-            asked = asked.join(done.select("node"), "node", "left_anti")
-        asked = written(asked, "asked")
+    for every in (False, True):
+        with shuffles(spark, narrow.count(), MEMBERS):
+            tagged = _tagged(narrow, roots, every)
+        if done is not None:
+            tagged = tagged.join(done.select("node", F.lit(True).alias("was")), "node", "left").withColumn("asked", F.col("asked") & F.col("was").isNull()).drop("was")
+        asked = tagged.where("asked")
         if asked.isEmpty():
-            break
+            continue
         done = asked
-        blocks = members.groupBy("cluster").agg(F.max("block").alias("last"))
-        texts = members.join(asked.select("node", "root"), "node").join(blocks, "cluster")
-        out = texts.select("cluster", F.explode(F.sequence(F.lit(0), "last")).alias("block"), "node", "sketch", "text", F.lit(True).alias("asked"), F.col("root").alias("owner"))
-        rest = members.join(asked.select("node"), "node", "left_anti").join(named.select("node", F.col("root").alias("owner")), "node")
-        rest = rest.select("cluster", "block", "node", "sketch", "text", F.lit(False).alias("asked"), "owner")
-        links = written(links.unionByName(_links(out.unionByName(rest), width)), "links")
-    return links
+        own = tagged.select("cluster", "block", F.lit(False).alias("visits"), F.lit(-1).alias("home"), "asked", "owner", "node", "sketch")
+        out = asked.join(blocks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), "last")).alias("to"), F.lit(True).alias("visits"), F.col("block").alias("home"), "asked", "owner", "node", "sketch")
+        rows = own.unionByName(out.withColumnRenamed("to", "block").where("home <> block"))
+        meetings = rows.repartition(width, "cluster", "block").sortWithinPartitions("cluster", "block", "visits", "home").mapInArrow(_meetings, MEETING)
+        pair = (F.col("home").cast("long") * (1 << 31) + F.col("block")).alias("block")
+        meetings = written(meetings, "meetings")
+        if meetings.isEmpty():
+            continue
+        tested = meetings.select("cluster", pair, "node", "asked", "owner").join(members.select("node", "sketch", "text"), "node")
+        roots = extended(roots, written(_links(tested, width), "links"))
+    return roots
 
 
 def _visits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +423,8 @@ def _join_regions(dealt: DataFrame, sketches: DataFrame, roots: DataFrame, width
     """The components ``roots`` after all pairs of regions (key, block, node) that are dealt out; see step 2."""
     named = dealt.join(roots, "node", "left").select("key", "block", "node", F.coalesce("root", "node").alias("owner"))
     named = written(named, "regions")
-    largest = _largest(named.groupBy("key", F.col("owner").alias("root")).agg(F.count("*").alias("size")), ["key"])
+    sizes = named.groupBy("key", "owner").agg(F.count("*").alias("size"))
+    largest = written(sizes.groupBy("key").agg(F.max_by("owner", F.struct("size", "owner")).alias("largest")), "largest")
     asked = named.join(largest, "key").select("key", "block", "node", "owner", (F.col("owner") != F.col("largest")).alias("asked"))
     asked = written(asked, "asked")
     if asked.where("asked").isEmpty():
@@ -340,14 +435,15 @@ def _join_regions(dealt: DataFrame, sketches: DataFrame, roots: DataFrame, width
     rows = rows.unionByName(out.withColumnRenamed("to", "block").where("home <> block")).join(sketches, "node")
     rows = rows.select("key", "block", "visits", "home", "asked", "owner", "node", "sketch").repartition(width, "key", "block").sortWithinPartitions("key", "block", "visits")
     links = rows.mapInArrow(_visits, "a binary, b binary")
-    return components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return extended(roots, written(links, "links"))
 
 
 def likely_roots(classes: DataFrame, width: int, hot: int = HOT) -> DataFrame:
     """(node, root) of the components of likely links between classes (node, sketch)."""
-    forest = classes.select("node", "sketch").mapInArrow(_tree_rows, "key long, deep long, node binary").repartition(width, "key")
-    forest = forest.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    block = F.when(F.col("n") > hot, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(hot))).cast("int")).otherwise(F.lit(COLD))
+    sizes = classes.select("sketch").mapInArrow(_tree_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = written(sizes, "sizes")
+    forest = classes.select("node", "sketch").mapInArrow(_tree_rows, "key long, deep long, node binary").join(sizes.hint("shuffle_hash"), "key")
+    block = F.when(F.col("n") > hot, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / F.lit(hot))).cast("int")).otherwise(F.lit(COLD))
     forest = forest.select("key", block.alias("block"), "deep", "node")
     first = forest.where("block >= 0").groupBy("key", "block").agg(F.min(F.struct("deep", "node")).alias("f")).select("key", F.lit(STAND_INS).alias("block"), "f.deep", "f.node")
     forest = written(forest.unionByName(first), "forest")
@@ -361,7 +457,7 @@ def likely_roots(classes: DataFrame, width: int, hot: int = HOT) -> DataFrame:
 def near_duplicates(docs: DataFrame, cluster: int = CLUSTER, cluster_shingles: int = CLUSTER_SHINGLES, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; see the module's docstring."""
     result = _grouped(docs, cluster, cluster_shingles, hot)
-    component = F.coalesce("component", "did")
+    component = F.coalesce(_smallest_id(F.col("root")), "did")
     return result.select(
         F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_shingles", F.when(component != NO_ID, component).alias("component_id"), (F.col("did") == component).alias("kept")
     )
@@ -371,12 +467,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs``, with all their columns, with one row left of each group: that with the smallest id, and of
     those with one id that with the smallest text hash.  Rows without words all stay."""
     found = _grouped(docs)
-    worded = found.where("root IS NOT NULL").withColumnsRenamed({"did": "__did", "th": "__th"})
-    chosen = worded.groupBy("root").agg(F.min(F.struct("__did", "__th")).alias("k")).select("k.*")
-    bare = found.where("root IS NULL").select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct()
-    keys = ["__did", "__th"]
+    keys = did, th = free_names(docs, "did", "th")
+    worded = found.where("root IS NOT NULL").select("root", F.col("did").alias(did), F.col("th").alias(th))
+    chosen = worded.groupBy("root").agg(F.min(F.struct(did, th)).alias("k")).select("k.*")
+    bare = found.where("root IS NULL").select(F.col("did").alias(did), F.col("th").alias(th)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(text)})
+    keyed = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64(text)})
     kept = keyed.join(chosen.unionByName(bare).hint("shuffle_hash"), keys, "left_semi")
     repeated = worded.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
     if not repeated.isEmpty():
@@ -384,31 +480,39 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _label(did: Column, content: Column) -> Column:
+    """Bytes that sort as (did, content) does."""
+    return F.concat(F.unhex(F.lpad(F.hex(did.bitwiseXOR(F.lit(SIGN))), 16, "0")), content)
+
+
+def _smallest_id(label: Column) -> Column:
+    return F.conv(F.hex(F.substring(label, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(SIGN))
+
+
 def _grouped(docs: DataFrame, cluster: int = CLUSTER, cluster_shingles: int = CLUSTER_SHINGLES, hot: int = HOT) -> DataFrame:
-    """did, th, n_shingles of every row, its group's root (null without words) and smallest id."""
+    """did, th, n_shingles of every row and its group's root, a label (null without words)."""
     width = shuffle_width(docs.sparkSession)
     texts = id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("th"), "text")
     rows = written(texts.mapInArrow(per_slice(_sketch_slice), SKETCH), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("did", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = written(classes.select("node", "rep.did", "rep.th", "n_shingles", "sketch"), "classes")
+    classes = rows.where("n_shingles > 0").groupBy("set").agg(F.min(F.struct("did", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select(_label(F.col("rep.did"), F.col("set")).alias("node"), "set", "rep.did", "rep.th", "n_shingles", "sketch"), "classes")
 
     roots = likely_roots(classes, width, hot)
     clusters = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
     members = clusters.join(classes, "node").select("node", F.col("root").alias("cluster"), "did", "th", "n_shingles", "sketch")
+    members = written(members, "clusters")
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(cluster)), F.ceil(F.sum("n_shingles") / F.lit(cluster_shingles))).cast("int").alias("blocks"))
-    members = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.join(written(blocks, "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = texts.join(members.hint("shuffle_hash"), ["did", "th"]).select("cluster", "block", "blocks", "node", "sketch", "text")
     members = written(members, "members")
-    links = written(_links(members.withColumns({"asked": F.lit(None).cast("boolean"), "owner": F.lit(None).cast("binary")}), width), "links")
+    roots = components(_links(members.withColumns({"asked": F.lit(None).cast("boolean"), "owner": F.lit(None).cast("binary")}), width))
     large = members.where("blocks > 1").drop("blocks")
     if not large.isEmpty():
-        links = _join_blocks(large, links, width)
+        roots = _join_blocks(large, roots, width, cluster)
 
-    named = classes.select("node", "did").join(components(links), "node", "left").select("node", "did", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("did").alias("component"))
-    named = named.join(least, "root").select("node", "root", "component")
-    return rows.select("did", "th", "n_shingles", "node").join(named, "node", "left").select("did", "th", "n_shingles", "root", "component")
+    named = classes.select("node", "set").join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))
+    return rows.select("did", "th", "n_shingles", "set").join(written(named, "groups"), "set", "left").select("did", "th", "n_shingles", "root")
 
 
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
