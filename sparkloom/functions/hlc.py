@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 MOST = 0xFFFF
 DRIFT_ALARM_MS = 60_000
+READABLE = re.compile("([0-9a-fA-F]{1,12})-([0-9a-fA-F]{1,4})-.")
 
 
 def written(ms: Column, counter: Column, device: Column) -> Column:
@@ -22,6 +24,11 @@ def parsed(clock: Column) -> Column:
     return F.when(good, F.struct(F.conv(F.get(p, 0), 16, 10).cast("bigint").alias("ms"), F.conv(F.get(p, 1), 16, 10).cast("int").alias("counter"), F.get(p, 2).alias("device")))
 
 
+def stretch(clock: Column) -> Column:
+    """The stretch of time a clock lies in, some four and a half hours; it sorts as clocks do."""
+    return F.substring(clock, 1, 6)
+
+
 def drifts(ms: Column, seen_ms: Column) -> Column:
     return F.abs(ms - seen_ms) > DRIFT_ALARM_MS
 
@@ -46,7 +53,10 @@ class Clock:
         return self._set(now, 0) if now > self.ms else self._set(self.ms, self.counter + 1)
 
     def absorb(self, other: str, now: int) -> str:
-        ms, counter = (int(x, 16) for x in other.split("-")[:2])
+        """The clock after an event of another device; what can't be read leaves it as it is."""
+        if not (found := READABLE.match(other)):
+            return str(self)
+        ms, counter = (int(x, 16) for x in found.groups())
         self.drift = max(self.drift, ms - now)
         top = max(self.ms, ms, now)
         same = [c for m, c in ((self.ms, self.counter), (ms, counter)) if m == top]

@@ -100,39 +100,42 @@ def next_occurrence(now: Column, weekday: int, hour: int) -> Column:
 
 
 def assigned(units_: list[dict], followed: list[str], before: dict[str, str] | None = None) -> dict[str, str]:
-    """Which unit each followed topic works on: its own while open, else what it had, else the next open one of
-    its area.  At most a few dozen units and each choice depends on the last, so this runs on the driver.
+    """Which unit each followed topic works on.
 
-    units_ are dicts with slug, area, open (something left to do) and checks, in plan order.
+    Every topic has a ranked list of units that it may work on: its own while there is something left
+    to do, the one it worked on before, then the other open ones of its area in plan order from its own
+    on, those last that another topic which is back on its own unit worked on before.  Topics choose by
+    the kind of their best choice (own, former, other), within a kind in the order they are followed in,
+    or of the plan for other units; nobody gets a unit that is taken.  A topic without choice keeps its own.
+
+    units_ are dicts with slug, area, open (something left to do) and checks, in plan order: a few dozen
+    that depend on one another, so this runs on the driver.
     """
-    before, taken, out = before or {}, set(), {}
-    place = {u["slug"]: i for i, u in enumerate(units_)}
-    mine = [s for s in dict.fromkeys(followed) if s in place and units_[place[s]]["checks"]]
-
-    def take(slug: str, unit: dict) -> None:
-        out[slug] = unit["slug"]
-        taken.add(unit["slug"])
-
-    def is_free(unit: dict | None, area: str | None) -> bool:
-        return bool(unit and area and unit["area"] == area and unit["open"] and unit["slug"] not in taken)
-
-    for s in mine:
-        if units_[place[s]]["open"] and s not in taken:
-            take(s, units_[place[s]])
-    for s in mine:
-        had = before.get(s)
-        if s not in out and had in place and is_free(units_[place[had]], units_[place[s]]["area"]):
-            take(s, units_[place[had]])
-    promised = {before[s] for s in mine if out.get(s) == s and before.get(s)}
-    for s in sorted(mine, key=place.__getitem__):
-        if s in out:
-            continue
-        later = units_[place[s] + 1 :] + units_[: place[s]]
-        choices = [u for u in later if is_free(u, units_[place[s]]["area"])]
-        best = next((u for u in choices if u["slug"] not in promised), choices[0] if choices else None)
-        if best:
-            take(s, best)
-    return {s: out.get(s, s) for s in mine}
+    own, former, other = range(3)
+    before = before or {}
+    plan = {u["slug"]: (nth, u) for nth, u in enumerate(units_)}
+    topics = {s: nth for nth, s in enumerate(dict.fromkeys(followed)) if s in plan and plan[s][1]["checks"]}
+    result: dict[str, str] = {}
+
+    def bid(topic: str) -> tuple[tuple[int, int], str] | None:
+        """(kind and turn, unit) of the topic's best free unit."""
+        nth, mine = plan[topic]
+        free = [u for u in units_ if u["open"] and u["slug"] not in result.values()]
+        if any(u is mine for u in free):
+            return (own, topics[topic]), topic
+        kept = {before[t] for t in topics if result.get(t) == t and t in before}
+        near = [u["slug"] for u in free if mine["area"] and u["area"] == mine["area"]]
+        if before.get(topic) in near:
+            return (former, topics[topic]), before[topic]
+        near.sort(key=lambda s: (s in kept, (plan[s][0] - nth) % len(units_)))
+        return ((other, nth), near[0]) if near else None
+
+    waiting = dict(topics)
+    while bids := {t: b for t in waiting if (b := bid(t))}:
+        topic = min(bids, key=lambda t: bids[t][0])
+        result[topic] = bids[topic][1]
+        del waiting[topic]
+    return {t: result.get(t, t) for t in topics}
 
 
 def scenarios(exercises: DataFrame, notes: DataFrame) -> DataFrame:

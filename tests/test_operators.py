@@ -87,12 +87,11 @@ def test_stream_batches_equal_one_batch(spark, tmp_path):
     assert states(projection.state(spark, folder, 2)) == states(eventlog.projected(spark.createDataFrame(EVENTS, LOG)))
 
 
-def test_cursor_rules():
-    assert projection.next_cursor(10_000_000, None, True, 5) == 9_400_000
-    assert projection.next_cursor(10_000_000, 9_000_000, False, 5) == 9_000_000
-    assert projection.next_cursor(10_000_000, 9_999_999, False, 5) == 9_400_000
-    assert projection.next_cursor(0, 1, True, 5) == 5
-    assert projection.next_cursor(1_000, 10_000, True, 5) == 5
+def test_cursor_rules(spark):
+    cases = [(10_000_000, None, True, 5, 9_400_000), (10_000_000, 9_000_000, False, 5, 9_000_000), (10_000_000, 9_999_999, False, 5, 9_400_000), (0, 1, True, 5, 5), (1_000, 10_000, True, 5, 5), (None, 1, True, None, None)]
+    df = spark.createDataFrame(cases, "server long, last long, finished boolean, old long, expected long")
+    got = df.select(projection.next_cursor(F.col("server"), F.col("last"), F.col("finished"), F.col("old")).alias("n"), "expected").collect()
+    assert all(r.n == r.expected for r in got)
 
 
 def test_clock():
@@ -102,6 +101,7 @@ def test_clock():
     c.counter = 0xFFFF
     assert c.tick(10) == f"{501:012x}-0000-a"
     assert c.absorb(f"{400:012x}-0001-b", 900) == f"{900:012x}-0000-a"
+    assert c.absorb("not a clock", 5000) == c.absorb("", 5000) == f"{900:012x}-0000-a"
 
 
 def test_clock_parsing(spark):
@@ -178,6 +178,77 @@ def test_urls(spark):
     assert got == [("a.b.example.com", "example.com"), ("blog.site.co.uk", "site.co.uk"), (None, None)]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # a page's own article, whatever else is longer
+        ("<body><div>" + "menu " * 90 + "</div><article><h2>Title <b>bold</b></h2><p>First<p>Second</article></body>", "# Title bold\n\nFirst\n\nSecond"),
+        ("<article> <nav>only links</nav> </article><main>the main part</main>", "the main part"),  # an empty article does not count
+        ("<article>one</article><article>two two two</article>", "one"),
+        # the fullest div, the deeper of two with the same text
+        (f"<div>{'a ' * 150}</div><div><div id=x>{'b ' * 160}</div></div>", ("b " * 160).strip()),
+        (f"<body>lead<div>{'c ' * 90}</div></body>", "lead\n\n" + ("c " * 90).strip()),  # too short a div: the body
+        # what is no text
+        ("<body>a<script>if (1 < 2) x</script><form>f<p>g</form>b<svg><p>s</svg><footer>z</footer></body>", "ab"),
+        ("<body><nav>never closed<p>gone</body>", ""),
+        ("<nav>x<div>y</nav>z</div>", "z"),
+        # blocks, breaks and headings
+        ("<ul><li>one<li>two</ul>x<br>y<hr>z", "one\n\ntwo\n\nx\n\ny\n\nz"),
+        ("t<h1>\n</h1>u<h3>a<br>b</h3>v", "t\n\nu\n\n# a b\n\nv"),
+        ("a &amp; b&nbsp;c &#" + "9" * 9000 + ";", "a & b c \ufffd"),
+        ("", ""),
+        (None, ""),
+        ("</p></div>stray", "stray"),
+    ],
+)
+def test_html_text_of_known_pages(page, text):
+    assert html.text_of(page) == text
+
+
+def test_html_text_of_deep_pages():
+    deep = html.MOST_DEPTH + 300
+    assert html.text_of("<div>" * deep + "deep" + "</div>" * deep + "<p>after") == "deep\n\nafter"
+    assert html.text_of("<b>" * deep + "<script>x</script>") == "x"  # beyond the levels that are kept apart
+
+
+def test_transcripts_by_place():
+    srt = "1\n00:00:01,000 --> 00:00:02,000\n42\n2\n00:00:02,000 --> 00:00:03,000\nNOTE this down\n\n3\n00:00:03,000 --> 00:00:04,000\nNOTE this down\n1999"
+    assert html.prose_of(srt) == "42 NOTE this down 1999"
+    vtt = "\ufeffWEBVTT - a talk\nKind: captions\n\nNOTE\nby hand\n\nSTYLE\n::cue {}\n\nintro\n00:00.000 --> 00:01.000 align:start\n<v Ann>Hello &amp; <c>welcome</c>\n\n00:01.000 --> 00:02.000\nHello & welcome\nto you"
+    assert html.prose_of(vtt.replace("\n", "\r\n")) == "Hello & welcome to you"
+    assert html.prose_of('[{"body": "a"}, {"body": "a"}, {"text": "b"}, 3]') == "a b"
+    assert html.prose_of("[1] not JSON") == "[1] not JSON" and html.prose_of('{"x": 1}') == ""
+
+
+def test_paragraphs_of_printed_pages():
+    page = "The \ufb01rst line of this page is long and goes\non over the next one, which is as long, and\nends here.\nAnother paragraph starts on the next line of\nthe page and has a hyphen-\nated word, and \ufb05yle.\n\n\nLast\x07 one"
+    assert html.paragraphs_of(page) == "The first line of this page is long and goes on over the next one, which is as long, and ends here.\n\nAnother paragraph starts on the next line of the page and has a hyphenated word, and style.\n\nLast one"
+    assert html.paragraphs_of(None) == html.paragraphs_of(" \n\n") == ""
+
+
+def test_links_in_any_quotes(spark):
+    page = """<a class=x href="/a b">1</a><A HREF='/c"d'>2</A><a href=/e>3</a><a name=q>4</a><a title="x" href = "/f">5</a><area href="/no"> <a """
+    assert spark.createDataFrame([(page,)], "p string").select(html.links(F.col("p"))).first()[0] == ["/a b", '/c"d', "/e", "/f"]
+
+
+def test_projects_of_topics():
+    def unit(slug, area="x", open=True, checks=True):
+        return {"slug": slug, "area": area, "open": open, "checks": checks}
+
+    plan = [unit("a", open=False), unit("b"), unit("c", open=False), unit("d"), unit("e", area="y"), unit("f", area=None, open=False), unit("g", open=False, checks=False)]
+    assert study.assigned(plan, []) == {} and study.assigned(plan, ["g", "none"]) == {}
+    assert study.assigned(plan, ["b", "b", "e"]) == {"b": "b", "e": "e"}
+    assert study.assigned(plan, ["a", "c"]) == {"a": "b", "c": "d"}
+    assert study.assigned(plan, ["c", "a"], {"c": "b"}) == {"c": "b", "a": "d"}  # what it had comes before plan order
+    assert study.assigned(plan, ["a", "d", "b"]) == {"a": "a", "d": "d", "b": "b"}  # nothing left for a
+    assert study.assigned(plan, ["f"], {"f": "b"}) == {"f": "f"}  # no area, no other unit
+    assert study.assigned(plan, ["a"], {"a": "e"}) == {"a": "b"}  # another area's unit is not taken up again
+    # b is back on its own unit and worked on d before: others take d last
+    more = [*plan[:4], unit("h")]
+    assert study.assigned(more, ["a", "b"], {"b": "d"}) == {"a": "h", "b": "b"}
+    assert study.assigned(more, ["a", "b", "c"], {"b": "d"}) == {"a": "h", "b": "b", "c": "d"}
+
+
 def test_html_text():
     page = "<html><head><title>no</title></head><body><nav>menu</nav><article><h1>Head <b>line</b></h1><p>One<p>Two &amp; three<script>x()</script></article><footer>f</footer></body>"
     assert html.text_of(page) == "# Head line\n\nOne\n\nTwo & three"
@@ -216,7 +287,7 @@ def test_every_text_comes_back_from_its_inverted_index(spark, data):
     from sparkloom import plans
 
     texts = {r.doc_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{data}/documents.parquet").where("text IS NOT NULL").collect()}
-    got = plans.queries()["inverted_abstract_all"](spark, data).collect()
+    got = plans.queries()["inverted_abstract"](spark, data).collect()
     assert len(got) == len(texts) and all(" ".join(r.text.split()) == texts[r.doc_id] for r in got)
 
 
