@@ -11,14 +11,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-#: Accented Latin letters and what they are without accents.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+def _bare_letters() -> dict[str, str]:
+    """Lower-case letters of Latin, Greek and Cyrillic with marks -> without them, by canonical decomposition."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if bare != c and len(bare) == 1 and c == c.lower():
+            out[c] = bare
+    return out
+
+
+_BARE = _bare_letters()
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c))
 
 
 def folded(text: Column) -> Column:
-    """Lower case without the accents of Latin letters; stays in generated code."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without combining marks, whether letters are composed or not; stays in generated code."""
+    return F.translate(F.lower(text), "".join(_BARE) + _MARKS, "".join(_BARE.values()))
 
 
 @F.pandas_udf(StringType())
@@ -66,6 +75,22 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+#: Names of the archives.
+ARCHIVES = {
+    "arxiv": "arXiv", "openalex": "OpenAlex", "doaj": "DOAJ", "crossref": "Crossref", "zenodo": "Zenodo",
+    "europepmc": "Europe PMC", "doab": "DOAB", "gutenberg": "Project Gutenberg", "standard_ebooks": "Standard Ebooks",
+}
+
+
+def source_name(source: Column) -> Column:
+    """A source as readers know it: a feed's own name out of rss[...], else the first of joined sources without
+    its bracket, by the archive's name; empty for none.  A feed's name may hold brackets and plus signs."""
+    feed = F.regexp_extract(F.trim(source), r"^rss\[(.*?)\](?:\+|$)", 1)
+    first = F.regexp_replace(F.trim(F.substring_index(source, "+", 1)), r"\[.*\]$", "")
+    names = F.create_map(*(F.lit(x) for pair in ARCHIVES.items() for x in pair))
+    return F.coalesce(F.when(F.trim(source).rlike(r"^rss\[.*?\](\+|$)"), F.trim(feed)), F.try_element_at(names, first), first, F.lit(""))
+
+
 def scrubbed(text: Column) -> Column:
     """Without NUL characters, which text columns of other stores refuse."""
     return F.regexp_replace(text, "\\x00", "")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 #: Thresholds of the acceptance criteria and of the breaker.
 MOST_DAYS, SAMPLE, USEFUL, DISTINCT, PAYWALLS = 365, 10, 4, 0.8, 1
+LEAST_SUMMARY = 500
 BREAKER_NETWORK, BREAKER_FALL, BREAKER_LEAST = 0.4, 0.5, 5
 ACCEPTED, TRANSIENT = "ACEPTADA", "TRANSITORIO"
 
@@ -17,10 +18,12 @@ def upper_median(values: Column) -> Column:
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def criteria(items: DataFrame, today: str) -> DataFrame:
+def criteria(items: DataFrame, today: str, broken: DataFrame | None = None) -> DataFrame:
     """Per source, over its first ten items: the measurements and why it is not accepted.
 
-    items: source, nth, day, useful, summary_chars, title_key, licensed, same_site, walled.
+    items: source, nth, day, useful, summary_chars, title_key, licensed, same_site, walled, is_pdf,
+    reachable (whether the article itself could be read).  broken: (source, problem) of sources whose
+    feed gave nothing and could not be mended; they have no measurements.
     """
     some = items.where(F.col("nth") <= SAMPLE)
     g = some.groupBy("source").agg(
@@ -33,6 +36,8 @@ def criteria(items: DataFrame, today: str) -> DataFrame:
         F.max("licensed").alias("licensed"),
         F.max("same_site").alias("same_site"),
         F.count_if(F.col("walled") & (F.col("nth") <= 3)).alias("walled"),
+        F.count_if("is_pdf").alias("n_pdf"),
+        F.count_if(F.col("reachable") & (F.col("nth") <= 3)).alias("reachable"),
     )
     tests = [
         ("p0 muerto", F.col("days") > MOST_DAYS),
@@ -42,9 +47,14 @@ def criteria(items: DataFrame, today: str) -> DataFrame:
         ("p7 sin licencia", ~F.col("licensed")),
         ("p8 canal", ~F.col("same_site")),
         ("p9 muro", F.col("walled") > PAYWALLS),
+        ("p9 sin texto accesible", (F.col("reachable") == 0) & (F.col("median_chars") < LEAST_SUMMARY)),
     ]
     reason = F.concat_ws("; ", *(F.when(test, name) for name, test in tests))
-    return g.withColumn("reason", F.when(reason == "", ACCEPTED).otherwise(reason))
+    judged = g.withColumn("reason", F.when(reason == "", ACCEPTED).otherwise(reason))
+    if broken is None:
+        return judged
+    down = broken.join(g.select("source"), "source", "left_anti").select("source", F.concat(F.lit("p1 roto ("), "problem", F.lit(")")).alias("reason"))
+    return judged.unionByName(down, allowMissingColumns=True)
 
 
 def tally(audit: DataFrame) -> DataFrame:
@@ -57,12 +67,26 @@ def health(audit: DataFrame, topic: str) -> DataFrame:
     return audit.groupBy(topic).agg(F.count_if(F.col("reason") == ACCEPTED).alias("accepted"), F.count("*").alias("candidates"), F.count_if(F.col("reason") != ACCEPTED).alias("to_review"))
 
 
-def breaker(audit: DataFrame, previous: int) -> DataFrame:
-    """One row: whether a run looks like a broken network rather than broken sources."""
-    network = F.col("reason").rlike("HTTP 403|HTTP 5[0-9][0-9]|timeout|TRANSITORIO|anti-bot")
-    one = audit.agg(F.count("*").alias("n"), F.count_if(network).alias("network"), F.count_if(F.col("reason") == ACCEPTED).alias("accepted"))
-    fall = (F.lit(previous) >= BREAKER_LEAST) & (F.col("accepted") < F.lit(previous) * (1 - BREAKER_FALL))
-    return one.withColumn("open", (F.col("network") >= BREAKER_NETWORK * F.greatest(F.col("n"), F.lit(1))) | fall)
+#: What a reason says when it is the network's; how a licence begins that needs no page of the site.
+NETWORK = r"HTTP 403|HTTP 5\d\d|status=None|anti-bot|URLError|timeout|NO_DESCARGADA|sin texto accesible|TRANSITORIO"
+METADATA_ONLY = "solo metadati"
+
+
+def breaker(audit: DataFrame, previous: int, previous_site: int = 0) -> DataFrame:
+    """One row: whether a run looks like a broken network rather than broken sources.
+
+    Too many network failures, or a fall of what is accepted: of all sources, or of those whose licence
+    stands on their own pages (audit has a column licence), which fall alone when front pages do not answer.
+    """
+
+    def falls(before: int, now: str):
+        return (F.lit(before) >= BREAKER_LEAST) & (F.col(now) < F.lit(before) * (1 - BREAKER_FALL))
+
+    accepted = F.col("reason") == ACCEPTED
+    of_site = accepted & ~F.coalesce(F.col("licence"), F.lit("")).startswith(METADATA_ONLY) if "licence" in audit.columns else accepted
+    one = audit.agg(F.count("*").alias("n"), F.count_if(F.col("reason").rlike(NETWORK)).alias("network"), F.count_if(accepted).alias("accepted"), F.count_if(of_site).alias("accepted_site"))
+    network = F.col("network") >= BREAKER_NETWORK * F.greatest(F.col("n"), F.lit(1))
+    return one.withColumn("open", network | falls(previous, "accepted") | falls(previous_site, "accepted_site"))
 
 
 def failures(before: DataFrame, now: DataFrame, most: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ its cost does not grow with the number of terms.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +54,24 @@ def items_of_documents(docs: DataFrame) -> DataFrame:
 
 
 def any_word(column: Column, terms: list[str]) -> Column:
-    """Whether any of the terms stands in the text as whole words."""
-    return reduce(lambda a, b: a | b, (text.has_word(text.folded(column), t) for t in terms))
+    """Whether any of the terms stands in the text as whole words; one pattern for all of them."""
+    return text.folded(column).rlike(rf"(?U)(?<!\w)(?:{'|'.join(map(re.escape, terms))})(?!\w)")
+
+
+#: Titles that are no publications; editorial noise; phrases of pieces worth a look without a topic.
+NOT_PUBLICATIONS = [
+    "retracted", "retraction of", "erratum", "corrigendum", "withdrawn",
+    "table of contents", "front matter", "back matter", "editorial board",
+    "call for papers", "conference programme", "author index", "issue information",
+]
+NOISE = [
+    "round di finanziamento", "funding round", "series a", "series b", "valuation", "nomina", "appointed",
+    "joins as", "steps down", "hires", "lancia il nuovo", "announces the launch", "now available",
+    "general availability", "predizioni per il", "predictions for", "trends to watch", "what to expect in",
+    "migliori strumenti", "best tools", "top 10", "top 5", "listicle", "ha dichiarato che", "ceo says",
+    "reacts to", "slams", "sparks debate", "partnership with", "acquisisce", "acquires",
+]
+SIGNALS = ["case study", "lessons learned", "field notes", "retrospective", "how we built", "deep dive", "long read", "history of", "what we learned", "post-mortem"]
 
 
 _NOT_WORD = r"[^\p{L}\p{N}_]+"
@@ -95,14 +111,17 @@ def classified(scores: DataFrame, most: int = 2, threshold: float = THRESHOLD) -
 
 
 def best_copies(items: DataFrame, key: str = "key") -> DataFrame:
-    """One item per key: the one with a PDF, then the longest abstract, then the first; sources of all copies
-    are named, the kept one's first, then the others in reading order."""
+    """(key, idx, sources, n_dropped) of one item per key: the one with a PDF, then the longest abstract, then the
+    first; sources of all copies are named, the kept one's first, then the others in reading order.  Items without
+    a key are nobody's copies and all stay."""
     rank = F.struct(F.col("has_pdf"), F.length(F.coalesce("abstract", F.lit(""))), -F.col("idx"))
-    row = F.struct(*[F.col(c) for c in items.columns])
-    g = items.groupBy(F.col(key).alias("__key")).agg(F.max_by(row, rank).alias("row"), F.array_sort(F.collect_list(F.struct("idx", "source"))).alias("all"))
-    others = F.filter("all", lambda x: x["idx"] != F.col("row.idx"))
-    sources = F.concat_ws("+", F.array(F.col("row.source")), F.transform(others, lambda x: x["source"]))
-    return g.select("row.*", sources.alias("sources"), (F.size("all") - 1).alias("n_dropped"))
+    narrow = items.select(F.col(key).alias("key"), "idx", "source", rank.alias("rank"))  # texts stay where they are
+    keyed, bare = narrow.where(F.coalesce("key", F.lit("")) != ""), narrow.where(F.coalesce("key", F.lit("")) == "")
+    g = keyed.groupBy("key").agg(F.max_by(F.struct("idx", "source"), "rank").alias("best"), F.array_sort(F.collect_list(F.struct("idx", "source"))).alias("all"))
+    others = F.filter("all", lambda x: x["idx"] != F.col("best.idx"))
+    sources = F.concat_ws("+", F.array(F.col("best.source")), F.transform(others, lambda x: x["source"]))
+    one = g.select("key", "best.idx", sources.alias("sources"), (F.size("all") - 1).alias("n_dropped"))
+    return one.unionByName(bare.select("key", "idx", F.coalesce("source", F.lit("")).alias("sources"), F.lit(0).alias("n_dropped")))
 
 
 def reasons(items: DataFrame, seen: DataFrame, topics: DataFrame, not_publications: list[str], noise: list[str], since: str) -> DataFrame:
@@ -114,10 +133,10 @@ def reasons(items: DataFrame, seen: DataFrame, topics: DataFrame, not_publicatio
         .when((F.col("day") < F.lit(since).cast("date")) & ~F.col("is_book"), "out_of_window")
         .when(F.col("was_seen"), "seen")
     )
-    rank = Window.partitionBy("key", F.isnull("early")).orderBy(F.desc("has_pdf"), F.desc(F.length("abstract")), "idx")
-    placed = marked.withColumn("early", early).withColumn("nth", F.row_number().over(rank))
-    late = F.when(F.col("nth") > 1, "duplicate").when(F.col("has_topic").isNull(), "no_topic").otherwise("new")
-    return placed.select("idx", F.coalesce("early", late).alias("reason"))
+    placed = marked.select("idx", "key", early.alias("early"), "has_topic", F.struct(F.col("has_pdf"), F.length("abstract"), -F.col("idx")).alias("rank"))
+    best = placed.where("early IS NULL").groupBy("key").agg(F.max_by("idx", "rank").alias("idx")).select("idx", F.lit(True).alias("is_best"))
+    late = F.when(F.col("is_best").isNull(), "duplicate").when(F.col("has_topic").isNull(), "no_topic").otherwise("new")
+    return placed.join(best, "idx", "left").select("idx", F.coalesce("early", late).alias("reason"))
 
 
 def worth() -> Column:
@@ -133,6 +152,15 @@ def without_known(items: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return fresh.groupBy(F.col(key).alias("__k")).agg(F.max_by(row, worth()).alias("row")).select("row.*").unionByName(bare)
 
 
+def address_key(url: Column, url_pdf: Column, key: Column) -> Column:
+    """What tells an item by its address: the page's, else the file's, without query and fragment; else its key."""
+
+    def plain(address: Column) -> Column:
+        return F.nullif(F.regexp_replace(F.lower(F.trim(address)), "[?#].*$", ""), F.lit(""))
+
+    return F.coalesce(plain(url), plain(url_pdf), F.concat(F.lit("chiave:"), key))
+
+
 def first_per(items: DataFrame, group: str, most: int, *order: Column | str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(*order)
     return items.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")

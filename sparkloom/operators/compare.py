@@ -23,6 +23,8 @@ class Verdict(str, Enum):
     ROWS = "righe_diverse"
     VALUES = "valori_diversi"
     ERROR = "errore_sql"
+    PREPARATION = "errore_preparazione"
+    REFERENCE = "errore_riferimento"
 
 
 def cell(value: Column, kind: T.DataType) -> Column:
@@ -76,11 +78,43 @@ def judged(expected: DataFrame, got: DataFrame, ordered: bool = False, strict_na
     return Verdict.ORDER if ordered else Verdict.SAME_BUT_ORDER
 
 
-def judged_sql(spark, reference: str, answer: str, ordered: bool = False) -> tuple[Verdict, str | None]:
-    """Verdict on an answer's text against a reference's; an answer that does not run is an error, not an exception."""
-    expected = spark.sql(reference)
+def judged_sql(spark, reference: str, answer: str, ordered: bool = False, preparation: list[tuple[str, str]] = (), run=None) -> tuple[Verdict, str | None]:
+    """Verdict on an answer's text against a reference's, and what the engine said.
+
+    The preparation is (view, SELECT) pairs.  What does not run is an error of the preparation, the
+    reference or the answer, in this order, and never an exception.  ``run`` turns a text into a frame.
+    """
+    run = run or spark.sql
+    rung = Verdict.PREPARATION
     try:
-        got = spark.sql(answer)
-        return judged(expected, got, ordered), None
-    except Exception as problem:  # any engine error is the answer's own
-        return Verdict.ERROR, str(problem).split("\n")[0]
+        for name, select in preparation:
+            run(select).createOrReplaceTempView(name)
+        rung = Verdict.REFERENCE
+        expected = run(reference)
+        expected.count()
+        rung = Verdict.ERROR
+        return judged(expected, run(answer), ordered), None
+    except Exception as problem:  # any engine error belongs to the rung that was reached
+        return rung, str(problem).split("\n")[0]
+
+
+#: How an exercise's text asks for an order.
+ORDER_WORDS = r"(?i)ordin|dal più|dalla più|prime? \d|ultim|classific|posizione|decrescent|crescent"
+
+
+def asks_for_order(prompt: Column, solution: Column) -> Column:
+    """Whether the order of rows matters, as far as the words of a task and a LIMIT in its solution tell."""
+    return prompt.rlike(ORDER_WORDS) | F.regexp_replace(solution, "'[^']*'", "''").rlike(r"(?i)\blimit\b")
+
+
+def validated(spark, statements: dict[str, str], run=None) -> DataFrame:
+    """(name, problem) of reference statements that do not run, give no rows, or give others the second time."""
+    run, rows = run or spark.sql, []
+    for name, sql in statements.items():
+        try:
+            first = run(sql)
+            problem = "no rows" if first.isEmpty() else None if judged(first, run(sql)) == Verdict.SAME else "not repeatable"
+        except Exception as error:  # any engine error is the statement's own
+            problem = f"does not run: {str(error).split(chr(10))[0][:200]}"
+        rows.append((name, problem))
+    return spark.createDataFrame(rows, "name string, problem string").where("problem IS NOT NULL")

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from sparkloom.functions import hlc
+from sparkloom.operators import ordering
 
 CREATE, UPDATE, DELETE = "crea", "aggiorna", "elimina"
 DELETED = "__eliminato"
@@ -65,9 +65,8 @@ def field_writes(log: DataFrame) -> DataFrame:
 
 def conflicts(log: DataFrame) -> DataFrame:
     """Writes of a field whose previous writer was another device; the later write wins."""
-    order = Window.partitionBy(*KEY, "field").orderBy("hlc", "id")
-    before = field_writes(log).withColumns({"loser": F.lag("device").over(order), "lost_id": F.lag("id").over(order)})
-    return before.where("loser <> device").select(*KEY, "field", F.col("id").alias("won_id"), "lost_id", F.col("device").alias("winner"), "loser")
+    before = ordering.with_previous(field_writes(log), [*KEY, "field"], ["hlc", "id"], hlc.stretch(F.col("hlc")), ["device", "id"], "lost")
+    return before.where("lost.device <> device").select(*KEY, "field", F.col("id").alias("won_id"), F.col("lost.id").alias("lost_id"), F.col("device").alias("winner"), F.col("lost.device").alias("loser"))
 
 
 def touched(fresh: DataFrame) -> DataFrame:
@@ -84,11 +83,28 @@ def projected(log: DataFrame) -> DataFrame:
     no other is.  So every task reduces its events to one row per entity and field before
     anything is shuffled, and an entity with very many events is no task's burden.
     """
+    return living(latest_writes(log))
+
+
+LATEST = "entity string, entity_id string, gone boolean, field string, value string, at struct<hlc: string, id: string>"
+
+
+def latest_writes(log: DataFrame) -> DataFrame:
+    """LATEST: the last write of each field, and the last deletion, of each entity."""
     gone = F.col("kind") == DELETE
     rows = log.select(*KEY, position().alias("at"), gone.alias("gone"), F.map_entries(fields(F.col("payload"))).alias("entries"))
     rows = rows.where("gone OR entries IS NOT NULL")
     pairs = rows.select(*KEY, "at", "gone", F.explode_outer(F.when(~F.col("gone"), F.col("entries"))).alias("e"))
-    latest = pairs.groupBy(*KEY, "gone", F.col("e.key").alias("field")).agg(F.max_by("e.value", "at").alias("value"), F.max("at").alias("at"))
+    return settled(pairs.select(*KEY, "gone", F.col("e.key").alias("field"), F.col("e.value").alias("value"), "at"))
+
+
+def settled(writes: DataFrame) -> DataFrame:
+    """Of writes the latest ones: folding a part of them first, or one twice, makes no difference."""
+    return writes.groupBy(*KEY, "gone", "field").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+
+
+def living(latest: DataFrame) -> DataFrame:
+    """Per living entity: fields, hlc; see ``projected``."""
     entity = latest.groupBy(*KEY).agg(F.max(F.when(F.col("gone"), F.col("at"))).alias("last"), F.collect_list(F.when(~F.col("gone"), F.struct("field", "value", "at"))).alias("writes"))
     live = entity.withColumn("live", F.filter("writes", lambda w: F.col("last").isNull() | (w["at"] > F.col("last")))).where(F.size("live") > 0)
     named = F.transform(F.filter("live", lambda w: w["field"].isNotNull()), lambda w: F.struct(w["field"].alias("field"), w["value"].alias("value")))

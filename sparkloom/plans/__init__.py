@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "aggregates", "changelog", "catalogue", "study", "quality", "streams", "sources")
+MODULES = ("relational", "aggregates", "changelog", "catalogue", "study", "quality", "streams", "sources", "library")
 
 
 def _load():

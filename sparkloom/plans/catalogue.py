@@ -60,21 +60,21 @@ def weak_only_topics(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {CLASSIFIED}, seen AS (SELECT DISTINCT key FROM items WHERE idx % 29 = 0),
-early AS (SELECT i.*, cl.topic, CASE WHEN list_has_any(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{{L}}\\p{{N}}_]+'), ['was', 'pour']) THEN 'not_publication'
-WHEN list_has_any(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{{L}}\\p{{N}}_]+'), ['that', 'nicht']) THEN 'noise' WHEN day < DATE '2024-03-01' AND NOT is_book THEN 'out_of_window'
+early AS (SELECT i.*, cl.topic, CASE WHEN list_has_any(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{{L}}\\p{{N}}_]+'), ['was', 'pour']) OR regexp_matches(strip_accents(lower(title)), '\\b({"|".join(c.NOT_PUBLICATIONS)})\\b') THEN 'not_publication'
+WHEN list_has_any(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{{L}}\\p{{N}}_]+'), ['that', 'nicht']) OR regexp_matches(strip_accents(lower(title)), '\\b({"|".join(c.NOISE)})\\b') THEN 'noise' WHEN day < DATE '2024-03-01' AND NOT is_book THEN 'out_of_window'
 WHEN s.key IS NOT NULL THEN 'seen' END AS early FROM items i LEFT JOIN seen s ON s.key = i.key LEFT JOIN classified cl ON cl.idx = i.idx),
 placed AS (SELECT *, row_number() OVER (PARTITION BY key, early IS NULL ORDER BY has_pdf DESC, length(abstract) DESC, idx) AS nth FROM early)
 SELECT coalesce(early, CASE WHEN nth > 1 THEN 'duplicate' WHEN topic IS NULL THEN 'no_topic' ELSE 'new' END) AS reason, count(*) AS n FROM placed GROUP BY 1""")
 def reason_ladder(t: Tables) -> DataFrame:
     i = items(t)
     seen = i.where("idx % 29 = 0").select("key")
-    found = c.reasons(i, seen, classified(t), ["was", "pour"], ["that", "nicht"], "2024-03-01")
+    found = c.reasons(i, seen, classified(t), [*c.NOT_PUBLICATIONS, "was", "pour"], [*c.NOISE, "that", "nicht"], "2024-03-01")
     return found.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY has_pdf DESC, length(abstract) DESC, idx) AS nth FROM items),
+@query(f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY has_pdf DESC, length(abstract) DESC, idx) AS nth FROM items WHERE key <> ''),
 k AS (SELECT key, max(CASE WHEN nth = 1 THEN idx END) AS idx, max(CASE WHEN nth = 1 THEN source END) AS first, count(*) - 1 AS n_dropped, string_agg(source, '+' ORDER BY idx) FILTER (WHERE nth > 1) AS others FROM r GROUP BY 1)
-SELECT key, idx, n_dropped, first || coalesce('+' || others, '') AS sources FROM k""")
+SELECT key, idx, n_dropped, first || coalesce('+' || others, '') AS sources FROM k UNION ALL SELECT key, idx, 0, source FROM items WHERE key = ''""")
 def dedup_best_copy(t: Tables) -> DataFrame:
     return c.best_copies(items(t)).select("key", "idx", F.col("n_dropped").cast("bigint").alias("n_dropped"), "sources")
 
@@ -101,20 +101,25 @@ def dedup_title(t: Tables) -> DataFrame:
     return c.without_known(i, items(t).where("idx % 31 = 0"), "key").select("idx")
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_replace(lower(url), '[?#].*$', '') AS u, length(html) AS n FROM pages),
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'files/' || page_id // 10 || '.pdf' WHEN 1 THEN 'chiave:k' || page_id // 10 ELSE regexp_replace(lower(url), '[?#].*$', '') END AS u, length(html) AS n FROM pages),
 r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n DESC, page_id) AS nth FROM p) SELECT page_id, u FROM r WHERE nth = 1""")
 def dedup_url(t: Tables) -> DataFrame:
-    """The longest page per address without query and fragment; only lengths go through the shuffle."""
-    p = t.pages.select("page_id", F.regexp_replace(F.lower("url"), "[?#].*$", "").alias("u"), F.length("html").alias("n"))
+    """The longest page per address without query and fragment; where a page has none, per file or key.  Only lengths
+    go through the shuffle."""
+    k, ten = F.pmod("page_id", F.lit(5)), F.floor(F.col("page_id") / 10).cast("string")
+    address = c.address_key(F.when(k > 1, F.col("url")).when(k == 1, ""), F.when(k == 0, F.concat(F.lit("FILES/"), ten, F.lit(".pdf#page=2"))), F.concat(F.lit("k"), ten))
+    p = t.pages.select("page_id", address.alias("u"), F.length("html").alias("n"))
     return p.groupBy("u").agg(F.max_by("page_id", F.struct(F.col("n"), -F.col("page_id"))).alias("page_id")).select("page_id", "u")
 
 
 @query(f"""WITH {SCORES}, known AS (SELECT idx FROM (SELECT idx, topic, sum(CASE WHEN strong THEN f ELSE 0.4 * f END) AS s FROM hits JOIN vocabulary USING (term) GROUP BY 1, 2) WHERE round(s, 3) >= 2.8)
-SELECT idx FROM items WHERE idx NOT IN (SELECT idx FROM known) AND n_chars >= 1500 ORDER BY idx LIMIT 5""")
+SELECT idx FROM items WHERE idx NOT IN (SELECT idx FROM known) AND (n_chars >= 1500 OR regexp_matches(strip_accents(lower(title)), '\\b({"|".join(c.SIGNALS)})\\b')) ORDER BY idx LIMIT 5""")
 def exploration_quota(t: Tables) -> DataFrame:
-    """Long items whose words alone settle no topic: a handful a run, by reading order."""
+    """Long items, or with a phrase that promises a good piece, whose words alone settle no topic: a handful a run,
+    by reading order."""
     known = c.topic_scores(items(t), c.vocabulary(t.spark), []).where("score >= 2.8D").select("idx")
-    long = t.documents.where(F.col("n_chars") >= c.EXPLORED_CHARS).select(F.col("doc_id").alias("idx"))
+    promising = c.any_word(F.substring_index("text", "\n", 1), c.SIGNALS)
+    long = t.documents.where((F.col("n_chars") >= c.EXPLORED_CHARS) | promising).select(F.col("doc_id").alias("idx"))
     return long.join(known, "idx", "left_anti").orderBy("idx").limit(c.EXPLORED)
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from sparkloom.functions import hlc
-from sparkloom.operators import eventlog
+from sparkloom.operators import eventlog, ordering
 from sparkloom.plans.registry import query
 from sparkloom.tables import Tables
 
@@ -46,7 +45,8 @@ def hlc_parse(t: Tables) -> DataFrame:
 @query(f"WITH {LOG} SELECT id, row_number() OVER (PARTITION BY entity_id ORDER BY hlc, id) AS nth FROM log")
 def log_order(t: Tables) -> DataFrame:
     """The log's order, entity by entity: a global order needs no global sort to be used."""
-    return log(t).select("id", F.row_number().over(Window.partitionBy("entity_id").orderBy("hlc", "id")).cast("bigint").alias("nth"))
+    rows = log(t).select("entity_id", "hlc", "id")
+    return ordering.numbered(rows, ["entity_id"], ["hlc", "id"], hlc.stretch(F.col("hlc")), "k").select("id", (F.col("k") + 1).alias("nth"))
 
 
 def _two_logs(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +121,7 @@ def unsent_page(t: Tables) -> DataFrame:
     return eventlog.unsent(log(t), sent).select("id")
 
 
-@query(f"WITH {LOG} SELECT count(DISTINCT id) AS n, TRUE AS same FROM log")
+@query(f"WITH {LOG} SELECT count(DISTINCT id) AS n, (SELECT count(*) FROM (SELECT DISTINCT id FROM log)) = count(DISTINCT id) AS same FROM log")
 def log_fingerprint(t: Tables) -> DataFrame:
     """Merging in either order gives the same log."""
     a, b = _two_logs(t)

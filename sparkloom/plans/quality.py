@@ -74,13 +74,15 @@ def feed_dates(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ sources
 
+#: Every seventh source's feed is broken; those of src5 have articles that can't be read.
 AUDIT = """i AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth, DATE '2024-06-01' - (doc_id % 500)::INT AS day, n_chars >= 800 AS useful, n_chars AS summary_chars,
-trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')) AS title_key, contains(lower(text), 'licen') OR source <> 'src3' AS licensed, source <> 'src4' AS same_site, doc_id % 11 = 0 AS walled FROM documents),
+trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')) AS title_key, contains(lower(text), 'licen') OR source <> 'src3' AS licensed, source <> 'src4' AS same_site, doc_id % 11 = 0 AS walled, doc_id % 4 = 1 AS is_pdf, source NOT IN ('src5', 'src6') AS reachable FROM documents WHERE source <> 'src7'),
 g AS (SELECT source, count(*) AS n, date_diff('day', max(day), DATE '2024-06-15')::INT AS days, max(day) = arg_min(day, nth) AS ordered, count(*) FILTER (WHERE useful) AS useful,
-list_sort(list(summary_chars))[len(list(summary_chars)) // 2 + 1] AS median_chars, count(DISTINCT title_key) AS distinct_titles, max(licensed) AS licensed, max(same_site) AS same_site, count(*) FILTER (WHERE walled AND nth <= 3) AS walled FROM i WHERE nth <= 10 GROUP BY 1),
+list_sort(list(summary_chars))[len(list(summary_chars)) // 2 + 1] AS median_chars, count(DISTINCT title_key) AS distinct_titles, max(licensed) AS licensed, max(same_site) AS same_site, count(*) FILTER (WHERE walled AND nth <= 3) AS walled, count(*) FILTER (WHERE is_pdf) AS n_pdf, count(*) FILTER (WHERE reachable AND nth <= 3) AS reachable FROM i WHERE nth <= 10 GROUP BY 1),
 a AS (SELECT *, concat_ws('; ', CASE WHEN days > 365 THEN 'p0 muerto' END, CASE WHEN NOT ordered THEN 'p2 orden' END, CASE WHEN useful < 4 THEN 'p3 utiles' END, CASE WHEN distinct_titles < 0.8 * n THEN 'p6 duplicados' END,
-CASE WHEN NOT licensed THEN 'p7 sin licencia' END, CASE WHEN NOT same_site THEN 'p8 canal' END, CASE WHEN walled > 1 THEN 'p9 muro' END) AS why FROM g),
-audit AS (SELECT *, CASE WHEN why = '' THEN 'ACEPTADA' ELSE why END AS reason FROM a)"""
+CASE WHEN NOT licensed THEN 'p7 sin licencia' END, CASE WHEN NOT same_site THEN 'p8 canal' END, CASE WHEN walled > 1 THEN 'p9 muro' END, CASE WHEN reachable = 0 AND median_chars < 500 THEN 'p9 sin texto accesible' END) AS why FROM g),
+audit AS (SELECT *, CASE WHEN why = '' THEN 'ACEPTADA' ELSE why END AS reason, CASE WHEN source < 'src3' THEN 'solo metadati' ELSE 'cc' END AS licence FROM a
+UNION ALL BY NAME SELECT DISTINCT source, 'p1 roto (HTTP 404)' AS reason, CASE WHEN source < 'src3' THEN 'solo metadati' ELSE 'cc' END AS licence FROM documents WHERE source = 'src7')"""
 
 
 def audited(t: Tables) -> DataFrame:
@@ -96,13 +98,19 @@ def audited(t: Tables) -> DataFrame:
         (F.lower("text").contains("licen") | (source != "src3")).alias("licensed"),
         (source != "src4").alias("same_site"),
         (F.pmod("doc_id", F.lit(11)) == 0).alias("walled"),
+        (F.pmod("doc_id", F.lit(4)) == 1).alias("is_pdf"),
+        (~source.isin("src5", "src6")).alias("reachable"),
     )
-    return audit.criteria(items, "2024-06-15")
+    down = source == "src7"
+    broken = t.documents.where(down).select("source", F.lit("HTTP 404").alias("problem")).distinct()
+    licence = F.when(source < "src3", audit.METADATA_ONLY).otherwise("cc")
+    return audit.criteria(items.where(~down), "2024-06-15", broken).withColumn("licence", licence)
 
 
-@query(f"WITH {AUDIT} SELECT source, days, ordered, useful, median_chars, distinct_titles, walled, reason FROM audit")
+@query(f"WITH {AUDIT} SELECT source, days, ordered, useful, median_chars, distinct_titles, walled, n_pdf, reachable, reason FROM audit")
 def source_criteria(t: Tables) -> DataFrame:
-    return audited(t).select("source", "days", "ordered", "useful", "median_chars", "distinct_titles", "walled", "reason")
+    """The criteria p0 to p9: a row per source.  The window sends a task's first ten items per source at most."""
+    return audited(t).select("source", "days", "ordered", "useful", "median_chars", "distinct_titles", "walled", "n_pdf", "reachable", "reason")
 
 
 @query(f"WITH {AUDIT} SELECT (regexp_extract(source, '[0-9]+')::INT % 4)::INT AS topic, count(*) FILTER (WHERE reason = 'ACEPTADA') AS accepted, count(*) AS candidates, count(*) FILTER (WHERE reason <> 'ACEPTADA') AS to_review FROM audit GROUP BY 1")
@@ -116,9 +124,10 @@ def rejection_tally(t: Tables) -> DataFrame:
     return audit.tally(audited(t))
 
 
-@query(f"WITH {AUDIT} SELECT count(*) AS n, 0::BIGINT AS network, count(*) FILTER (WHERE reason = 'ACEPTADA') AS accepted, count(*) FILTER (WHERE reason = 'ACEPTADA') < 15 * 0.5 AS open FROM audit")
+@query(f"""WITH {AUDIT}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE contains(reason, 'sin texto accesible')) AS network, count(*) FILTER (WHERE reason = 'ACEPTADA') AS accepted,
+count(*) FILTER (WHERE reason = 'ACEPTADA' AND licence = 'cc') AS accepted_site FROM audit) SELECT *, network >= 0.4 * n OR accepted < 15 * 0.5 OR accepted_site < 12 * 0.5 AS open FROM c""")
 def breaker(t: Tables) -> DataFrame:
-    return audit.breaker(audited(t), previous=15)
+    return audit.breaker(audited(t), previous=15, previous_site=12)
 
 
 @query(f"WITH {AUDIT} SELECT topic FROM (SELECT regexp_extract(source, '[0-9]+')::INT % 20 AS topic, reason FROM audit) GROUP BY 1 HAVING count(*) FILTER (WHERE reason = 'ACEPTADA') = 0")
@@ -179,6 +188,37 @@ def install_plan(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ comparison
 
 
+@query("""SELECT 'needs a view' AS case_name, 'identico' AS verdict UNION ALL SELECT 'bad preparation', 'errore_preparazione' UNION ALL SELECT 'bad reference', 'errore_riferimento' UNION ALL SELECT 'bad answer', 'errore_sql'""")
+def judged_texts(t: Tables) -> DataFrame:
+    """The rungs of the verdict ladder that come before results are compared."""
+    own = t.spark.newSession()
+    for name in ("nation", "region"):
+        own.read.parquet(f"{t.folder}/{name}.parquet").createOrReplaceTempView(name)
+    good, made = "SELECT n_name FROM few ORDER BY n_name", [("few", "SELECT * FROM nation WHERE n_regionkey = 1")]
+    cases = {"needs a view": (good, good, made), "bad preparation": (good, good, [("few", "SELECT * FROM nowhere")]), "bad reference": ("SELECT nothing FROM nation", good, made), "bad answer": (good, "SELEC 1", made)}
+    rows = [(name, compare.judged_sql(own, a, b, True, prep)[0].value) for name, (a, b, prep) in cases.items()]
+    return t.spark.createDataFrame(rows, "case_name string, verdict string")
+
+
+@query("SELECT 'empty' AS name, 'no rows' AS problem UNION ALL SELECT 'broken', 'does not run'")
+def corpus_validation(t: Tables) -> DataFrame:
+    """Reference statements that do not run or give nothing; the good ones are not named."""
+    own = t.spark.newSession()
+    own.read.parquet(f"{t.folder}/nation.parquet").createOrReplaceTempView("nation")
+    statements = {"good": "SELECT n_name FROM nation ORDER BY 1", "empty": "SELECT n_name FROM nation WHERE n_name = ''", "broken": "SELECT nothing FROM nation"}
+    found = compare.validated(own, statements)
+    rows = [(r.name, r.problem.split(":")[0]) for r in found.collect()]  # a row per statement of an authored list
+    return t.spark.createDataFrame(rows, "name string, problem string")
+
+
+@query("SELECT doc_id, doc_id % 4 IN (0, 1, 2) AS ordered FROM documents")
+def order_heuristic(t: Tables) -> DataFrame:
+    """Which tasks ask for an order, by their words or a LIMIT that is not within a string."""
+    k = F.pmod("doc_id", F.lit(4))
+    prompt = F.when(k == 0, "Elenca i nomi in ordine decrescente").when(k == 1, "Le prime 5 strutture").otherwise("Quante visite ci sono?")
+    return t.documents.select("doc_id", compare.asks_for_order(prompt, F.when(k == 2, "SELECT 1 Limit 3").otherwise("SELECT 'limit' AS x")).alias("ordered"))
+
+
 @query("""SELECT * FROM (VALUES ('changed', 'valori_diversi'), ('columns', 'colonne_diverse'), ('fewer', 'righe_diverse'), ('reordered', 'identico_a_meno_dell_ordine'), ('reordered, order asked for', 'ordine_diverso'), ('same', 'identico'), ('text ten, number ten', 'identico')) v(case_name, verdict)""")
 def compare_verdicts(t: Tables) -> DataFrame:
     """The verdict ladder on one query and variants of it."""

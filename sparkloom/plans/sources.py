@@ -33,17 +33,9 @@ def page_by_range(t: Tables) -> DataFrame:
     return readers.page_after(rows, (F.lit("2024-01-05").cast("timestamp_ntz"), 40), 100, "ts", "event_id").select("event_id")
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0 AND text NOT LIKE '%  %' AND trim(text) = text AND NOT regexp_matches(text, '[\\n\\t\\r]')")
-def inverted_abstract(t: Tables) -> DataFrame:
-    """Texts as inverted indexes (word to positions) and back."""
-    d = t.documents.where("doc_id % 10 = 0").where(~F.col("text").like("%  %") & (F.trim("text") == F.col("text")) & ~F.col("text").rlike("[\\n\\t\\r]")).select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
-    index = d.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
-    return index.select("doc_id", readers.unfolded_abstract(F.col("m")).alias("text"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL")
-def inverted_abstract_all(t: Tables) -> DataFrame:
-    """The same for every text there is: words are split on white space, which comes back collapsed."""
+def inverted_abstract(t: Tables) -> DataFrame:
+    """Texts as inverted indexes (word to positions) and back; words are split on white space, which comes back collapsed."""
     plain = F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " "))
     texts = t.documents.where("text IS NOT NULL").select("doc_id", plain.alias("text")).repartition("doc_id")  # texts move once, words never
     d = texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))

@@ -51,14 +51,18 @@ def stream_replay(t: Tables) -> DataFrame:
 
     a, b = digest(kept), digest(whole).select(F.col("d").alias("e"), F.col("k").alias("l"))
     same = a.crossJoin(b).select((F.expr("d = e AND k = l")).alias("same"))  # one row each
-    rows = t.spark.read.parquet(*(f"{folder}/log/batch={n}" for n in range(len(parts)))).agg(F.count("*").alias("n"))
+    rows = t.spark.read.parquet(f"{folder}/log").agg(F.count("*").alias("n"))
     return rows.crossJoin(same)
 
 
 @query("SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_weekly(t: Tables) -> DataFrame:
-    """A windowed count by Monday week, complete mode."""
-    name = f"weekly_{abs(hash(t.folder))}"
-    q = projection.weekly_windows(_stream(t)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{scratch(t.spark, 'weekly')}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.table(name).select(F.col("window.start").cast("date").alias("week"), "event_type", "n")
+    """A windowed count by Monday week, complete mode: each batch replaces the table in the shared folder."""
+    folder, weeks = scratch(t.spark, "weekly"), projection.weekly_windows(_stream(t))
+    weeks.sparkSession.createDataFrame([], weeks.schema).write.parquet(f"{folder}/weeks")  # what a table without events gives
+
+    def replace(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/weeks")
+
+    weeks.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(weeks.schema).parquet(f"{folder}/weeks").select(F.col("window.start").cast("date").alias("week"), "event_type", "n")

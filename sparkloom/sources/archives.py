@@ -113,11 +113,11 @@ def pdf_links(pages: DataFrame) -> DataFrame:
     A title's distinctive words (four letters and more) are looked for in the link's path and text,
     never in its host; two of them have to be there, or the only one.
     """
-    link = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?\shref="([^"]*)"[^>]*>(.*?)</a>'), F.lit(0))
+    link = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^<>]*+>.*?(?:</a>|(?=<a\s)|\z)"), F.lit(0))
     each = pages.select("key", "title", F.posexplode(link).alias("nth", "tag"))
-    target = F.regexp_extract("tag", r'(?i)\shref="([^"]*)"', 1)
+    target = F.get(html.links(F.col("tag")), 0)
     path = F.regexp_replace(F.lower(target), "^[a-z]+://[^/]*", "")
-    where = F.concat(path, F.lit(" "), F.lower(F.regexp_replace("tag", "<[^>]*>", " ")))
+    where = F.concat(path, F.lit(" "), F.lower(F.regexp_replace("tag", "<[^<>]*+>", " ")))
     words = F.filter(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= 4)
     scored = each.select("key", "nth", target.alias("url"), F.size(F.filter(words, lambda w: F.contains(where, w))).alias("hits"), F.size(words).alias("n"), F.lower(path).rlike(r"\.pdf($|\?)").alias("pdf"))
     good = scored.where(F.col("pdf") & (F.col("hits") >= F.least(F.lit(2), F.greatest(F.lit(1), F.col("n")))))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions import hlc
+from sparkloom.operators import ordering
+
 
 def append_log(events: DataFrame, path: str) -> None:
     """The log is only ever appended to, by entity."""
@@ -43,9 +46,6 @@ def opened(packet: Column, key: Column) -> Column:
 
 def packets(log: DataFrame, key: Column, rows: int = 500) -> DataFrame:
     """The log in sealed packets of about ``rows`` rows, each device's in order."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("device").orderBy("hlc", "id")
-    numbered = log.withColumn("packet", F.floor((F.row_number().over(w) - 1) / rows))
+    numbered = ordering.numbered(log, ["device"], ["hlc", "id"], hlc.stretch(F.col("hlc")), "nth").withColumn("packet", F.floor(F.col("nth") / rows))
     body = F.to_json(F.array_sort(F.collect_list(F.struct("hlc", "id", "entity", "entity_id", "kind", "payload"))))
     return numbered.groupBy("device", "packet").agg(F.count("*").alias("n"), sealed(body, key).alias("body"))

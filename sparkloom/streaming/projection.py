@@ -1,76 +1,93 @@
 """The log's projection kept up to date from a stream of events.
 
-Each micro-batch adds the ids it has not seen to the log and recomputes the entities it touches
-with the batch operators, so the outcome equals one batch over everything.  Nothing is
-dropped for being late: an event counts where its clock puts it, whenever it arrives, so there is
-no watermark, and re-read rows are dropped by id.
-
-State is two tables in a folder that driver and executors share: log/batch=<n> and
-state/version=<n>.  A batch that is run again after a failure overwrites its own folders, which
-makes the sink idempotent.
+Each micro-batch adds the ids it has not seen to the log and folds their writes into the latest
+ones that are kept, so the outcome equals one batch over everything and the log itself is not read
+again (but for its ids).  Nothing is dropped for being late: an event counts where its clock puts
+it, whenever it arrives, so there is no watermark, and re-read rows are dropped by id.
+
+State is two tables in a folder that driver and executors share: log/batch=<n>, and latest writes
+in ``BUCKETS`` buckets of entities, state/version=<n>/bucket=<k>.  A batch writes the buckets that
+it touches; a bucket's state is its last version.  A batch that is run again after a failure
+overwrites its own folders, which makes the sink idempotent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import eventlog
 
+BUCKETS = 64
 
-def _tables(spark: SparkSession, folder: str, kind: str, name: str, upto: int, schema) -> DataFrame:
-    """The rows of all batches before ``upto``."""
-    paths = [f"{folder}/{kind}/{name}={n}" for n in range(upto)]
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    there = [p for p in paths if fs_path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(p))]
-    return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match, in one look at the file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found or []]
+
+
+def _number(path: str, name: str) -> int:
+    return int(path.rsplit(f"{name}=", 1)[1].split("/")[0])
+
+
+def _read(spark: SparkSession, paths: list[str], schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _states(spark: SparkSession, folder: str, before: int) -> dict[int, str]:
+    """Bucket -> folder of its last version before that number."""
+    last: dict[int, str] = {}
+    for path in sorted(_folders(spark, f"{folder}/state/version=*/bucket=*"), key=lambda p: _number(p, "version")):
+        if _number(path, "version") < before:
+            last[_number(path, "bucket")] = path
+    return last
+
+
+def bucket() -> Column:
+    return F.pmod(F.xxhash64(*eventlog.KEY), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 def absorb(batch: DataFrame, number: int, folder: str) -> None:
     """One micro-batch of log rows into the log and the state."""
     spark = batch.sparkSession
-    log = _tables(spark, folder, "log", "batch", number, batch.schema)
-    fresh = eventlog.merge_new(log, batch)
+    earlier = [p for p in _folders(spark, f"{folder}/log/batch=*") if _number(p, "batch") < number]
+    fresh = eventlog.merge_new(_read(spark, earlier, batch.schema), batch)
     fresh.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
     fresh = spark.read.schema(batch.schema).parquet(f"{folder}/log/batch={number}")
-    touched = eventlog.touched(fresh)
-    now = eventlog.projected(log.unionByName(fresh).join(touched, eventlog.KEY, "left_semi"))
-    before = _tables(spark, folder, "state", "version", number, now.schema) if number else None
-    if before is not None:
-        last = spark.read.schema(now.schema).parquet(f"{folder}/state/version={number - 1}")
-        now = last.join(touched, eventlog.KEY, "left_anti").unionByName(now)
-    now.write.mode("overwrite").parquet(f"{folder}/state/version={number}")
+    touched = {r.bucket for r in fresh.select(bucket()).distinct().collect()}  # at most BUCKETS numbers
+    before = _read(spark, [p for k, p in _states(spark, folder, number).items() if k in touched], eventlog.LATEST)
+    now = eventlog.settled(before.unionByName(eventlog.latest_writes(fresh)))
+    now.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/state/version={number}")
 
 
 def follow(events: DataFrame, folder: str, checkpoint: str):
-    """A streaming query over events that keeps the state in ``folder``; the last version is the projection."""
+    """A streaming query over events that keeps the state in ``folder``."""
     log = eventlog.log_of_events(events)
     return log.writeStream.foreachBatch(lambda batch, n: absorb(batch, n, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def state(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/state/version={version}")
+    """The projection after that batch."""
+    return eventlog.living(_read(spark, list(_states(spark, folder, version + 1).values()), eventlog.LATEST))
 
 
-def next_cursor(server_ms: int, last_arrival_ms: int | None, finished: bool, old: int | None, margin_ms: int = 600_000) -> int | None:
-    """Where the next read starts: ten minutes before the server's time, or before the last row of an unfinished
-    read if that is earlier; what can't be read leaves the old place."""
-    if server_ms <= 0:
-        return old
-    if last_arrival_ms is not None and last_arrival_ms > server_ms + 1000:
-        return old  # the server's clock can't be right
+def next_cursor(server_ms: Column, last_arrival_ms: Column, finished: Column, old: Column, margin_ms: int = 600_000) -> Column:
+    """Where the next read starts: ten minutes before the server's time, or at the last row of an unfinished
+    read if that is earlier.  A server time that is not there, or more than a second before a row that has
+    arrived, can't be right and leaves the old place."""
+    wrong = F.coalesce(server_ms <= 0, F.lit(True)) | F.coalesce(last_arrival_ms > server_ms + 1000, F.lit(False))
     limit = server_ms - margin_ms
-    if finished or last_arrival_ms is None:
-        return limit
-    return min(last_arrival_ms, limit)
+    return F.when(wrong, old).when(finished | last_arrival_ms.isNull(), limit).otherwise(F.least(last_arrival_ms, limit))
 
 
-def backoff_minutes(failures: F.Column) -> F.Column:
+def backoff_minutes(failures: Column) -> Column:
     """1, 2, 4 ... 30 minutes."""
     return F.least(F.lit(30.0), F.pow(F.lit(2.0), F.greatest(failures - 1, F.lit(0))))
 
 
-def divergence(missing: F.Column) -> F.Column:
+def divergence(missing: Column) -> Column:
     """How far two logs are apart."""
     return F.when(missing == 0, "allineati").when(missing < 25, "lieve").otherwise("marcata")
 
