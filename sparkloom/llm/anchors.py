@@ -75,26 +75,26 @@ def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return splitmix((prefix[starts + WINDOW] - prefix[starts]) * inverse[starts])
 
 
-def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+def segments(data: np.ndarray, ends: np.ndarray, contents: bool = True) -> dict[str, np.ndarray]:
     """Segments of concatenated documents; ``ends`` are the documents' ends in ``data``.
 
     Returns arrays: doc (index of the document), start (of the first stretch, within the
     document), count (stretches), shift (of the anchor from start), gram (anchor hash),
-    content (hash of the bytes that the segment's stretches cover, with shift and length).
+    content (hash of the bytes that the segment's stretches cover, with shift and length; only if ``contents``).
     """
     parts = []
     begins = np.concatenate([[0], ends[:-1]])
     lo = 0
     while lo < len(ends):
         hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + CHUNK, side="right")))
-        parts.append(_segments(data[begins[lo] : ends[hi - 1]], begins[lo:hi] - begins[lo], ends[lo:hi] - begins[lo], lo))
+        parts.append(_segments(data[begins[lo] : ends[hi - 1]], begins[lo:hi] - begins[lo], ends[lo:hi] - begins[lo], lo, contents))
         lo = hi
-    keys = ("doc", "start", "count", "shift", "gram", "content")
+    keys = ("doc", "start", "count", "shift", "gram", "content")[: 6 if contents else 5]
     types = (np.int64, np.int64, np.int64, np.int64, _U, _U)
     return {k: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t) for k, t in zip(keys, types)}
 
 
-def _segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: int) -> dict[str, np.ndarray]:
+def _segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: int, contents: bool) -> dict[str, np.ndarray]:
     n = len(data) - WINDOW + 1
     if n <= 0:
         none = np.empty(0, np.int64)
@@ -113,7 +113,7 @@ def _segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: int
     inside = np.arange(n) + WINDOW <= ends[owner]
     at = np.flatnonzero(inside)
     if not len(at):
-        return _segments(data[:0], begins, ends, first)
+        return _segments(data[:0], begins, ends, first, contents)
     p, o = pick[at], owner[at]
     new = np.empty(len(at), bool)
     new[0] = True
@@ -122,12 +122,13 @@ def _segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: int
     last = np.append(head[1:], len(at)) - 1
     start, count = at[head], at[last] - at[head] + 1
     anchor, doc = p[head], o[head]
-    power, inverse = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, _U)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=prefix[1:])
-        stop = start + count - 1 + WINDOW
-        body = (prefix[stop] - prefix[start]) * inverse[start]
-        shift = anchor - start
-        content = splitmix(body ^ splitmix((count * 4096 + shift).astype(_U)))
-    return {"doc": doc + first, "start": start - begins[doc], "count": count, "shift": shift, "gram": g[anchor], "content": content}
+    shift = anchor - start
+    found = {"doc": doc + first, "start": start - begins[doc], "count": count, "shift": shift, "gram": g[anchor]}
+    if contents:
+        power, inverse = _powers(len(data) + 1)
+        with np.errstate(over="ignore"):
+            prefix = np.zeros(len(data) + 1, _U)
+            np.cumsum(_BYTE[data] * power[: len(data)], out=prefix[1:])
+            body = (prefix[start + count - 1 + WINDOW] - prefix[start]) * inverse[start]
+            found["content"] = splitmix(body ^ splitmix((count * 4096 + shift).astype(_U)))
+    return found

@@ -4,14 +4,16 @@
    equal anchors at equal offsets.  A run of windows with one anchor is a segment.  Within a
    slice of rows, all but the first of equal segments (one per text where ids repeat) are marked at once, so that a passage in a
    third of all rows meets in one task as a few rows per slice.
-2. Segments meet by anchor.  Of equal segments all but the earliest are marked.  Anchors whose
-   earliest segments differ go on.
+2. Anchors with more than ``HOT`` different segments (a phrase, or the edge of a passage, that a
+   large part of all rows holds) would be one task's.  They are counted first, with aggregates
+   that combine before the shuffle.  All other segments meet by anchor; those of hot anchors by
+   their content too.  Of equal segments all but the earliest are marked.  Anchors whose earliest
+   segments differ go on.
 3. Those segments' bytes, aligned at the anchor, are the collection of a column-wise
    Burrows-Wheeler construction (see ``columnwise``): one symbol per segment and round, with
    common prefixes.  Windows whose common prefix with an earlier segment reaches 100 bytes are
-   marked.  An anchor with more than ``HOT`` different segments (the edge of a passage that a
-   large part of all rows holds) would be one task's: its segments are taken apart into single
-   windows, which meet by their content and, like segments, as a few rows per slice.
+   marked.  Segments of hot anchors are taken apart into single windows, which meet by their
+   content and, like segments, as a few rows per slice, in an order that Spark has sorted.
 4. Marked windows are joined to their texts, merged and cut out.
 
 Matches never cross texts, all of them are judged on the input, and overlaps count.  Order is
@@ -34,7 +36,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.llm import anchors
 from sparkloom.llm.columnwise import Columns, later_windows
-from sparkloom.llm.common import documents, id_and_text, joined, per_slice, shuffle_width, text_bytes, written
+from sparkloom.llm.common import documents, free_names, id_and_text, joined, per_slice, shuffle_width, text_bytes, written
 
 LENGTH = anchors.WINDOW
 LEFT = anchors.SPAN - 1  # most bytes of a window before its anchor
@@ -42,7 +44,8 @@ WIDTH = LEFT + LENGTH
 HOT = 1000
 NO_ID = -(1 << 63)
 SEGMENT, LONE, MARKED = 0, 1, 2  # kinds of rows that meet in step 3
-SEGMENTS = "h long, seg long, did long, th long, start long, count int, shift int, marked boolean"
+LATE, OPEN, IN_PARTS = 1, 0, 2  # states of segments: marked, neither, of a hot anchor
+SEGMENTS = "h long, seg long, did long, th long, start long, count int, shift int, state int"
 MARKS = "did long, th long, start long, count int"
 RESULT = "did long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -63,6 +66,14 @@ def _runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.nda
     return doc[head], start[head], np.add.reduceat(count, head)
 
 
+def _anchor_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Anchors and how many segments of different place or length each has in the slice (those of equal bytes count once)."""
+    s = anchors.segments(*joined(text_bytes(batch.column(0))), contents=False)
+    kinds = np.unique(np.stack([s["gram"].view(np.int64), s["shift"] << 32 | s["count"]], axis=1), axis=0) if len(s["gram"]) else np.empty((0, 2), np.int64)
+    head = np.flatnonzero(np.append(True, np.diff(kinds[:, 0]) != 0)) if len(kinds) else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(kinds[head, 0]), pa.array(np.diff(np.append(head, len(kinds))))], names=["h", "n"])
+
+
 def _anchor_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
     did, th = (batch.column(k).to_numpy() for k in (0, 1))
     s = anchors.segments(*joined(text_bytes(batch.column(2))))
@@ -86,7 +97,7 @@ def _anchor_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
         "start": np.concatenate([s["start"][keep], b]),
         "count": np.concatenate([s["count"][keep], c]).astype(np.int32),
         "shift": np.concatenate([s["shift"][keep], zero]).astype(np.int32),
-        "marked": np.arange(len(doc)) >= len(keep),
+        "state": np.where(np.arange(len(doc)) < len(keep), OPEN, LATE).astype(np.int32),
     }
     return pa.RecordBatch.from_arrays([pa.array(x) for x in cols.values()], names=list(cols))
 
@@ -99,17 +110,17 @@ def _cut_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         for w in wanted:
             body = text[w["start"] : w["start"] + w["count"] - 1 + LENGTH]
             if w["hot"]:
-                hot.append((w["h"], did, th, w["start"], w["count"]))
+                hot.append((did, th, w["start"], w["count"]))
                 bodies.append(body)
             else:
                 rows.append((w["h"], did, th, w["start"], w["count"], w["shift"], body, SEGMENT))
     if hot:
         data, ends = joined(bodies)
-        gram, did, th, start, count = (np.array(x, np.int64) for x in zip(*hot))
+        did, th, start, count = (np.array(x, np.int64) for x in zip(*hot))
         owner = np.repeat(np.arange(len(hot)), count)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         begins = ends - (count - 1 + LENGTH)
-        key = (anchors.window_hashes(data, begins[owner] + at) ^ anchors.splitmix(gram[owner])).view(np.int64)
+        key = anchors.window_hashes(data, begins[owner] + at).view(np.int64)
         did, th, start = did[owner], th[owner], start[owner] + at
         order = np.lexsort((th, start, did, key))
         new = np.append(True, np.diff(key[order]) != 0)
@@ -135,14 +146,24 @@ def _marks(did: np.ndarray, th: np.ndarray, start: np.ndarray, count: np.ndarray
 
 
 def _columnwise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All segments of a task as one collection; yields the marked windows."""
-    columns, kept, lone = Columns(WIDTH), [], []
+    """Rows sorted by kind, key, document and start -> the marked windows.  All segments of a task are one collection."""
+    columns, kept, first = Columns(WIDTH), [], None
     for batch in batches:
         kind = batch.column(7).to_numpy() if batch.num_rows else np.empty(0)
         if len(at := np.flatnonzero(kind == MARKED)):
             yield from _marks(*(batch.column(k).to_numpy()[at] for k in (1, 2, 3, 4)))
         if len(at := np.flatnonzero(kind == LONE)):
-            lone.append([batch.column(k).to_numpy()[at] for k in (0, 1, 2, 3)])
+            key, did, th, start = (batch.column(k).to_numpy()[at] for k in (0, 1, 2, 3))
+            new = np.append(first is None or first[0] != key[0], np.diff(key) != 0)
+            head = np.flatnonzero(new)
+            source = head[np.cumsum(new) - 1] if len(head) else np.zeros(len(key), np.int64)
+            early_did, early_start = did[source], start[source]
+            if not new[0]:  # the key goes on from the batch before
+                to = head[0] if len(head) else len(key)
+                early_did[:to], early_start[:to] = first[1:]
+            late = np.flatnonzero((did != early_did) | (start != early_start))
+            first = int(key[-1]), int(early_did[-1]), int(early_start[-1])
+            yield from _marks(did[late], th[late], start[late], np.ones(len(late), np.int64))
         part = batch.filter(pa.array(kind == SEGMENT))
         if not part.num_rows:
             continue
@@ -154,13 +175,6 @@ def _columnwise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix[row, np.arange(len(data)) - np.repeat(ends - size, size) + np.repeat(LEFT - shift, size)] = data.astype(np.uint16) + 1
         columns.add(matrix)
         kept.append((part.column(1).to_numpy(), part.column(2).to_numpy(), start + shift))
-    if lone:
-        key, did, th, start = (np.concatenate(x) for x in zip(*lone))
-        order = np.lexsort((start, did, key))
-        head = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-        first = np.repeat(order[head], np.diff(np.append(head, len(order))))
-        late = order[(did[order] != did[first]) | (start[order] != start[first])]
-        yield from _marks(did[late], th[late], start[late], np.ones(len(late), np.int64))
     if not columns.rows:
         return
     did, th, anchor = (np.concatenate(x) for x in zip(*kept))
@@ -210,23 +224,29 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, key_columns: bool =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also kept, the remaining bytes."""
     width = shuffle_width(docs.sparkSession)
     texts = keyed(docs)
-    segments = texts.mapInArrow(per_slice(_anchor_slice, 8 << 20), SEGMENTS).repartition(width, "h")
+    counts = texts.select("text").mapInArrow(per_slice(_anchor_counts, 8 << 20), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+    crowded = written(counts.select("h", F.lit(IN_PARTS).alias("parts")), "hot")
+    segments = texts.mapInArrow(per_slice(_anchor_slice, 8 << 20), SEGMENTS).join(crowded, "h", "left")
+    in_parts = F.col("parts").isNotNull() & (F.col("state") == OPEN)
+    segments = segments.select(
+        F.when(in_parts, F.xxhash64("h", "seg")).otherwise(F.col("h")).alias("h"), "seg", "did", "th", "start", "count", "shift", F.when(in_parts, F.lit(IN_PARTS)).otherwise(F.col("state")).alias("state")
+    ).repartition(width, "h")
     by_anchor = Window.partitionBy("h")
     met = segments.select(
         "*",
         F.rank().over(Window.partitionBy("h", "seg").orderBy("did", "start")).alias("nth"),
         (F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor)).alias("several"),
     )
-    met = met.withColumn("hot", F.count_if(F.col("nth") == 1).over(by_anchor) > hot)
-    met = met.select("h", "did", "th", "start", "count", "shift", (F.col("marked") | (F.col("nth") > 1)).alias("marked"), "several", "hot")
+    hot_rows = F.col("state") == IN_PARTS
+    met = met.select("h", "did", "th", "start", "count", "shift", ((F.col("state") == LATE) | (F.col("nth") > 1)).alias("marked"), (F.col("several") | hot_rows).alias("several"), hot_rows.alias("hot"))
     met = written(met.where("marked OR several"), "segments")
 
     texts = texts.repartition(width, "did", "th")
     wanted = met.where("NOT marked").groupBy("did", "th").agg(F.collect_set(F.struct("h", "start", "count", "shift", "hot")).alias("wanted"))
     bodies = texts.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "wanted")
     bodies = bodies.mapInArrow(per_slice(_cut_slice, 8 << 20), CUT)
-    found = bodies.repartition(width, "h").mapInArrow(_columnwise, MARKS)
-    marks = met.where("marked").select("did", "th", "start", "count").unionByName(found).groupBy("did", "th").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
+    found = bodies.repartition(width, "h").sortWithinPartitions("kind", "h", "did", "start").mapInArrow(_columnwise, MARKS)
+    marks = met.where("marked").select("did", "th", "start", "count").unionByName(found).groupBy("did", "th").agg(F.collect_set(F.struct("start", "count")).alias("marks"))
     result = texts.join(marks.hint("shuffle_hash"), ["did", "th"], "left").select("did", "th", "text", "marks").mapInArrow(_remover(keep_text), RESULT)
     doc_id = F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id")
     return result.select(*(["did", "th"] if key_columns else []), doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
@@ -235,13 +255,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, key_columns: bool =
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with all their columns and repeated passages cut out of text; n_chars, where there is
     one, follows.  A character of which a cut takes some bytes goes as a whole."""
-    keys = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    cut = remove_repeats(docs, keep_text=True, key_columns=True).where("n_removed > 0").select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("kept").alias("__kept"))
-    cut = cut.dropDuplicates(["__did", "__th"])
-    out = keys.join(cut, ["__did", "__th"], "left").withColumn("text", F.when(F.col("__kept").isNotNull(), whole_characters("__kept")).otherwise(F.col("text")))
+    did, th, kept = free_names(docs, "did", "th", "kept")
+    keys = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    cut = remove_repeats(docs, keep_text=True, key_columns=True).where("n_removed > 0").select(F.col("did").alias(did), F.col("th").alias(th), F.col("kept").alias(kept))
+    cut = cut.dropDuplicates([did, th])
+    out = keys.join(cut, [did, th], "left").withColumn("text", F.when(F.col(kept).isNotNull(), whole_characters(kept)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
