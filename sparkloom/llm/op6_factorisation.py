@@ -14,8 +14,8 @@ rows with the smallest hash of their id, so the same rows whatever the partition
 a few megabytes whatever the corpus.  Scoring reads every text, in the tasks that scan it.
 
 Empty and null texts have the structure statistics of an empty text and get a score like any
-other; repeated rows get equal scores; null labels and ids are not learnt from; ids labelled
-both ways are left out; without two different labels every score is the mean label (1 without
+other; repeated rows get equal scores; of texts that share a labelled id the one with the smallest
+hash is learnt from; null labels and ids are not learnt from; ids labelled both ways are left out; without two different labels every score is the mean label (1 without
 any).  lang, source and doc_id are never read for a score.
 """
 
@@ -85,13 +85,16 @@ class Machine:
     factors: np.ndarray
     flat: float | None = None
 
-    def score(self, at: np.ndarray, x: np.ndarray) -> float:
+    def scores(self, at: np.ndarray, x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Scores of vectors that lie one after the other; ``heads`` is where each begins, and none is empty."""
         if self.flat is not None:
-            return self.flat
+            return np.full(len(heads), self.flat)
         v = self.factors[at] * x[:, None]
-        total = v.sum(0)
-        z = self.bias + float(self.weights[at] @ x) + 0.5 * float(total @ total - (v * v).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        total = np.add.reduceat(v, heads, dtype=np.float64)
+        linear = np.add.reduceat(self.weights[at] * x, heads, dtype=np.float64)
+        own = np.add.reduceat(np.einsum("ij,ij->i", v, v), heads, dtype=np.float64)
+        z = self.bias + linear + 0.5 * (np.einsum("ij,ij->i", total, total) - own)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, seed: int = 1, rate: float = 0.1, decay: float = 1e-5) -> Machine:
@@ -144,9 +147,10 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[lis
         found = [features(t, n) for t, n in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["doc_id", "label", "at", "x"])
 
-    got = inputs(docs).join(F.broadcast(known), "doc_id").mapInArrow(per_slice(work), "doc_id long, label int, at binary, x binary")
-    first = {r.doc_id: r for r in got.collect()}  # bounded by the sample; one row of repeated ids
-    rows = [first[k] for k in sorted(first)]
+    found = inputs(docs).join(F.broadcast(known), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("text", "n_chars", "label"), F.struct(F.xxhash64("text"), "n_chars")).alias("r")).select("doc_id", "r.*")
+    got = one.mapInArrow(per_slice(work), "doc_id long, label int, at binary, x binary")
+    rows = sorted(got.collect(), key=lambda r: r.doc_id)  # a row per id of the sample, whatever repeats in documents
     return [(np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.x, np.float32)) for r in rows], [r.label for r in rows]
 
 
@@ -155,9 +159,10 @@ def scored(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        machine = shared.value
-        score = [machine.score(*features(t, n)) for t, n in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+        rows = [features(t, n) for t, n in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist())]
+        heads = np.cumsum([0, *(len(at) for at, _ in rows[:-1])])
+        score = shared.value.scores(np.concatenate([at for at, _ in rows]), np.concatenate([x for _, x in rows]), heads)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     return inputs(docs).select("doc_id", "text", "n_chars", held).mapInArrow(per_slice(work), SCORED)
