@@ -6,8 +6,9 @@ texts longer than a row are split into full rows and a rest, so that no id is lo
 are placed longest first, each into the row with the least room that still holds it.  A segment
 tree over room sizes finds that row in log2(row) steps.
 
-Rows are written as little-endian unsigned 32-bit id matrices with the cumulative lengths of
-their segments and positions that restart at 0 in each segment.
+Each row comes with its ids and positions as little-endian unsigned 32-bit integers (positions
+restart at 0 in each segment and in the padding) and the cumulative lengths of its segments;
+``files`` gives whole shards instead: an id matrix, cumulative lengths and positions of all its rows.
 
 A null or empty text is its end id alone; ties are taken in reading order; repeated rows are
 packed each; an empty table gives no rows; columns other than doc_id and text are not read.
@@ -29,7 +30,7 @@ from sparkloom.llm.common import documents, id_and_text
 ROW = 2048
 SHARD = 2_000_000
 PAD = 0
-ROWS = "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, n_tokens int, n_pad int, ids_crc32 long, positions_crc32 long"
+ROWS = "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, n_tokens int, n_pad int, ids_crc32 long, positions_crc32 long, ids binary, positions binary"
 FILES = "shard_id long, n_rows int, ids binary, row_starts array<int>, cu_seqlens array<int>, positions binary"
 
 
@@ -110,7 +111,7 @@ def _positions(lengths: list[int], size: int) -> np.ndarray:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = ROW, shard: int = SHARD, files: bool = False) -> DataFrame:
-    """One row per packed sequence; with ``files`` one row per shard with its matrix, ready to be written."""
+    """One row per packed sequence; with ``files`` one row per shard with its matrices, ready to be written."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
@@ -128,9 +129,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = ROW, shard:
             else:
                 first = base + (number << 20)
                 used = [s[-1] for s in sums]
-                cols = [range(first, first + len(rows)), [[d for d, _, _ in r] for r in rows], [[a for _, a, _ in r] for r in rows], sums, used, [size - n for n in used], map(zlib.crc32, bodies), map(zlib.crc32, places)]
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                names = ["sequence_id", "doc_ids", "starts", "cu_seqlens", "n_tokens", "n_pad", "ids_crc32", "positions_crc32"]
+                cols = [range(first, first + len(rows)), [[d for d, _, _ in r] for r in rows], [[a for _, a, _ in r] for r in rows], sums, used, [size - n for n in used], map(zlib.crc32, bodies), map(zlib.crc32, places), bodies, places]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                names = ["sequence_id", "doc_ids", "starts", "cu_seqlens", "n_tokens", "n_pad", "ids_crc32", "positions_crc32", "ids", "positions"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return id_and_text(docs).mapInArrow(run, FILES if files else ROWS)

@@ -18,6 +18,7 @@ import regex
 VOCABULARY = "word_bpe_49k.json"
 END = struct.pack("<I", 2)
 CACHE_WORDS = 800_000
+LONGEST = 256  # characters of a word that is kept: with the number of words, a bound of the cache in bytes
 #: Words of these characters are in NFC and lower-cased alike by Python and the library.
 _PLAIN = regex.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\xB4\xB6-\xFF]+")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -39,12 +40,14 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = [t.id for t in self.merge(piece)]
-        self[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONGEST:
+            self[piece] = packed
         return packed
 
 
 class Words(dict):
-    """Word -> packed ids, filled as words are asked for; emptied when it holds ``most`` words."""
+    """Word -> packed ids, filled as words are asked for; emptied when it holds ``most`` words.  Words beyond LONGEST are not kept."""
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -68,7 +71,8 @@ class Words(dict):
         else:
             ids = self.full.encode(word, add_special_tokens=False).ids
             packed = struct.pack(f"<{len(ids)}I", *ids)
-        self[word] = packed
+        if len(word) <= LONGEST:
+            self[word] = packed
         return packed
 
     def packed(self, text: str) -> bytes:

@@ -327,6 +327,7 @@ def test_matrices(frame, library):
         for k in range(f.n_rows):
             cuts, row = f.cu_seqlens[f.row_starts[k] : f.row_starts[k + 1]], next(order)
             assert cuts == row.cu_seqlens and zlib.crc32(ids[k].tobytes()) == row.ids_crc32 and zlib.crc32(places[k].tobytes()) == row.positions_crc32
+            assert ids[k].tobytes() == row.ids and places[k].tobytes() == row.positions
             for doc, start, a, b in zip(row.doc_ids, row.starts, cuts, cuts[1:]):
                 assert places[k, a:b].tolist() == list(range(b - a))
                 found[doc][start] = ids[k, a:b].tolist()
