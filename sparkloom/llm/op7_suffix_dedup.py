@@ -220,10 +220,8 @@ def _remover(keep_text: bool):
     return per_slice(work)
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, key_columns: bool = False, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also kept, the remaining bytes."""
-    width = shuffle_width(docs.sparkSession)
-    texts = keyed(docs)
+def repeated_windows(texts: DataFrame, dealt: DataFrame, width: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Marked windows of keyed texts (also ``dealt`` by their key), as (did, th, start, count): those of whole equal segments, and those found in step 3."""
     counts = texts.select("text").mapInArrow(per_slice(_anchor_counts, 8 << 20), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
     crowded = written(counts.select("h", F.lit(IN_PARTS).alias("parts")), "hot")
     segments = texts.mapInArrow(per_slice(_anchor_slice, 8 << 20), SEGMENTS).join(crowded, "h", "left")
@@ -241,13 +239,21 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, key_columns: bool =
     met = met.select("h", "did", "th", "start", "count", "shift", ((F.col("state") == LATE) | (F.col("nth") > 1)).alias("marked"), (F.col("several") | hot_rows).alias("several"), hot_rows.alias("hot"))
     met = written(met.where("marked OR several"), "segments")
 
-    texts = texts.repartition(width, "did", "th")
     wanted = met.where("NOT marked").groupBy("did", "th").agg(F.collect_set(F.struct("h", "start", "count", "shift", "hot")).alias("wanted"))
-    bodies = texts.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "wanted")
+    bodies = dealt.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "wanted")
     bodies = bodies.mapInArrow(per_slice(_cut_slice, 8 << 20), CUT)
     found = bodies.repartition(width, "h").sortWithinPartitions("kind", "h", "did", "start").mapInArrow(_columnwise, MARKS)
-    marks = met.where("marked").select("did", "th", "start", "count").unionByName(found).groupBy("did", "th").agg(F.collect_set(F.struct("start", "count")).alias("marks"))
-    result = texts.join(marks.hint("shuffle_hash"), ["did", "th"], "left").select("did", "th", "text", "marks").mapInArrow(_remover(keep_text), RESULT)
+    return met.where("marked").select("did", "th", "start", "count"), found
+
+
+def remove_repeats(docs: DataFrame, keep_text: bool = False, key_columns: bool = False, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also kept, the remaining bytes."""
+    width = shuffle_width(docs.sparkSession)
+    texts = keyed(docs)
+    dealt = texts.repartition(width, "did", "th")
+    equal, found = repeated_windows(texts, dealt, width, hot)
+    marks = equal.unionByName(found).groupBy("did", "th").agg(F.collect_set(F.struct("start", "count")).alias("marks"))
+    result = dealt.join(marks.hint("shuffle_hash"), ["did", "th"], "left").select("did", "th", "text", "marks").mapInArrow(_remover(keep_text), RESULT)
     doc_id = F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id")
     return result.select(*(["did", "th"] if key_columns else []), doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
 

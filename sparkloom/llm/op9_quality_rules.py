@@ -133,6 +133,11 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone rejects, and what would be kept without it."""
+    return ablations(ledger(documents(spark, sf_dir)))
+
+
 #: Words are those of [^\x20\x09-\x0D]+; whatever else a rule needs is counted as in ``measure``.
 OP9_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
@@ -154,3 +159,8 @@ f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed,
        failed_bits = 0 AS kept, failed_bits FROM f
 """
+ABLATIONS_SQL = f"""
+WITH l AS ({OP9_SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{name}', {bit})" for name, bit in BITS.items())})
+SELECT rule, count(*) FILTER (WHERE failed_bits & bit <> 0) AS failed, count(*) FILTER (WHERE failed_bits = bit) AS failed_alone,
+       count(*) FILTER (WHERE failed_bits IN (0, bit)) AS kept_without FROM l CROSS JOIN r GROUP BY rule
+"""

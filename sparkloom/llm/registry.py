@@ -10,7 +10,7 @@ from sparkloom.llm.op5_byte_bpe import op5_byte_bpe
 from sparkloom.llm.op6_factorisation import op6_factorisation_machine
 from sparkloom.llm.op7_suffix_dedup import op7_suffix_dedup
 from sparkloom.llm.op8_pseudonyms import op8_feistel_pseudonyms
-from sparkloom.llm.op9_quality_rules import OP9_SQL, op9_rule_ledger
+from sparkloom.llm.op9_quality_rules import ABLATIONS_SQL, OP9_SQL, op9_rule_ledger, rule_ablations
 from sparkloom.llm.op10_bfd import op10_best_fit_decreasing
 
 _ALL = (
@@ -25,5 +25,5 @@ _ALL = (
     op9_rule_ledger,
     op10_best_fit_decreasing,
 )
-QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op9_rule_ledger": OP9_SQL}
+QUERIES = {f.__name__: f for f in (*_ALL, rule_ablations)}
+ORACLES = {"op9_rule_ledger": OP9_SQL, "rule_ablations": ABLATIONS_SQL}

@@ -198,12 +198,13 @@ def test_columnwise_rounds_give_transform_and_common_prefixes():
         assert sorted(transform) == sorted(matrix[:, k])
 
 
-def test_rules_against_sql(spark, data):
+@pytest.mark.parametrize("query, sql", [(op9_quality_rules.op9_rule_ledger, op9_quality_rules.OP9_SQL), (op9_quality_rules.rule_ablations, op9_quality_rules.ABLATIONS_SQL)])
+def test_rules_against_sql(spark, data, query, sql):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
-    result = con.execute(op9_quality_rules.OP9_SQL)
+    result = con.execute(sql)
     names = [d[0] for d in result.description]
-    df = op9_quality_rules.op9_rule_ledger(spark, data)
+    df = query(spark, data)
     assert sorted(names) == sorted(df.columns)
     assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(result.fetchall())
 
