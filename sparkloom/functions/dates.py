@@ -50,3 +50,11 @@ def feed_date(text: Column) -> Column:
     forms += [F.try_to_timestamp(bare, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy")]
     forms += [F.try_to_timestamp(F.concat(bare, F.lit(rest)), F.lit("yyyy-MM-dd")) for rest in ("-01", "-01-01")]
     return F.to_date(F.coalesce(*forms))
+
+
+def is_hour(at: Column, zone: str, hour: int) -> Column:
+    """Whether an instant falls in that hour of the zone's clock, by the rules of its date.
+
+    Of the two runs that a fixed universal hour needs to meet a local one all year round, one is meant.
+    """
+    return F.hour(F.from_utc_timestamp(at, zone)) == hour

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import codes, html, sqlite, text
+from sparkloom.functions import codes, dates, html, sqlite, text
 from sparkloom.operators import catalogue as c
 from sparkloom.plans.catalogue import items
 from sparkloom.plans.registry import query
-from sparkloom.sources import archives, readers
+from sparkloom.sources import archives, readers, scouting
 from sparkloom.streaming import projection
 from sparkloom.tables import NAMES, Tables
 
@@ -68,6 +68,66 @@ def full_text_locator(t: Tables) -> DataFrame:
     return archives.located(wanted, answers).select("key", "via", "access", "url", "quality")
 
 
+@query("""WITH d AS (SELECT doc_id, doc_id % 5 AS k, doc_id % 2 = 0 AS free, doc_id::VARCHAR AS n FROM documents)
+SELECT doc_id AS key, ['unpaywall', 'openalex', 'openlibrary', 'hathitrust', 'doab'][k + 1] AS via, CASE k WHEN 2 THEN CASE WHEN free THEN 'pubblico dominio' ELSE 'prestito digitale' END WHEN 3 THEN CASE WHEN free THEN 'vista integrale' ELSE 'solo scheda' END WHEN 4 THEN 'libro ad accesso aperto' ELSE 'copia aperta' END AS access,
+CASE k WHEN 0 THEN CASE WHEN free THEN 'p/' || n END WHEN 1 THEN CASE WHEN free THEN 'o/' || n END WHEN 2 THEN 'https://openlibrary.org/works/' || n WHEN 3 THEN CASE WHEN free THEN 'h/' ELSE 'g/' END || n ELSE 'https://directory.doabooks.org/handle/' || n END AS url FROM d""")
+def service_answers(t: Tables) -> DataFrame:
+    """Stored answers of five look-up services, read into one table of ways to a text."""
+    n, title, free = F.col("doc_id").cast("string"), F.lit("T"), F.pmod("doc_id", F.lit(2)) == 0
+    at = lambda prefix: F.concat(F.lit(prefix), n)
+    items_ = F.array(F.struct(at("g/").alias("itemURL"), F.lit("Limited").alias("usRightsString")), F.struct(at("h/").alias("itemURL"), F.when(free, "Full view").otherwise("Limited").alias("usRightsString")))
+    bodies = {
+        "unpaywall": F.struct(title.alias("title"), free.alias("is_oa"), F.struct(at("w/").alias("url"), at("p/").alias("url_for_pdf")).alias("best_oa_location")),
+        "openalex": F.struct(title.alias("display_name"), F.struct(free.alias("is_oa"), at("o/").alias("oa_url")).alias("open_access")),
+        "openlibrary": F.struct(title.alias("title"), at("/works/").alias("key"), F.when(free, "public").otherwise("borrowable").alias("ebook_access")),
+        "hathitrust": F.struct(title.alias("title"), items_.alias("items")),
+        "doab": F.struct(title.alias("name"), n.alias("handle")),
+    }
+    whole = None
+    for k, service in enumerate(archives.LOOK_UPS):
+        own = t.documents.where(F.pmod("doc_id", F.lit(len(bodies))) == k).select(F.col("doc_id").alias("key"), F.to_json(bodies[service]).alias("body"))
+        found = archives.answered(own, service).select("key", "via", "access", "url")
+        whole = found if whole is None else whole.unionByName(found)
+    return whole
+
+
+@query("""WITH f AS (SELECT page_id % 5 AS k, page_id % 40 AS h, page_id FROM pages),
+m AS (SELECT CASE WHEN k = 0 THEN 'news' WHEN k = 1 THEN 'relief' WHEN k = 2 THEN 'pod' WHEN k = 3 THEN 'code' ELSE 'list' END || h || '.example' AS host, CASE k WHEN 1 THEN 1 WHEN 4 THEN 1 ELSE page_id END AS weight, 'title ' || page_id AS title FROM f)
+SELECT host, arg_max(title, (weight, title)) AS title, count(*) AS mentions, sum(weight)::BIGINT AS weight FROM m WHERE host NOT IN ('news0.example', 'pod2.example') GROUP BY 1""")
+def scouted_hosts(t: Tables) -> DataFrame:
+    """Hosts that five discovery services name, but for those that are known."""
+    n, h = F.col("page_id").cast("string"), F.pmod("page_id", F.lit(40)).cast("string")
+    title = F.concat(F.lit("Title "), n)
+    at = lambda name: F.concat(F.lit(f"https://www.{name}"), h, F.lit(".example/x"))
+    rows = {
+        "news": F.struct(F.array(F.struct(title.alias("title"), at("news").alias("url"), F.col("page_id").alias("points")), F.struct(title.alias("title"), F.lit(None).cast("string").alias("url"), F.lit(9).cast("long").alias("points"))).alias("hits")),
+        "relief": F.struct(F.array(F.struct(F.struct(title.alias("name"), at("relief").alias("homepage")).alias("fields"))).alias("data")),
+        "podcasts": F.struct(F.array(F.struct(title.alias("collectionName"), at("pod").alias("feedUrl"), F.col("page_id").alias("trackCount"))).alias("results")),
+        "repositories": F.struct(F.array(F.struct(title.alias("full_name"), at("code").alias("homepage"), F.col("page_id").alias("stargazers_count"))).alias("items")),
+    }
+    page = lambda k: t.pages.where(F.pmod("page_id", F.lit(5)) == k)
+    found = scouting.curated(page(4).select(F.concat(F.lit("# List\n[badge](https://badge.example)\n- ["), title, F.lit("]("), at("list"), F.lit(") - good\n* [within](#here)\n")).alias("body")))
+    for k, (service, body) in enumerate(rows.items()):
+        found = found.unionByName(scouting.candidates(page(k).select(F.to_json(body).alias("body")), service))
+    known = t.spark.createDataFrame([("news0.example",), ("pod2.example",)], "host string")
+    return scouting.ranked(found, known)
+
+
+@query("SELECT user_id, event_id FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
+def owner_rows(t: Tables) -> DataFrame:
+    """What one owner may see of a table."""
+    first = t.events.agg(F.min("user_id")).first()[0]
+    return readers.owned({"events": t.events}, first if first is not None else -1)["events"].select("user_id", "event_id")
+
+
+@query("""WITH e AS (SELECT event_id, ts, CASE WHEN ts >= make_date(year(ts), 3, 31) - dayofweek(make_date(year(ts), 3, 31))::INT + INTERVAL 1 HOUR
+AND ts < make_date(year(ts), 10, 31) - dayofweek(make_date(year(ts), 10, 31))::INT + INTERVAL 1 HOUR THEN 2 ELSE 1 END AS shift FROM events)
+SELECT event_id, hour(ts + to_hours(shift)) = 7 AS runs FROM e""")
+def run_gate(t: Tables) -> DataFrame:
+    """Whether a run that starts at that time of the universal clock is the one meant for seven o'clock in Rome."""
+    return t.events.select("event_id", dates.is_hour(F.col("ts").cast("timestamp"), "Europe/Rome", 7).alias("runs"))
+
+
 @query("SELECT page_id AS key, '/files/annual-report-' || page_id || '.pdf' AS url, CASE WHEN page_id >= 1000 THEN 3 ELSE 2 END AS hits FROM pages")
 def pdf_link_finder(t: Tables) -> DataFrame:
     """The link that is the document itself, among a file of the same host name and a page of the same name."""

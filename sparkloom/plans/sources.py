@@ -46,7 +46,7 @@ def inverted_abstract(t: Tables) -> DataFrame:
 @query("SELECT 'd' || (event_id % 2) AS device, count(*) AS n, ceil(count(*) / 500.0)::BIGINT AS packets FROM events GROUP BY 1")
 def sealed_packets(t: Tables) -> DataFrame:
     """The log in encrypted packets, opened again and counted."""
-    key = F.lit("0123456789abcdef").cast("binary")
+    key = sinks.derived_key("a passphrase that both devices know", b"0123456789abcdef")
     packets = sinks.packets(eventlog.log_of_events(t.events), key)
     opened = packets.select("device", F.size(F.from_json(sinks.opened(F.col("body"), key), "array<struct<id:string>>")).alias("n"))
     return opened.groupBy("device").agg(F.sum("n").cast("bigint").alias("n"), F.count("*").alias("packets"))

@@ -94,6 +94,32 @@ def read(records: DataFrame, archive: str) -> DataFrame:
 QUALITY = {"copia aperta": 5, "libro ad accesso aperto": 5, "pubblico dominio": 5, "vista integrale": 4, "prestito digitale": 3, "testo online": 3, "solo scheda": 1, "biblioteca": 0}
 
 
+#: Answers of services that are asked for one title: schema, and access, address and title of an answer.
+LOOK_UPS = {
+    "unpaywall": "title string, is_oa boolean, best_oa_location struct<url: string, url_for_pdf: string>",
+    "openalex": "display_name string, open_access struct<is_oa: boolean, oa_url: string>",
+    "openlibrary": "title string, key string, ebook_access string",
+    "hathitrust": "title string, items array<struct<itemURL: string, usRightsString: string>>",
+    "doab": "name string, handle string",
+}
+
+
+def answered(records: DataFrame, service: str) -> DataFrame:
+    """(key, via, access, url, title) of a service's stored answers (key, body); no address where it gives no access."""
+    r = F.col("r")
+    open_item = _first(r["items"], lambda i: F.lower(i["usRightsString"]) == "full view") if service == "hathitrust" else None
+    columns = {
+        "unpaywall": lambda: (F.lit("copia aperta"), F.when(r["is_oa"], F.coalesce(r["best_oa_location"]["url_for_pdf"], r["best_oa_location"]["url"])), r["title"]),
+        "openalex": lambda: (F.lit("copia aperta"), F.when(r["open_access"]["is_oa"], r["open_access"]["oa_url"]), r["display_name"]),
+        "openlibrary": lambda: (F.when(r["ebook_access"] == "public", "pubblico dominio").when(r["ebook_access"] == "borrowable", "prestito digitale").otherwise("solo scheda"), F.concat(F.lit("https://openlibrary.org"), r["key"]), r["title"]),
+        "hathitrust": lambda: (F.when(open_item.isNotNull(), "vista integrale").otherwise("solo scheda"), F.coalesce(open_item["itemURL"], F.get(r["items"], 0)["itemURL"]), r["title"]),
+        "doab": lambda: (F.lit("libro ad accesso aperto"), F.concat(F.lit("https://directory.doabooks.org/handle/"), r["handle"]), r["name"]),
+    }
+    access, url, title = columns[service]()
+    parsed = records.select("key", F.from_json("body", LOOK_UPS[service]).alias("r"))
+    return parsed.select("key", F.lit(service).alias("via"), access.alias("access"), url.alias("url"), title.alias("title")).where("title IS NOT NULL")
+
+
 def located(wanted: DataFrame, answers: DataFrame, compared: int = 50) -> DataFrame:
     """The best access per wanted title: wanted(key, title), answers(key, via, access, url, title).
 

@@ -12,15 +12,49 @@ from sparkloom.operators.catalogue import MOST_ABSTRACT, MOST_AUTHORS, MOST_CONC
 ITEM = "key string, title string, authors array<string>, day date, doi string, kind string, source string, url string, url_pdf string, licence string, abstract string, concepts array<string>, publisher string"
 
 
-def practice(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    """Read-only tables of a folder as views of a session of their own."""
+def practice(spark: SparkSession, folder: str, names: list[str], columns: dict[str, list[str]] | None = None, attempts: int = 2) -> dict[str, DataFrame]:
+    """Read-only tables of a folder as views of a session of their own.
+
+    A table that is empty or lacks one of its ``columns`` is refused; a read that fails is tried again.
+    """
     own = spark.newSession()
-    frames = {n: own.read.parquet(f"{folder}/{n}.parquet") for n in names}
+    for attempt in range(attempts):
+        try:
+            frames = {n: own.read.parquet(f"{folder}/{n}.parquet") for n in names}
+            empty = [n for n, df in frames.items() if df.isEmpty()]
+            break
+        except Exception:
+            if attempt == attempts - 1:
+                raise
+    lacking = [f"{n}.{c}" for n in names for c in (columns or {}).get(n, []) if c not in frames[n].columns]
+    if empty or lacking:
+        raise ValueError(f"practice tables are not whole: empty {empty}, lacking {lacking}")
     for n, df in frames.items():
         df.createOrReplaceTempView(n)
     return frames
 
 
+def owned(frames: dict[str, DataFrame], owner: int | str, column: str = "user_id") -> dict[str, DataFrame]:
+    """Of tables that have an owner's column the owner's rows alone; tables without it are refused."""
+    bare = [n for n, df in frames.items() if column not in df.columns]
+    if bare:
+        raise ValueError(f"tables without {column}: {bare}")
+    return {n: df.where(F.col(column) == F.lit(owner)) for n, df in frames.items()}
+
+
+def whole_selection(pages: DataFrame, size: int) -> DataFrame:
+    """The rows of stored pages (page, rows: an array) up to the first empty one.
+
+    A page before the last that is shorter than ``size`` was cut by the server: what follows can't be
+    trusted, so it raises rather than give a part for the whole.
+    """
+    sizes = [(r.page, r.n) for r in pages.select("page", F.size("rows").alias("n")).orderBy("page").collect()]  # a number per page
+    stop = next((k for k, (_, n) in enumerate(sizes) if n == 0), None)
+    if stop is None or any(n < size for _, n in sizes[: max(0, stop - 1)]):
+        raise ValueError("the selection was cut: no empty page, or a short one before the last")
+    return pages.where(F.col("page").isin([p for p, _ in sizes[:stop]])).select(F.explode("rows").alias("row"))
+
+
 def prepared(spark: SparkSession, preparation: list[tuple[str, str]], sql: str) -> DataFrame:
     """A query after views of its own have been made: (name, SELECT) pairs in a session that is thrown away."""
     own = spark.newSession()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,10 +24,35 @@ def materialise(df: DataFrame, path: str, *sort: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(df_writer, spark, folder: str) -> None:
+    """Writes a folder anew beside the old one and puts it in its place at once, so that readers never see a half of it."""
+    fresh = f"{folder}.new-{uuid.uuid4().hex}"
+    df_writer(fresh)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(path(folder), True)
+    if not system.rename(path(fresh), path(folder)):
+        raise OSError(f"{folder} could not be replaced")
+
+
 def catalogue(items: DataFrame, folder: str) -> None:
-    """The catalogue as JSON lines, with a manifest of counts."""
-    items.write.mode("overwrite").json(f"{folder}/items")
-    items.groupBy("source").agg(F.count("*").alias("n"), F.max("day").alias("latest")).coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")  # a row per source
+    """The catalogue as JSON lines, with a manifest of counts and a report in Markdown."""
+
+    def write(place: str) -> None:
+        items.write.json(f"{place}/items")
+        counts = items.groupBy("source").agg(F.count("*").alias("n"), F.max("day").alias("latest")).coalesce(1)  # a row per source
+        counts.write.json(f"{place}/manifest")
+        line = F.concat(F.lit("| "), F.coalesce("source", F.lit("")), F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), F.coalesce(F.col("latest").cast("string"), F.lit("")), F.lit(" |"))
+        head = items.sparkSession.createDataFrame([(0, "| source | items | latest |"), (1, "|-|-|-|")], "k int, value string")
+        rows = counts.select(F.lit(2).alias("k"), line.alias("value"))
+        head.unionByName(rows).coalesce(1).sortWithinPartitions("k", "value").select("value").write.text(f"{place}/report")
+
+    replaced(write, items.sparkSession, folder)
+
+
+def derived_key(passphrase: str, salt: bytes, rounds: int = 210_000) -> Column:
+    """A 32-byte key of a passphrase (PBKDF2, SHA-256), derived once, on the driver."""
+    return F.lit(hashlib.pbkdf2_hmac("sha256", passphrase.encode(), salt, rounds, 32))
 
 
 def audit(frames: list[DataFrame], folder: str) -> None:

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from sparkloom.functions import codes
-from sparkloom.sources import archives
+from sparkloom.sources import archives, scouting
 
 RECORDS = {
     "arxiv": ({"title": " A  paper ", "summary": "s", "published": "2024-05-06T00:00:00Z", "id": "u", "pdf": "p", "authors": ["x", "y"], "categories": ["c"]}, ("a paper", "u", "p", "2024-05-06", ["x", "y"])),
@@ -50,3 +50,17 @@ def test_codes():
     with pytest.raises(ValueError):
         codes.decoded(code[:-1] + ("0" if code[-1] != "0" else "1"))
     assert codes.fingerprint(["ab", "c"]) == "2:17862" and codes.fingerprint([]) == "0:0"
+
+
+def test_look_ups_without_access(spark):
+    rows = spark.createDataFrame([(1, '{"title": "T", "is_oa": false, "best_oa_location": {"url": "u"}}'), (2, '{"title": "T", "is_oa": true, "best_oa_location": {"url": "u"}}'), (3, "junk"), (4, None)], "key long, body string")
+    assert [tuple(r) for r in archives.answered(rows, "unpaywall").orderBy("key").collect()] == [(1, "unpaywall", "copia aperta", None, "T"), (2, "unpaywall", "copia aperta", "u", "T")]
+    rows = spark.createDataFrame([(1, '{"title": "T", "items": []}'), (2, '{"title": "T"}')], "key long, body string")
+    assert [(r.access, r.url) for r in archives.answered(rows, "hathitrust").collect()] == [("solo scheda", None)] * 2
+
+
+def test_scouting_reads_what_there_is(spark):
+    bodies = spark.createDataFrame([("{}",), ("junk",), (None,), ('{"hits": []}',), ('{"hits": [{"title": "a", "url": "ftp://x"}, {"title": "b", "url": "https://y.example", "points": null}]}',)], "body string")
+    assert [tuple(r) for r in scouting.candidates(bodies, "news").collect()] == [("news", "b", "https://y.example", None)]
+    page = spark.createDataFrame([("- [One](https://a.example/x) text\n  * [Two](http://b.example)\n[no](https://c.example)\n- [in](#x)\n- plain https://d.example",)], "body string")
+    assert [(r.title, r.url) for r in scouting.curated(page).collect()] == [("One", "https://a.example/x"), ("Two", "http://b.example")]

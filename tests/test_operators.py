@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions import dates, hlc, html, text, urls
-from sparkloom.operators import audit, catalogue, compare, eventlog, study
+from sparkloom.operators import audit, catalogue, compare, eventlog, ordering, study
 from sparkloom.sources import readers, sinks
 from sparkloom.streaming import projection
 
@@ -346,3 +346,74 @@ def test_written_summaries(spark, tmp_path):
     assert sinks.materialise(df, f"{tmp_path}/m", "k").count() == 2
     sinks.audit([df, df.withColumn("w", F.lit(1))], f"{tmp_path}/a")
     assert spark.read.option("header", True).csv(f"{tmp_path}/a").columns == ["k", "v", "w"]
+
+
+def test_practice_tables_have_to_be_whole(spark, data):
+    assert set(readers.practice(spark, data, ["region", "nation"], {"nation": ["n_name"]})) == {"region", "nation"}
+    with pytest.raises(ValueError, match="nation.nothing"):
+        readers.practice(spark, data, ["nation"], {"nation": ["n_name", "nothing"]})
+    with pytest.raises(Exception):
+        readers.practice(spark, data, ["nowhere"])
+    with pytest.raises(ValueError, match="user_id"):
+        readers.owned({"nation": spark.read.parquet(f"{data}/nation.parquet")}, 1)
+
+
+def test_a_cut_selection_is_refused(spark):
+    def pages(*sizes):
+        return spark.createDataFrame([(k, list(range(10 * k, 10 * k + n))) for k, n in enumerate(sizes)], "page int, rows array<int>")
+
+    assert sorted(r.row for r in readers.whole_selection(pages(3, 3, 2, 0), 3).collect()) == [0, 1, 2, 10, 11, 12, 20, 21]
+    assert readers.whole_selection(pages(0), 3).count() == 0
+    for cut in (pages(3, 3), pages(3, 2, 3, 0)):
+        with pytest.raises(ValueError):
+            readers.whole_selection(cut, 3)
+
+
+def test_catalogue_is_replaced_as_a_whole(spark, tmp_path):
+    import os
+
+    rows = [("a", datetime.date(2024, 1, 2)), ("a", datetime.date(2024, 1, 1)), (None, None)]
+    for n in (3, 2):
+        sinks.catalogue(spark.createDataFrame(rows[:n], "source string, day date"), f"{tmp_path}/c")
+        assert spark.read.json(f"{tmp_path}/c/items").count() == n and os.listdir(tmp_path) == ["c"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/c/report").collect()] == ["| source | items | latest |", "|-|-|-|", "| a | 2 | 2024-01-02 |"]
+
+
+def test_derived_keys(spark):
+    import hashlib
+
+    key = spark.range(1).select(sinks.derived_key("p", b"s", 1000)).first()[0]
+    assert bytes(key) == hashlib.pbkdf2_hmac("sha256", b"p", b"s", 1000, 32)
+
+
+def test_order_within_keys(spark):
+    draw = random.Random(4)
+    rows = [(f"k{draw.randrange(3)}", draw.randrange(1000), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t long, i long")
+    expected, before = {}, {}
+    for key in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == key)
+        for n, (t, i) in enumerate(own):
+            expected[i], before[i] = n, own[n - 1][1] if n else None
+    by = F.floor(F.col("t") / 50)
+    assert {r.i: r.n for r in ordering.numbered(df, ["k"], ["t", "i"], by, "n").collect()} == expected
+    assert {r.i: r.p and r.p.i for r in ordering.with_previous(df, ["k"], ["t", "i"], by, ["i"], "p").collect()} == before
+
+
+def test_ordered_fingerprints(spark):
+    from sparkloom.functions import codes
+
+    rows = [("a", k, f"ë{k * 7919 % 1013}") for k in range(60)] + [("b", 1, "x")]
+    got = codes.ordered_fingerprints(spark.createDataFrame(rows, "k string, t long, id string"), ["k"], ["t"], F.floor(F.col("t") / 9)).collect()
+    assert {r.k: r.fingerprint for r in got} == {key: codes.fingerprint([i for k, _, i in rows if k == key]) for key in "ab"}
+
+
+def test_readable_source_names(spark):
+    names = {"rss[Data + Society]+arxiv": "Data + Society", "rss[Data Skeptic [Audio]]": "Data Skeptic [Audio]", "arxiv[ia]": "arXiv", "doab+doaj": "DOAB", " mine ": "mine", "": "", None: ""}
+    df = spark.createDataFrame([(k,) for k in names], "s string").select("s", text.source_name(F.col("s")).alias("n"))
+    assert {r.s: r.n for r in df.collect()} == names
+
+
+def test_marks_are_stripped_in_any_script(spark):
+    df = spark.createDataFrame([("ČŐŞŁ ñ é e\u0301 ώ й ế ß",)], "s string")
+    assert df.select(text.folded(F.col("s"))).first()[0] == "cosł n e e ω и e ß"
