@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from sparkloom.functions import text, urls
 from sparkloom.operators import catalogue as c
 from sparkloom.plans.registry import query
-from sparkloom.tables import Tables
+from sparkloom.tables import Tables, spread
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''))"
 ITEMS = f"""raw AS (SELECT *, string_split(text, chr(10))[1] AS title FROM documents),
@@ -27,7 +27,7 @@ classified AS (SELECT idx, string_agg(topic, ',' ORDER BY k) AS topics, max(CASE
 
 
 def items(t: Tables) -> DataFrame:
-    return c.items_of_documents(t.documents)
+    return c.items_of_documents(spread(t.documents))
 
 
 def scores(t: Tables) -> DataFrame:

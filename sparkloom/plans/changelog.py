@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from sparkloom.functions import hlc
 from sparkloom.operators import eventlog, ordering
 from sparkloom.plans.registry import query
-from sparkloom.tables import Tables
+from sparkloom.tables import Tables, spread
 
 #: The log in the checking engine's SQL; its millisecond comes from the microsecond, as epoch_ms rounds otherwise.
 LOG = """clocks AS (SELECT *, printf('%012x-%04x-d%d', epoch_us(ts) // 1000, event_id % 65536, event_id % 2) AS hlc FROM events),
@@ -22,7 +22,7 @@ state AS (SELECT entity_id, field, arg_max(value, (hlc, id)) AS value, max(hlc)
 
 
 def log(t: Tables) -> DataFrame:
-    return eventlog.log_of_events(t.events)
+    return eventlog.log_of_events(spread(t.events))
 
 
 @query(f"WITH {LOG} SELECT event_id, hlc, id FROM log")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from sparkloom.functions import dates, html, text, urls
 from sparkloom.operators import audit, compare
 from sparkloom.plans.registry import query
-from sparkloom.tables import Tables
+from sparkloom.tables import Tables, spread
 
 # ------------------------------------------------------------------ text
 
@@ -17,7 +17,7 @@ from sparkloom.tables import Tables
 @query()
 def html_text(t: Tables) -> DataFrame:
     """Readable text of each page; tests hold it against known pages."""
-    return t.pages.select("page_id", html.html_text("html").alias("text"))
+    return spread(t.pages).select("page_id", html.html_text("html").alias("text"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'),

@@ -10,6 +10,19 @@ NAMES = (
 )
 
 
+SMALL = 20 << 20  # bytes of files
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores, before work that costs much per row.
+
+    A file's row groups are read by one task each, so a table of a few megabytes keeps one core busy however
+    many there are.  Larger tables, in many row groups, are left as they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 class Tables:
     """``t.orders`` is the orders table; column pruning and pushed filters reach its scan."""
 

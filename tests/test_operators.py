@@ -417,3 +417,13 @@ def test_readable_source_names(spark):
 def test_marks_are_stripped_in_any_script(spark):
     df = spark.createDataFrame([("ČŐŞŁ ñ é e\u0301 ώ й ế ß",)], "s string")
     assert df.select(text.folded(F.col("s"))).first()[0] == "cosł n e e ω и e ß"
+
+
+def test_small_tables_are_dealt_out(spark, data, monkeypatch):
+    from sparkloom import tables
+
+    df = spark.read.parquet(f"{data}/events.parquet")
+    wide = tables.spread(df)
+    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and wide.count() == df.count()
+    monkeypatch.setattr(tables, "SMALL", 10)
+    assert tables.spread(df) is df
