@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import per_slice
+from sparkloom.tables import spread
 
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:sparkloom:warc")
 CAPTURED_AT = "2020-01-01T00:00:00Z"
@@ -305,4 +306,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derivatives(captured(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return derivatives(captured(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
