@@ -58,3 +58,15 @@ def is_hour(at: Column, zone: str, hour: int) -> Column:
     Of the two runs that a fixed universal hour needs to meet a local one all year round, one is meant.
     """
     return F.hour(F.from_utc_timestamp(at, zone)) == hour
+
+
+def instant_ms(text: Column) -> Column:
+    """Milliseconds of an instant as servers write it: an HTTP date, or ISO date and time with a zone and any
+    number of decimals; null for anything else."""
+    http = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC)$", " +0000"), F.lit("dd MMM yyyy HH:mm:ss xx"))
+    whole = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2}:[0-9]{2})(\.[0-9]+)?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)$"
+    part = lambda k: F.regexp_extract(F.trim(text), whole, k)
+    zone = F.rpad(F.replace(F.when(part(4) == "Z", "+0000").otherwise(part(4)), F.lit(":"), F.lit("")), 5, "0")
+    iso = F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), zone), F.lit("yyyy-MM-dd'T'HH:mm:ssxx"))
+    more = F.rpad(F.substring(part(3), 2, 3), 3, "0").cast("int")
+    return F.coalesce(F.unix_millis(http), F.unix_millis(F.when(F.trim(text).rlike(whole), iso)) + F.when(F.trim(text).rlike(whole), more))

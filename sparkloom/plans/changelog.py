@@ -121,10 +121,10 @@ def unsent_page(t: Tables) -> DataFrame:
     return eventlog.unsent(log(t), sent).select("id")
 
 
-@query(f"WITH {LOG} SELECT count(DISTINCT id) AS n, (SELECT count(*) FROM (SELECT DISTINCT id FROM log)) = count(DISTINCT id) AS same FROM log")
+@query(f"WITH {LOG} SELECT count(*) AS n, coalesce(sum(('0x' || substr(md5(id), 1, 8))::BIGINT), 0)::BIGINT AS digest, TRUE AS same FROM (SELECT DISTINCT id FROM log)")
 def log_fingerprint(t: Tables) -> DataFrame:
     """Merging in either order gives the same log."""
     a, b = _two_logs(t)
     one = eventlog.fingerprint(a.unionByName(eventlog.merge_new(a, b)).unionByName(eventlog.log_of_events(t.events.where("event_id % 6 = 3"))))
     two = eventlog.fingerprint(b.unionByName(eventlog.merge_new(b, a)).unionByName(eventlog.log_of_events(t.events.where("event_id % 6 = 3"))))
-    return one.crossJoin(two.select(F.col("n").alias("m"), F.col("digest").alias("other"))).select("n", ((F.col("n") == F.col("m")) & (F.col("digest") == F.col("other"))).alias("same"))  # one row each
+    return one.crossJoin(two.select(F.col("n").alias("m"), F.col("digest").alias("other"))).select("n", "digest", ((F.col("n") == F.col("m")) & (F.col("digest") == F.col("other"))).alias("same"))  # one row each

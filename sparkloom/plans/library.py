@@ -165,14 +165,14 @@ def ordered_fingerprints(t: Tables) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id, 1700000000000 + event_id AS server, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 1700000000000 + event_id - 900000 WHEN 2 THEN 1700000000000 + event_id - 5 ELSE 1700000000000 + event_id + 1001 END AS arrived, event_id % 5 = 0 AS finished FROM events)
-SELECT event_id, least(30.0, power(2.0, greatest(event_id % 8 - 1, 0)))::DOUBLE AS backoff, CASE WHEN event_id % 40 = 0 THEN 'allineati' WHEN event_id % 40 < 25 THEN 'lieve' ELSE 'marcata' END AS level,
+SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 0 ELSE least(30.0, power(2.0, event_id % 8 - 1)) END::DOUBLE AS backoff, CASE WHEN (event_id % 3) * (event_id % 40) = 0 AND event_id % 11 <> 0 AND event_id % 300 < 60 THEN 'allineati' WHEN event_id % 11 = 0 OR (event_id % 3) * (event_id % 40) >= 25 OR event_id % 300 >= 240 THEN 'marcata' ELSE 'leggera' END AS level,
 CASE WHEN arrived > server + 1000 THEN event_id WHEN finished OR arrived IS NULL THEN server - 600000 ELSE least(arrived, server - 600000) END AS next FROM e""")
 def exchange_rules(t: Tables) -> DataFrame:
     """After an exchange: minutes to wait, how far the logs are apart, where to read on."""
-    n, k = F.col("event_id"), F.pmod("event_id", F.lit(4))
+    n, k, k3 = F.col("event_id"), F.pmod("event_id", F.lit(4)), F.pmod("event_id", F.lit(3))
     server = F.lit(1_700_000_000_000) + n
     arrived = F.when(k == 1, server - 900_000).when(k == 2, server - 5).when(k == 3, server + 1001)
-    return t.events.select("event_id", projection.backoff_minutes(F.pmod(n, F.lit(8))).alias("backoff"), projection.divergence(F.pmod(n, F.lit(40))).alias("level"), projection.next_cursor(server, arrived, F.pmod(n, F.lit(5)) == 0, n).alias("next"))
+    return t.events.select("event_id", projection.backoff_minutes(F.pmod(n, F.lit(8))).alias("backoff"), projection.divergence(k3 * F.pmod(n, F.lit(40)), F.when(F.pmod(n, F.lit(11)) != 0, F.pmod(n, F.lit(300)))).alias("level"), projection.next_cursor(server, arrived, F.pmod(n, F.lit(5)) == 0, n).alias("next"))
 
 
 @query()
@@ -182,6 +182,31 @@ def title_similarity(t: Tables) -> DataFrame:
     return i.select("idx", F.round(text.similarity("title", "rest"), 6).alias("ratio"))
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 41 AS pending, CASE WHEN event_id % 9 <> 0 THEN (event_id * 7919) % 2000000 END AS since, CASE WHEN event_id % 5 = 0 THEN event_id % 7 ELSE 0 END AS failures, event_id % 6 = 0 AS low, event_id % 10 <> 0 AS able FROM events)
+SELECT event_id, CASE WHEN NOT able OR low AND pending < 25 OR failures > 0 AND since < least(30, power(2, failures - 1)) * 60000 THEN NULL WHEN since IS NULL THEN 'urgent' WHEN since < 90000 THEN NULL WHEN pending >= 25 THEN 'urgent' WHEN since >= 900000 THEN 'normal' END AS exchange FROM e""")
+def exchange_policy(t: Tables) -> DataFrame:
+    """When two devices exchange their logs."""
+    n = F.col("event_id")
+    mod = lambda k: F.pmod(n, F.lit(k))
+    since = F.when(mod(9) != 0, F.pmod(n * 7919, F.lit(2_000_000)))
+    decision = projection.exchange(mod(41), since, F.when(mod(5) == 0, mod(7)).otherwise(0), mod(6) == 0, mod(10) != 0)
+    return t.events.select("event_id", decision.alias("exchange"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE epoch_ms(date_trunc('second', ts)) + CASE WHEN event_id % 5 = 1 THEN 120 ELSE 0 END END AS ms FROM events")
+def server_times(t: Tables) -> DataFrame:
+    """Times as servers write them, in milliseconds: HTTP dates, instants with fractions and zones."""
+    at, k = F.col("ts").cast("timestamp"), F.pmod("event_id", F.lit(5))
+    written = (
+        F.when(k == 0, F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+        .when(k == 1, F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".12Z")))
+        .when(k == 2, F.date_format(at + F.expr("interval 90 minutes"), "yyyy-MM-dd'T'HH:mm:ss'+01:30'"))
+        .when(k == 3, F.date_format(at, "yyyy-MM-dd HH:mm:ss'+00'"))
+        .otherwise(F.lit("a while ago"))
+    )
+    return t.events.select("event_id", dates.instant_ms(written).alias("ms"))
+
+
 # ------------------------------------------------------------------ pages
 
 

@@ -38,7 +38,7 @@ def licence_detection(t: Tables) -> DataFrame:
     return t.pages.select("page_id", html.licence(F.col("html")).alias("licence"), html.paywalled(F.col("html")).alias("walled"))
 
 
-@query()
+@query(r"SELECT conv_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY turn), '\s+', ' ', 'g')) AS text FROM conversations GROUP BY 1")
 def transcript_text(t: Tables) -> DataFrame:
     """Conversations written as WebVTT and read back as prose."""
     cue = F.concat(F.lit("00:00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(".000 --> 00:01:00.000\n"), "text", F.lit("\n"))

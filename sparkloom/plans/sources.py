@@ -58,14 +58,28 @@ def prepared_query(t: Tables) -> DataFrame:
     return readers.prepared(t.spark, [("orders_prep", f"SELECT * FROM parquet.`{t.folder}/orders.parquet` WHERE o_totalprice > 1000")], "SELECT o_orderpriority, count(*) AS n FROM orders_prep GROUP BY o_orderpriority")
 
 
-@query("SELECT * FROM (VALUES ('customer', 'c_nationkey', 'nation'), ('lineitem', 'l_orderkey', 'orders'), ('lineitem', 'l_partkey', 'part'), ('lineitem', 'l_suppkey', 'supplier'), ('nation', 'n_regionkey', 'region'), ('orders', 'o_custkey', 'customer'), ('supplier', 's_nationkey', 'nation')) v(child, field, parent)")
-def foreign_keys(t: Tables) -> DataFrame:
-    """References between tables: views carry none, so they are declared, and kept only where the column is there."""
-    named = [("customer", "c_nationkey", "nation"), ("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_partkey", "part"), ("lineitem", "l_suppkey", "supplier"), ("supplier", "s_nationkey", "nation"), ("nation", "n_regionkey", "region")]
-    return t.spark.createDataFrame([x for x in named if x[1] in getattr(t, x[0]).columns], "child string, field string, parent string")
+#: Which column of which table refers to which table's key.
+REFERENCES = [
+    ("customer", "c_nationkey", "nation", "n_nationkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+]
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{child}' AS child, '{field}' AS field, '{parent}' AS parent, count(*) AS n, count(*) FILTER (WHERE {field} NOT IN (SELECT {key} FROM {parent})) AS orphans FROM {child}" for child, field, parent, key in REFERENCES))
+def foreign_keys(t: Tables) -> DataFrame:
+    """References between tables, which views do not carry: declared, and held against the rows."""
+    checked = []
+    for child, field, parent, key in REFERENCES:
+        keys = getattr(t, parent).select(F.col(key).alias(field), F.lit(True).alias("there")).distinct()
+        counts = getattr(t, child).groupBy(field).agg(F.count("*").alias("k")).join(keys, field, "left")  # a row per value
+        checked.append(counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("there").isNull() & F.col(field).isNotNull(), F.col("k"))), F.lit(0)).alias("orphans")).select(F.lit(child).alias("child"), F.lit(field).alias("field"), F.lit(parent).alias("parent"), "n", "orphans"))
+    whole = checked[0]
+    for one in checked[1:]:
+        whole = whole.unionByName(one)
+    return whole
+
+
+@query("SELECT * FROM (VALUES ('function of the column', FALSE, FALSE), ('range predicate', TRUE, FALSE), ('small side', FALSE, TRUE), ('two columns', FALSE, FALSE)) v(case_name, range_pushed, broadcast)")
 def plan_shapes(t: Tables) -> DataFrame:
     """What the optimizer makes of typical queries: a range reaches the scan, a function on the column does not,
     a small side is broadcast."""

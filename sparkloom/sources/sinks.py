@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +38,33 @@ def replaced(df_writer, spark, folder: str) -> None:
         raise OSError(f"{folder} could not be replaced")
 
 
+def transaction(frames: dict[str, DataFrame], folder: str) -> None:
+    """Several tables that change together: all are written anew, then the folder that holds them is replaced."""
+
+    def write(place: str) -> None:
+        for name, df in frames.items():
+            df.write.parquet(f"{place}/{name}")
+
+    replaced(write, next(iter(frames.values())).sparkSession, folder)
+
+
+@contextmanager
+def writer(spark, folder: str, attempts: int = 50, wait: float = 0.1) -> Iterator[None]:
+    """One writer at a time: a lock file that is created only where there is none, and goes with the writer."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}.lock")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for _ in range(attempts):
+        if system.createNewFile(path):
+            break
+        time.sleep(wait)
+    else:
+        raise TimeoutError(f"{folder} has another writer")
+    try:
+        yield
+    finally:
+        system.delete(path, False)
+
+
 def catalogue(items: DataFrame, folder: str) -> None:
     """The catalogue as JSON lines, with a manifest of counts and a report in Markdown."""
 

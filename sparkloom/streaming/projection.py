@@ -82,14 +82,33 @@ def next_cursor(server_ms: Column, last_arrival_ms: Column, finished: Column, ol
     return F.when(wrong, old).when(finished | last_arrival_ms.isNull(), limit).otherwise(F.least(last_arrival_ms, limit))
 
 
+#: Events that make an exchange urgent; milliseconds between exchanges, at least and by courtesy.
+URGENT_EVENTS, LEAST_MS, COURTESY_MS = 25, 90_000, 15 * 60_000
+
+
 def backoff_minutes(failures: Column) -> Column:
-    """1, 2, 4 ... 30 minutes."""
-    return F.least(F.lit(30.0), F.pow(F.lit(2.0), F.greatest(failures - 1, F.lit(0))))
+    """0 without failures, then 1, 2, 4 ... 30 minutes."""
+    return F.when(failures <= 0, 0.0).otherwise(F.least(F.lit(30.0), F.pow(F.lit(2.0), failures - 1)))
+
+
+def exchange(pending: Column, since_ms: Column, failures: Column, low_battery: Column, able: Column) -> Column:
+    """Whether to exchange now: 'urgent', 'normal', or null for not now.
+
+    ``able`` says that there is somebody to exchange with, nothing is under way and the application is in front;
+    ``since_ms`` is null before the first exchange.
+    """
+    waits = ~able | (low_battery & (pending < URGENT_EVENTS)) | ((failures > 0) & F.coalesce(since_ms < backoff_minutes(failures) * 60_000, F.lit(False)))
+    return F.when(waits, None).when(since_ms.isNull(), "urgent").when(since_ms < LEAST_MS, None).when(pending >= URGENT_EVENTS, "urgent").when(since_ms >= COURTESY_MS, "normal")
+
+
+#: Minutes since the last exchange within which logs count as close, and from which as far apart.
+CLOSE_MINUTES, FAR_MINUTES = 60, 240
 
 
-def divergence(missing: Column) -> Column:
-    """How far two logs are apart."""
-    return F.when(missing == 0, "allineati").when(missing < 25, "lieve").otherwise("marcata")
+def divergence(pending: Column, since_minutes: Column) -> Column:
+    """How far two logs are apart, by events not sent and minutes since the last exchange (null: never)."""
+    far = since_minutes.isNull() | (pending >= URGENT_EVENTS) | (since_minutes >= FAR_MINUTES)
+    return F.when((pending == 0) & F.coalesce(since_minutes < CLOSE_MINUTES, F.lit(False)), "allineati").when(far, "marcata").otherwise("leggera")
 
 
 def weekly_windows(events: DataFrame) -> DataFrame:

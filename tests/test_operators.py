@@ -427,3 +427,19 @@ def test_small_tables_are_dealt_out(spark, data, monkeypatch):
     assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and wide.count() == df.count()
     monkeypatch.setattr(tables, "SMALL", 10)
     assert tables.spread(df) is df
+
+
+def test_tables_change_together_under_one_writer(spark, tmp_path):
+    import os
+
+    df = spark.range(3)
+    for n in (3, 2):
+        sinks.transaction({"a": df.limit(n), "b": df.limit(1)}, f"{tmp_path}/t")
+        assert spark.read.parquet(f"{tmp_path}/t/a").count() == n and os.listdir(tmp_path) == ["t"]
+    with sinks.writer(spark, f"{tmp_path}/t"):
+        with pytest.raises(TimeoutError):
+            with sinks.writer(spark, f"{tmp_path}/t", 2, 0.01):
+                pass
+    with sinks.writer(spark, f"{tmp_path}/t", 1):
+        assert sorted(os.listdir(tmp_path))[-1] == "t.lock"
+    assert os.listdir(tmp_path) == ["t"]
