@@ -46,7 +46,7 @@ def transcript_text(t: Tables) -> DataFrame:
     return turns.select("conv_id", html.transcript_text(F.concat(F.lit("WEBVTT\n\n"), F.array_join("x.cue", "\n"))).alias("text"))
 
 
-@query()
+@query(r"""SELECT source, 'D' || doc_id AS title, 'https://example.org/' || doc_id AS link, DATE '2024-01-01' AS day, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS text_sha256 FROM documents""")
 def feed_items(t: Tables) -> DataFrame:
     """Documents, with their whole texts, written as one RSS feed per source and language and read back."""
     body = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
