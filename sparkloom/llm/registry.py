@@ -12,6 +12,9 @@ from sparkloom.llm.op7_suffix_dedup import op7_suffix_dedup
 from sparkloom.llm.op8_pseudonyms import op8_feistel_pseudonyms
 from sparkloom.llm.op9_quality_rules import ABLATIONS_SQL, OP9_SQL, op9_rule_ledger, rule_ablations
 from sparkloom.llm.op10_bfd import op10_best_fit_decreasing
+from sparkloom.llm.op11_tput import OP11_SQL, op11_tput_search
+from sparkloom.llm.op12_license_scan import OP12_SQL, op12_license_scan
+from sparkloom.llm.op13_hard_negatives import OP13_SQL, op13_hard_negatives
 
 _ALL = (
     op1_warc_derivatives,
@@ -24,6 +27,9 @@ _ALL = (
     op8_feistel_pseudonyms,
     op9_rule_ledger,
     op10_best_fit_decreasing,
+    op11_tput_search,
+    op12_license_scan,
+    op13_hard_negatives,
 )
 QUERIES = {f.__name__: f for f in (*_ALL, rule_ablations)}
-ORACLES = {"op9_rule_ledger": OP9_SQL, "rule_ablations": ABLATIONS_SQL}
+ORACLES = {"op9_rule_ledger": OP9_SQL, "rule_ablations": ABLATIONS_SQL, "op11_tput_search": OP11_SQL, "op12_license_scan": OP12_SQL, "op13_hard_negatives": OP13_SQL}
