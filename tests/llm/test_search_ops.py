@@ -51,7 +51,7 @@ def lexical():
     return queries, docs
 
 
-@pytest.mark.parametrize("how", [{}, {"most_terms": 3}, {"part": 7}, {"k": 1}])
+@pytest.mark.parametrize("how", [{}, {"most_terms": 3}, {"part": 7}, {"k": 1}, {"pairs": 40}])
 def test_search_equals_scoring_every_document(spark, frame, how):
     queries, docs = lexical()
     asked = spark.createDataFrame(queries, "item_id long, text string").withColumn("term", F.lit("clash"))
