@@ -33,6 +33,15 @@ def drifts(ms: Column, seen_ms: Column) -> Column:
     return F.abs(ms - seen_ms) > DRIFT_ALARM_MS
 
 
+def number(ms: Column, counter: Column) -> Column:
+    """A clock as one number: a counter that overflows goes on to the next millisecond."""
+    return ms * F.lit(MOST + 1) + counter
+
+
+def of_number(n: Column, device: Column) -> Column:
+    return written(F.shiftright(n, 16), n.bitwiseAND(F.lit(MOST)), device)
+
+
 @dataclass
 class Clock:
     """A device's clock; ``tick`` for its own events, ``absorb`` for those of others."""

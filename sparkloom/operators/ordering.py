@@ -2,16 +2,27 @@
 
 A window over such a key is one task's.  Here a key's rows are taken in buckets of the order (for
 a change log, stretches of time): windows run within a bucket, and only a row per bucket meets on
-the key to carry counts or last rows over.  Keys are not null.
+the key to carry counts, last rows or maxima over.  Null keys are a key like any other, and so is a null
+bucket, which comes first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _carried(rows: DataFrame, carried: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Rows and what is carried into their bucket, joined so that null keys meet null keys."""
+    on = [*keys, "__bucket"]
+    named = carried.withColumnsRenamed({k: f"__c{n}" for n, k in enumerate(on)})
+    meet = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(f"__c{n}")) for n, k in enumerate(on)))
+    return rows.join(named, meet, how)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str) -> DataFrame:
     """The rows with their place, from 0, among the rows of their key; ``bucket`` rises with the order."""
     placed = df.withColumn("__bucket", bucket)
@@ -19,7 +30,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, n
     upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket"))
     before = counts.select(*keys, "__bucket", (upto - F.col("__n")).alias("__before"))
     within = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order)) - 1
-    joined = placed.withColumn(name, within.cast("bigint")).join(before, [*keys, "__bucket"])
+    joined = placed.withColumn(name, within.cast("bigint"))
+    joined = _carried(joined, before, keys, "inner")
     return joined.withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
 
 
@@ -30,5 +42,28 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], bucket: Colu
     last = placed.groupBy(*keys, "__bucket").agg(F.max_by(row, F.struct(*order)).alias("__last"))
     carried = last.select(*keys, "__bucket", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__bucket")).alias("__carried"))
     within = F.lag(row).over(Window.partitionBy(*keys, "__bucket").orderBy(*order))
-    joined = placed.withColumn(name, within).join(carried.where("__carried IS NOT NULL"), [*keys, "__bucket"], "left")
+    joined = placed.withColumn(name, within)
+    joined = _carried(joined, carried.where("__carried IS NOT NULL"), keys, "left")
     return joined.withColumn(name, F.coalesce(name, "__carried")).select(*df.columns, name)
+
+
+def running_max(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, name: str) -> DataFrame:
+    """The rows with the largest value of their key so far."""
+    placed = df.withColumn("__bucket", bucket)
+    tops = placed.groupBy(*keys, "__bucket").agg(F.max(value).alias("__top"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "__bucket", F.max("__top").over(before).alias("__carried"))
+    within = F.max(value).over(Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = _carried(placed.withColumn(name, within), carried, keys, "inner")
+    return joined.withColumn(name, F.greatest(name, "__carried")).select(*df.columns, name)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
+    """The rows with the sum of a value over their key so far."""
+    placed = df.withColumn("__bucket", bucket).withColumn("__v", value)
+    sums = placed.groupBy(*keys, "__bucket").agg(F.sum("__v").alias("__s"))
+    upto = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__bucket"))
+    before = sums.select(*keys, "__bucket", (upto - F.col("__s")).alias("__before"))
+    within = F.sum("__v").over(Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = _carried(placed.withColumn(name, within), before, keys, "inner")
+    return joined.withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)

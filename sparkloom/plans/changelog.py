@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions import hlc
-from sparkloom.operators import eventlog, ordering
+from sparkloom.operators import clocks, eventlog, ordering
 from sparkloom.plans.registry import query
 from sparkloom.tables import Tables, spread
 
@@ -128,3 +128,32 @@ def log_fingerprint(t: Tables) -> DataFrame:
     one = eventlog.fingerprint(a.unionByName(eventlog.merge_new(a, b)).unionByName(eventlog.log_of_events(t.events.where("event_id % 6 = 3"))))
     two = eventlog.fingerprint(b.unionByName(eventlog.merge_new(b, a)).unionByName(eventlog.log_of_events(t.events.where("event_id % 6 = 3"))))
     return one.crossJoin(two.select(F.col("n").alias("m"), F.col("digest").alias("other"))).select("n", "digest", ((F.col("n") == F.col("m")) & (F.col("digest") == F.col("other"))).alias("same"))  # one row each
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'd0' ELSE 'd' || (1 + event_id % 5) END AS device, epoch_us(ts) // 1000 - (event_id * 7919) % 90000 AS now,
+CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 + (event_id % 11) * 1000 END AS m, event_id % 65536 AS c, event_id % 33 = 0 AS bad FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY event_id) AS k FROM e),
+f AS (SELECT DISTINCT device, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0::BIGINT AS ms, 0::BIGINT AS counter FROM e
+UNION ALL SELECT device, k, event_id, CASE WHEN n > 65535 THEN top + 1 ELSE top END, CASE WHEN n > 65535 THEN 0 ELSE n END FROM (
+SELECT r.device, r.k, r.event_id, CASE WHEN bad THEN f.ms ELSE greatest(f.ms, r.now, coalesce(r.m, 0)) END AS top,
+CASE WHEN bad THEN f.counter WHEN r.now > f.ms AND r.now > coalesce(r.m, 0) THEN 0 WHEN f.ms > coalesce(r.m, 0) THEN f.counter + 1 WHEN r.m > f.ms THEN (CASE WHEN r.m >= r.now THEN r.c + 1 ELSE 0 END) ELSE greatest(f.counter, r.c) + 1 END AS n
+FROM f JOIN r ON r.device = f.device AND r.k = f.k + 1))
+SELECT event_id, printf('%012x-%04x-%s', ms, counter, device) AS hlc FROM f WHERE k > 0""")
+def clock_fold(t: Tables) -> DataFrame:
+    """Each device's clock after each of its events, own ones and those of others; d0 has half of all events."""
+    k, ms = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    other = F.when(k % 33 == 0, F.lit("not a clock")).when(k % 3 == 0, hlc.written(ms + (k % 11) * 1000, k % 65536, F.lit("x")))
+    e = t.events.select(k.alias("nth"), F.when(k % 2 == 0, F.lit("d0")).otherwise(F.concat(F.lit("d"), (1 + k % 5).cast("string"))).alias("device"), (ms - (k * 7919) % 90000).alias("now"), other.alias("other"))
+    return clocks.restamped(spread(e), F.floor(F.col("nth") / 4096)).select(F.col("nth").alias("event_id"), "hlc")
+
+
+@query("SELECT device, count(*) AS n, ceil(count(*) / 500.0)::BIGINT AS packets FROM (SELECT CASE WHEN event_id % 65536 % 3 <> 0 THEN 'd' || (event_id % 2) END AS device FROM events) GROUP BY 1")
+def sealed_nameless(t: Tables) -> DataFrame:
+    """Packets of a log in which a third of the events name no device: they are sealed as well."""
+    from sparkloom.sources import sinks
+
+    key = sinks.derived_key("a passphrase that both devices know", b"0123456789abcdef")
+    device = F.when(hlc.parsed(F.col("hlc"))["counter"] % 3 != 0, F.col("device"))
+    packets = sinks.packets(log(t).withColumn("device", device), key)
+    opened = packets.select("device", F.size(F.from_json(sinks.opened(F.col("body"), key), "array<struct<id:string>>")).alias("n"))
+    return opened.groupBy("device").agg(F.sum("n").cast("bigint").alias("n"), F.count("*").alias("packets"))

@@ -443,3 +443,44 @@ def test_tables_change_together_under_one_writer(spark, tmp_path):
     with sinks.writer(spark, f"{tmp_path}/t", 1):
         assert sorted(os.listdir(tmp_path))[-1] == "t.lock"
     assert os.listdir(tmp_path) == ["t"]
+
+
+def test_sitemaps_read_event_by_event():
+    inner = "<url><image:image><image:loc>https://a.org/pic.png</image:loc></image:image><loc>\n https://a.org/2024/02/30/x </loc></url>"
+    assert [(p["loc"], p["day"]) for p in html.places_of(f"<urlset>{inner}</urlset>")] == [("https://a.org/2024/02/30/x", "2024-02-01")]
+    cut = "<s:urlset><s:url><s:loc><![CDATA[https://a.org/a?b=1&c=2]]></s:loc><s:lastmod>2024-01-02</s:lastmod></s:url><s:url><s:loc>https://a.org/b"
+    assert [(p["loc"], p["lastmod"]) for p in html.places_of(cut)] == [("https://a.org/a?b=1&c=2", "2024-01-02"), ("https://a.org/b", "")]
+    days = {"https://a.org/2023-11-05/t": "2023-11-05", "https://a.org/2023/11/t": "2023-11-01", "https://a.org/2023/13/t": "", "https://a.org/1999/01/02": "", "https://a.org/id-2024-05": "2024-05-01", "https://a.org/20240501": ""}
+    assert {a: html.day_of(a) for a in days} == days
+    kinds = {"https://a.org/news-sitemap1.xml": {"pieces"}, "https://a.org/categories.xml": {"other"}, "https://a.org/post-tags.xml": {"pieces", "other"}, "https://a.org/blog/s.xml": set()}
+    assert {a: html.listed_in(a) for a in kinds} == kinds
+
+
+def test_null_keys_are_keys_in_buckets(spark):
+    from sparkloom.operators import ordering
+
+    rows = [(None, k, k % 3) for k in range(9)] + [("a", k, -k) for k in range(9)] + [("a", None, 50)]
+    df = spark.createDataFrame(rows, "key string, at long, v long")
+    bucket = F.floor(F.col("at") / 2)
+    assert sorted((r.key or "", -1 if r.at is None else r.at, r.nth) for r in ordering.numbered(df, ["key"], ["at"], bucket, "nth").collect()) == [("", k, k) for k in range(9)] + [("a", k - 1, k) for k in range(10)]
+    got = {(r.key, r.at): (r.m, r.s) for r in ordering.running_sum(ordering.running_max(df, ["key"], ["at"], bucket, "v", "m"), ["key"], ["at"], bucket, F.col("v"), "s").collect()}
+    assert [got[None, k] for k in (0, 1, 2, 8)] == [(0, 0), (1, 1), (2, 3), (2, 9)] and got["a", 8] == (50, 14) and got["a", None] == (50, 50)
+    before = {(r.key, r.at): r.p and r.p.at for r in ordering.with_previous(df.where("at IS NOT NULL"), ["key"], ["at"], bucket, ["at"], "p").collect()}
+    assert all(before[key, k] == (k - 1 if k else None) for key in (None, "a") for k in range(9))
+
+
+def test_clock_fold_equals_the_clock_step_by_step(spark):
+    import random
+
+    from sparkloom.functions import hlc
+    from sparkloom.operators import clocks
+
+    draw, rows = random.Random(2), []
+    for device in ("a", "b", None):
+        rows += [(device, k, draw.randrange(50), draw.choice([None, None, "?", f"{draw.randrange(60):012x}-{draw.choice([0, 7, 65535]):04x}-z"])) for k in range(300)]
+    got = {(r.device, r.nth): r.hlc for r in clocks.restamped(spark.createDataFrame(rows, "device string, nth long, now long, other string"), F.floor(F.col("nth") / 16)).collect()}
+    assert len(got) == 900
+    for device in ("a", "b"):
+        clock = hlc.Clock(device)
+        for _, k, now, other in (r for r in rows if r[0] == device):
+            assert got[device, k] == (clock.tick(now) if other is None else clock.absorb(other, now))
