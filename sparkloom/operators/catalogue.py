@@ -1,9 +1,8 @@
 """The catalogue: normalise, filter, classify, de-duplicate, rank.
 
 An item has idx (reading order), key, title, abstract, concepts, source, day, has_pdf, is_book.
-The vocabulary is a small authored table (topic, term, tier) and is broadcast; matching explodes
-an item's distinct words (and word pairs, if the vocabulary has such terms) into an equi-join, so
-its cost does not grow with the number of terms.
+The vocabulary is an authored table (topic, term, tier) of terms of any number of words; an automaton
+of it reads each text once (see ``functions.vocabulary``), so the cost does not grow with the terms.
 """
 
 from __future__ import annotations
@@ -15,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text
+from sparkloom.functions import vocabulary as vocabulary_
 
 #: Weights of a term by tier, of a title against an abstract, of a concept; the threshold.
 STRONG, WEAK, TITLE, CONCEPT, THRESHOLD = 1.0, 0.4, 1.5, 1.2, 1.0
 MOST_AUTHORS, MOST_ABSTRACT, MOST_CONCEPTS = 12, 4000, 24
 PER_SOURCE, PER_DAY, EXPLORED, EXPLORED_CHARS = 12, 80, 5, 1500
 BOOST = 1.2
+TERMS_IN_TASKS = 100_000
 
 #: An authored vocabulary for the four languages of the documents table.
 VOCABULARY = [
@@ -74,27 +75,36 @@ NOISE = [
 SIGNALS = ["case study", "lessons learned", "field notes", "retrospective", "how we built", "deep dive", "long read", "history of", "what we learned", "post-mortem"]
 
 
-_NOT_WORD = r"[^\p{L}\p{N}_]+"
+def _term_hits(items: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """(idx, topic, term, strong, f): each term that stands in an item, once, with the weight of its place.
 
-
-def _parts(column: Column, pairs: bool) -> Column:
-    """Folded words of a text; with ``pairs`` also neighbouring words together."""
-    words = F.split(text.folded(column), _NOT_WORD)
-    if not pairs:
-        return words
-    both = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, both)
-
-
-def topic_scores(items: DataFrame, terms: DataFrame, concepts: list[tuple[str, str]] = CONCEPTS, pairs: bool = False) -> DataFrame:
+    A vocabulary of at most ``most`` terms goes to the tasks as an automaton that reads each text once, whatever the
+    number and length of terms; a larger one is joined with the texts' runs of words, of the lengths that it has.
+    """
+    spoken = terms.select("topic", "term", "strong", F.array_join(vocabulary_.words(F.col("term")), " ").alias("words")).where("words <> ''")
+    known = spoken.select("words").distinct().limit(most + 1).collect()  # bounded
+    title, abstract = (F.coalesce(F.col(c), F.lit("")) for c in ("title", "abstract"))
+    if len(known) <= most:
+        listed = sorted(r["words"] for r in known)
+        terms_in = vocabulary_.finder(vocabulary_.Automaton(tuple(w.split(" ")) for w in listed))
+        hits = items.select("idx", terms_in(vocabulary_.spaced(title)).alias("t"), terms_in(vocabulary_.spaced(abstract)).alias("a"))
+        numbered = items.sparkSession.createDataFrame(list(enumerate(listed)), "w int, words string")
+        spoken = F.broadcast(spoken.join(F.broadcast(numbered), "words"))  # checked above
+    else:
+        lengths = [r.n for r in spoken.select(F.size(F.split("words", " ")).alias("n")).distinct().collect()]  # a few numbers
+        hits = items.select("idx", vocabulary_.runs(title, lengths).alias("t"), vocabulary_.runs(abstract, lengths).alias("a"))
+        spoken = spoken.withColumn("w", F.col("words"))
+    places = F.concat(F.transform("t", lambda w: F.struct(w.alias("w"), F.lit(TITLE).cast("double").alias("f"))), F.transform(F.array_except("a", "t"), lambda w: F.struct(w.alias("w"), F.lit(1.0).alias("f"))))
+    met = hits.where("size(t) + size(a) > 0").select("idx", F.explode(places).alias("p")).select("idx", "p.w", "p.f")
+    return met.join(spoken, "w").groupBy("idx", "topic", "term", "strong").agg(F.max("f").alias("f"))
+
+
+def topic_scores(items: DataFrame, terms: DataFrame, concepts: list[tuple[str, str]] = CONCEPTS, most: int = TERMS_IN_TASKS) -> DataFrame:
     """(idx, topic, score, strong): a term in the title counts once and a half, and then not in the abstract.
 
-    ``pairs`` is for vocabularies with terms of two words.  Words are looked up as they are split
-    off, in generated code, and only hits go on.
+    Terms have any number of words; those within or across others count as well.
     """
-    sides = F.explode(F.array(F.struct(F.col("title").alias("t"), F.lit(TITLE).alias("f")), F.struct(F.col("abstract").alias("t"), F.lit(1.0).alias("f")))).alias("s")
-    words = items.select("idx", sides).select("idx", F.col("s.f").cast("double").alias("f"), F.explode(_parts(F.coalesce("s.t", F.lit("")), pairs)).alias("term"))
-    hits = words.join(F.broadcast(terms), "term").groupBy("idx", "topic", "term", "strong").agg(F.max("f").alias("f"))  # an authored table
+    hits = _term_hits(items, terms, most)
     scored = hits.select("idx", "topic", (F.when(F.col("strong"), F.lit(STRONG)).otherwise(F.lit(WEAK)).cast("double") * F.col("f")).alias("p"), "strong")
     named = items.sparkSession.createDataFrame(concepts, "topic string, concept string")
     extra = items.select("idx", F.explode("concepts").alias("concept")).distinct().join(F.broadcast(named), "concept").select("idx", "topic", F.lit(CONCEPT).cast("double").alias("p"), F.lit(True).alias("strong"))

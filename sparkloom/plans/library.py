@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import codes, dates, html, sqlite, text
+from sparkloom.functions import codes, dates, html, sqlite, text, vocabulary
 from sparkloom.operators import catalogue as c
 from sparkloom.plans.catalogue import items
 from sparkloom.plans.registry import query
@@ -273,7 +273,30 @@ best AS (SELECT idx, topic, term, strong, max(f) AS f FROM hits JOIN terms USING
 SELECT idx, topic, round(sum(CASE WHEN strong THEN f ELSE 0.4 * f END), 3)::DOUBLE AS score, round(coalesce(sum(f) FILTER (WHERE strong), 0), 3)::DOUBLE AS strong FROM best GROUP BY 1, 2""")
 def topic_scores_wide(t: Tables) -> DataFrame:
     """Topic scores by a vocabulary of 800 words and word pairs."""
-    return c.topic_scores(items(t), wide_vocabulary(t), [], pairs=True)
+    return c.topic_scores(items(t), wide_vocabulary(t), [])
+
+
+_RUNS = "list_distinct(flatten(list_transform(range(1, 7), lambda n: list_transform(range(1, greatest(len({0}) - n + 2, 1)), lambda i: array_to_string({0}[i:i + n - 1], ' ')))))"
+
+
+def long_vocabulary(t: Tables) -> DataFrame:
+    """(topic, term, strong): runs of one to six words of the benchmark's items and of some documents' first words, a third of them by name."""
+    runs = t.benchmark.select(F.explode(vocabulary.runs(F.coalesce("text", F.lit("")), range(1, 7))).alias("term"))
+    heads = t.documents.where("doc_id % 13 = 0").select(F.explode(vocabulary.runs(F.substring(F.coalesce("text", F.lit("")), 1, 200), range(1, 7))).alias("term"))
+    terms = runs.union(heads).distinct().where("conv(substr(md5(term), 1, 4), 16, 10) % 3 = 0")
+    return terms.select(F.concat(F.lit("t"), F.pmod(F.length("term") * 7, F.lit(22)).cast("string")).alias("topic"), "term", (F.pmod(F.length("term"), F.lit(2)) == 0).alias("strong"))
+
+
+@query(f"""WITH b AS (SELECT {_WORDS.format("text")} AS w FROM benchmark UNION ALL SELECT {_WORDS.format("substr(text, 1, 200)")} FROM documents WHERE doc_id % 13 = 0),
+v AS (SELECT DISTINCT unnest({_RUNS.format("w")}) AS term FROM b),
+terms AS (SELECT 't' || (length(term) * 7) % 22 AS topic, term, length(term) % 2 = 0 AS strong FROM v WHERE ('0x' || substr(md5(term), 1, 4))::BIGINT % 3 = 0),
+raw AS (SELECT doc_id AS idx, string_split(text, chr(10))[1] AS title, text FROM documents), s AS (SELECT idx, {_WORDS.format("title")} AS tw, {_WORDS.format("substr(text, length(title) + 2, 4000)")} AS aw FROM raw),
+hits AS (SELECT idx, unnest({_RUNS.format("tw")}) AS term, 1.5::DOUBLE AS f FROM s UNION ALL SELECT idx, unnest({_RUNS.format("aw")}), 1.0 FROM s),
+best AS (SELECT idx, topic, term, strong, max(f) AS f FROM hits JOIN terms USING (term) GROUP BY ALL)
+SELECT idx, topic, round(sum(CASE WHEN strong THEN f ELSE 0.4 * f END), 3)::DOUBLE AS score, round(coalesce(sum(f) FILTER (WHERE strong), 0), 3)::DOUBLE AS strong FROM best GROUP BY 1, 2""")
+def topic_scores_long(t: Tables) -> DataFrame:
+    """Topic scores by terms of one to six words, those within others included."""
+    return c.topic_scores(items(t), long_vocabulary(t), [])
 
 
 # ------------------------------------------------------------------ the catalogue of tables

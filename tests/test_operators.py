@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions import dates, hlc, html, text, urls
+from sparkloom.functions import dates, hlc, html, text, urls, vocabulary
 from sparkloom.operators import audit, catalogue, compare, eventlog, ordering, study
 from sparkloom.sources import readers, sinks
 from sparkloom.streaming import projection
@@ -148,7 +148,24 @@ def test_topic_scores(spark):
 def test_terms_of_two_words(spark):
     words = catalogue.vocabulary(spark, [("health", "public health", "strong")])
     items = spark.createDataFrame([item(1, title="Public Health now"), item(2, title="public", abstract="health"), item(3, title="x", abstract="on public health")], ITEM)
-    assert {(r.idx, r.score) for r in catalogue.topic_scores(items, words, [], pairs=True).collect()} == {(1, 1.5), (3, 1.0)}
+    assert {(r.idx, r.score) for r in catalogue.topic_scores(items, words, []).collect()} == {(1, 1.5), (3, 1.0)}
+
+
+@pytest.mark.parametrize("most", [100, 2])
+def test_terms_of_any_length(spark, most):
+    rows = [("a", "digital health intervention", "strong"), ("b", "digital health", "strong"), ("c", "health", "weak"), ("d", "health intervention in rural areas today", "strong"), ("e", "post-mortem", "strong"), ("f", "x x", "strong"), ("g", "--", "strong"), ("b", "HEALTH", "weak")]
+    items = spark.createDataFrame([item(1, title="A Digital  Health: intervention", abstract="in rural areas"), item(2, title="Post mortem", abstract="digital health intervention in rural areas today"), item(3, title="x x x", abstract=None), item(4, title=None, abstract="digital. Health"), item(5, title="digital", abstract="intervention")], ITEM)
+    got = {(r.idx, r.topic): (r.score, r.strong) for r in catalogue.topic_scores(items, catalogue.vocabulary(spark, rows), [], most).collect()}
+    assert got == {(1, "a"): (1.5, 1.5), (1, "b"): (2.1, 1.5), (1, "c"): (0.6, 0.0), (2, "a"): (1.0, 1.0), (2, "b"): (1.4, 1.0), (2, "c"): (0.4, 0.0), (2, "d"): (1.0, 1.0), (2, "e"): (1.5, 1.5), (3, "f"): (1.5, 1.5), (4, "b"): (1.4, 1.0), (4, "c"): (0.4, 0.0)}
+
+
+def test_automaton_finds_what_every_place_shows():
+    draw = random.Random(8)
+    terms = sorted({tuple(draw.choice("abc") for _ in range(draw.randrange(1, 7))) for _ in range(60)})
+    automaton = vocabulary.Automaton(terms)
+    for n in range(0, 60, 3):
+        words = [draw.choice("abcd") for _ in range(n)]
+        assert automaton.found(words) == {k for k, t in enumerate(terms) if any(tuple(words[i : i + len(t)]) == t for i in range(n))}
 
 
 def test_best_copy_and_sources(spark):
