@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import eventlog
 from sparkloom.plans.registry import query
-from sparkloom.sources import readers, sinks
+from sparkloom.sources import readers, sinks, versions
+from sparkloom.sources.scratch import scratch
 from sparkloom.tables import Tables
 
 
@@ -96,3 +97,33 @@ def plan_shapes(t: Tables) -> DataFrame:
         pushed = plan.split("PushedFilters: [", 1)[1].split("]", 1)[0] if "PushedFilters: [" in plan else ""
         rows.append((name, "LessThan(o_orderdate" in pushed, "BroadcastHashJoin" in plan))
     return t.spark.createDataFrame(rows, "case_name string, range_pushed boolean, broadcast boolean")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 7 = 0 UNION ALL SELECT -1 - o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderkey % 5 = 0""")
+def versioned_upsert(t: Tables) -> DataFrame:
+    """Orders after three versions: written, then changed and deleted, then added to; the buckets touched alone are rewritten."""
+    store = versions.Store(t.spark, scratch(t.spark, "store"))
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    store.replace({"orders": (orders, ["o_orderkey"])}, buckets=8)
+    k = F.col("o_orderkey")
+    changed = orders.where((k % 7 == 0) | (k % 11 == 0)).select(k, F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"), (k % 7 != 0).alias("gone"))
+    store.upsert("orders", changed, deleted="gone")
+    store.upsert("orders", orders.where(k % 5 == 0).select((-1 - k).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice"))
+    return store.read("orders")
+
+
+@query("""SELECT 1::BIGINT AS version, o_orderstatus, count(*) AS n, count(DISTINCT l_orderkey) AS with_lines FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 2
+UNION ALL SELECT 2, o_orderstatus, count(*), count(DISTINCT l_orderkey) FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 2 = 0) ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY 2""")
+def versioned_tables(t: Tables) -> DataFrame:
+    """Two tables that change together, each version read as a whole."""
+    store = versions.Store(t.spark, scratch(t.spark, "store"))
+    orders, lines = t.orders.select("o_orderkey", "o_orderstatus"), t.lineitem.select("l_orderkey").distinct()
+    store.replace({"orders": (orders, ["o_orderkey"]), "lines": (lines, ["l_orderkey"])}, buckets=8)
+    store.replace({"orders": (orders.where("o_orderkey % 2 = 0"), ["o_orderkey"]), "lines": (lines.where("l_orderkey % 2 = 0"), ["l_orderkey"])}, buckets=8)
+
+    def of(version: int) -> DataFrame:
+        both = store.read("orders", version).join(store.read("lines", version), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        return both.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("l_orderkey").alias("with_lines")).select(F.lit(version).cast("bigint").alias("version"), "*")
+
+    return of(1).unionByName(of(2))

@@ -28,7 +28,8 @@ def materialise(df: DataFrame, path: str, *sort: str) -> DataFrame:
 
 
 def replaced(df_writer, spark, folder: str) -> None:
-    """Writes a folder anew beside the old one and puts it in its place at once, so that readers never see a half of it."""
+    """Writes a folder anew beside the old one and puts it in its place.  Readers never see a half of it, but for a moment
+    none; where that matters, or several writers, ``versions.Store`` has whole versions at any time."""
     fresh = f"{folder}.new-{uuid.uuid4().hex}"
     df_writer(fresh)
     path = spark._jvm.org.apache.hadoop.fs.Path
