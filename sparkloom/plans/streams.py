@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.operators import eventlog
 from sparkloom.plans.changelog import STATE
 from sparkloom.plans.registry import query
 from sparkloom.sources.scratch import scratch
-from sparkloom.streaming import projection
+from sparkloom.streaming import health, projection
 from sparkloom.tables import Tables
 
 
@@ -61,3 +62,41 @@ def stream_weekly(t: Tables) -> DataFrame:
 
     weeks.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(weeks.schema).parquet(f"{folder}/weeks").select(F.col("window.start").cast("date").alias("week"), "event_type", "n")
+
+
+_RUNS_SQL = """e AS (SELECT user_id AS source, date_diff('day', DATE '2020-01-01', ts::DATE) AS run, event_type || event_id % 5 AS item, event_type = 'error' AS bad FROM events),
+r AS (SELECT source, run, bool_or(bad) AS transient FROM e GROUP BY 1, 2),
+i AS (SELECT source, item, run, min(run) OVER (PARTITION BY source, item) AS first FROM (SELECT DISTINCT source, item, run FROM e JOIN r USING (source, run) WHERE NOT transient)),
+n AS (SELECT source, run, count(*) AS n_items, count(*) FILTER (WHERE first = run) AS n_new FROM i GROUP BY 1, 2),
+g AS (SELECT *, sum((NOT transient)::INT) OVER (PARTITION BY source ORDER BY run) AS island FROM r),
+f AS (SELECT source, run, (sum(transient::INT) OVER (PARTITION BY source, island ORDER BY run))::BIGINT AS failures FROM g)"""
+
+
+@query(f"""WITH {_RUNS_SQL} SELECT source, run, failures, failures >= 3 AS down, coalesce(n_items, 0) AS n_items, coalesce(n_new, 0) AS n_new FROM f LEFT JOIN n USING (source, run)""")
+def source_runs(t: Tables) -> DataFrame:
+    """Failures in a row and new items of each source after each run, kept by a stream that is stopped and started
+    twice; each start reads a third of the days and the days before it once more."""
+    folder, day = scratch(t.spark, "runs"), F.datediff(F.to_date("ts"), F.lit("2020-01-01").cast("date")).cast("bigint")
+    e = t.events.select(F.col("user_id").cast("bigint").alias("source"), day.alias("run"), F.concat("event_type", F.pmod("event_id", F.lit(5)).cast("string")).alias("item"), (F.col("event_type") == "error").alias("bad"))
+    runs = e.groupBy("source", "run").agg(F.bool_or("bad").alias("transient"), F.collect_set("item").alias("items"))
+    first, last = runs.agg(F.min("run"), F.max("run")).first()
+    t.spark.createDataFrame([], health.RUNS).write.parquet(f"{folder}/in/0")
+    t.spark.createDataFrame([], health.STATES).write.parquet(f"{folder}/out")  # what a table without events gives
+    for k in range(3 if first is not None else 0):
+        upto = first + (last - first) * (k + 1) // 3
+        runs.where(F.col("run").between(upto - (last - first) // 2, upto)).write.parquet(f"{folder}/in/{k + 1}")
+        stream = t.spark.readStream.schema(health.RUNS).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        health.follow(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.schema(health.STATES).parquet(f"{folder}/out")
+
+
+@query(f"""WITH {_RUNS_SQL}, s AS (SELECT run, count(*) AS n, count(*) FILTER (WHERE transient) AS network, count(*) FILTER (WHERE NOT transient) AS accepted FROM r GROUP BY 1)
+SELECT *, lag(accepted) OVER (ORDER BY run) AS previous, network >= 0.4 * n OR coalesce(lag(accepted) OVER (ORDER BY run) >= 5 AND accepted < 0.5 * lag(accepted) OVER (ORDER BY run), FALSE) AS open FROM s""")
+def breaker_runs(t: Tables) -> DataFrame:
+    """The circuit breaker of each run, against the run before it."""
+    day = F.datediff(F.to_date("ts"), F.lit("2020-01-01").cast("date"))
+    per = t.events.groupBy("user_id", day.alias("run")).agg(F.bool_or(F.col("event_type") == "error").alias("transient"))
+    s = per.groupBy("run").agg(F.count("*").alias("n"), F.count_if("transient").alias("network"), F.count_if(~F.col("transient")).alias("accepted"))
+    s = s.withColumn("run", F.col("run").cast("bigint")).withColumn("previous", F.lag("accepted").over(Window.orderBy("run")))  # a row per run
+    fell = (F.col("previous") >= 5) & (F.col("accepted") < 0.5 * F.col("previous"))
+    return s.withColumn("open", (F.col("network") >= 0.4 * F.col("n")) | F.coalesce(fell, F.lit(False)))
