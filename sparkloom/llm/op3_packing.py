@@ -6,9 +6,10 @@ level, so a step looks at the level array alone and never at the windows.
 
 Each task packs the rows of its own scan partition: no shuffle, no state that grows with the
 corpus, and a task run anew gives the same windows.  Documents longer than a window are cut
-into full windows and a rest.  What is still open when a task ends is laid end to end, cut at
-window borders; the very last stretch is cut into windows whose sizes are powers of two, which
-need no padding.
+into full windows and a rest.  When a task ends, the fullest open windows are filled from the ends
+of the emptiest ones, and the last window is cut into windows whose sizes are powers of two, so
+nothing is padded.  Texts are read by as many tasks as their files have splits: small tables are not
+dealt out any further, as every task has its own open windows.
 
 Empty and null texts have the end id alone; repeated rows are packed each; an empty table
 gives no rows.  Columns other than doc_id and text are not read.
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import wordbpe
-from sparkloom.llm.common import documents, id_and_text
+from sparkloom.llm.common import id_and_text
 
 WINDOW = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -90,14 +91,30 @@ class Packer:
                 self.filled[window] = offset + len(part) // 4
 
     def close(self) -> Iterator[tuple]:
-        """Lays the open windows' parts end to end and cuts them without padding."""
-        rest = [p for w in sorted(self.held) for p in self.held[w]]
-        left = sum(len(p[2]) // 4 for p in rest)
-        window, room = self.levels.used, 0
+        """Fills the fullest open windows from the ends of the emptiest ones; what one window holds in the end is cut
+        into powers of two.  All other parts stay where the level array has put them."""
+        order = sorted(self.held, key=lambda w: (-self.filled[w], w))
+        full, last = 0, len(order) - 1
+        while full < last:
+            to, source = order[full], self.held[order[last]]
+            doc, start, part, total, window, offset = source.pop()
+            n = len(part) // 4
+            take = min(self.size - self.filled[to], n)
+            self.held[to].append((doc, start + n - take, part[4 * (n - take) :], total, to, self.filled[to]))
+            self.filled[to] += take
+            if take < n:
+                source.append((doc, start, part[: 4 * (n - take)], total, window, offset))
+            self.filled[order[last]] -= take
+            if self.filled[to] == self.size:
+                yield from self.held[to]
+                full += 1
+            last -= not source
+        rest = self.held[order[last]] if full == last else []
+        left, window, room = sum(len(p[2]) // 4 for p in rest), self.levels.used, 0
         for doc, start, part, total, _, _ in rest:
             while part:
                 if not room:
-                    window, room = window + 1, self.size if left >= self.size else 1 << (left.bit_length() - 1)
+                    window, room = window + 1, 1 << (left.bit_length() - 1)
                     size = room
                 take = min(room, len(part) // 4)
                 yield doc, start, part[: 4 * take], total, window, size - room
@@ -129,4 +146,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW) -> D
 
 
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -4,9 +4,9 @@
    equal anchors at equal offsets.  A run of windows with one anchor is a segment.  Within a
    slice of rows, all but the first of equal segments (one per text where ids repeat) are marked at once, so that a passage in a
    third of all rows meets in one task as a few rows per slice.
-2. Anchors with more than ``HOT`` different segments (a phrase, or the edge of a passage, that a
-   large part of all rows holds) would be one task's.  They are counted first, with aggregates
-   that combine before the shuffle.  All other segments meet by anchor; those of hot anchors by
+2. Anchors with more than ``HOT`` segments of different content (a phrase, or the edge of a passage, that a
+   large part of all rows holds) would be one task's.  They are counted first, slice by slice (a content that
+   several slices have counts in each), with aggregates that combine before the shuffle.  All other segments meet by anchor; those of hot anchors by
    their content too.  Of equal segments all but the earliest are marked.  Anchors whose earliest
    segments differ go on.
 3. Those segments' bytes, aligned at the anchor, are the collection of a column-wise
@@ -67,11 +67,14 @@ def _runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.nda
 
 
 def _anchor_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Anchors and how many segments of different place or length each has in the slice (those of equal bytes count once)."""
-    s = anchors.segments(*joined(text_bytes(batch.column(0))), contents=False)
-    kinds = np.unique(np.stack([s["gram"].view(np.int64), s["shift"] << 32 | s["count"]], axis=1), axis=0) if len(s["gram"]) else np.empty((0, 2), np.int64)
-    head = np.flatnonzero(np.append(True, np.diff(kinds[:, 0]) != 0)) if len(kinds) else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(kinds[head, 0]), pa.array(np.diff(np.append(head, len(kinds))))], names=["h", "n"])
+    """Anchors and how many different contents their segments have in the slice."""
+    s = anchors.segments(*joined(text_bytes(batch.column(0))))
+    order = np.lexsort((s["content"], s["gram"]))
+    gram, content = s["gram"][order].view(np.int64), s["content"][order]
+    new = np.append(True, (gram[1:] != gram[:-1]) | (content[1:] != content[:-1]))[: len(order)]
+    gram = gram[new]
+    head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+    return pa.RecordBatch.from_arrays([pa.array(gram[head]), pa.array(np.diff(np.append(head, len(gram))))], names=["h", "n"])
 
 
 def _anchor_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -220,10 +223,15 @@ def _remover(keep_text: bool):
     return per_slice(work)
 
 
+def hot_anchors(texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """(h, n): anchors whose segments have more than ``hot`` different contents."""
+    counts = texts.select("text").mapInArrow(per_slice(_anchor_counts, 8 << 20), "h long, n long")
+    return counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+
+
 def repeated_windows(texts: DataFrame, dealt: DataFrame, width: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Marked windows of keyed texts (also ``dealt`` by their key), as (did, th, start, count): those of whole equal segments, and those found in step 3."""
-    counts = texts.select("text").mapInArrow(per_slice(_anchor_counts, 8 << 20), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
-    crowded = written(counts.select("h", F.lit(IN_PARTS).alias("parts")), "hot")
+    crowded = written(hot_anchors(texts, hot).select("h", F.lit(IN_PARTS).alias("parts")), "hot")
     segments = texts.mapInArrow(per_slice(_anchor_slice, 8 << 20), SEGMENTS).join(crowded, "h", "left")
     in_parts = F.col("parts").isNotNull() & (F.col("state") == OPEN)
     segments = segments.select(

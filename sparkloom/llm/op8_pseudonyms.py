@@ -14,7 +14,8 @@ each character belongs to.  Values of which not all strings of their format are
 numbered: the network runs on the two parts of the number, each modulo its own size (``SIZES``), so
 that a date of 1900 to 2099 becomes another one and a valid national number a valid one.
 
-A secret is the whole run up to a blank, quote or angle bracket, however long.
+A secret is the whole run up to a blank, quote or angle bracket, however long, after a name (in quotes or not) and a
+sign, or after "bearer" if it has a digit.  Mail addresses are those of ASCII characters: others are left as they are.
 
 A text is cut at its matches (``split``) and put together again around the pseudonyms, which
 reads it a fixed number of times however many matches it has; texts without a match pass as they
@@ -47,7 +48,7 @@ _B, _E = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}(?![A-Za-z0-9-])",
     "access_key": _B + "(?:AKIA|ASIA)[0-9A-Z]{16}" + _E,
-    "secret": r"(?i:(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>]{6,}+",
+    "secret": r"(?i:(?<![a-z])(?:(?:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?|bearer\s{1,3}(?=[^\s\"'<>]*[0-9])))[^\s\"'<>]{6,}+",
     "iban": _B + "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "iso_date": _B + "(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]" + _E,
     "day_date": _B + "[0-3][0-9][./][01][0-9][./](?:19|20)[0-9]{2}" + _E,
@@ -59,6 +60,8 @@ PATTERNS = {
     "card": _B + "(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _E,
 }
 ANY = "|".join(PATTERNS.values())
+#: What every match of a pattern holds: a digit, an @, the head of an access key or the name of a secret.
+HINT = "[0-9@]|AKIA|ASIA|(?i:password|passwd|secret|token|key)"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -288,7 +291,7 @@ def _access_key(value: Column, key: str, invert: bool) -> Column:
 
 def _secret(value: Column, key: str, invert: bool) -> Column:
     """What stands after the name; hexadecimal values stay hexadecimal."""
-    name = F.regexp_extract(value, "^[A-Za-z_-]+\\s*[=:]\\s*[\"']?", 0)
+    name = F.regexp_extract(value, "^[A-Za-z_-]+(?:[\"']?\\s*[=:]\\s*[\"']?|\\s+)", 0)
     body = F.substr(value, F.length(name) + 1, F.length(value))
     mask = F.when(body.rlike("^[0-9a-f]+$"), F.translate(body, _DIGITS + "abcdef", "d" * 10 + "h" * 6)).otherwise(_by_class(body))
     return F.concat(name, feistel(body, mask, key, invert))
@@ -326,7 +329,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, column: str = "text", found:
     """The frame with its personal values replaced in ``column``; with ``found`` also their array under that name."""
     values, fresh, parts, n = free_names(docs, "values", "fresh", "parts", "n")
     text = F.col(f"`{column}`").cast("string")
-    near = docs.withColumn(values, F.when(text.rlike("[0-9@]|(?i:password|passwd|secret|token|key)"), _found(text)))
+    near = docs.withColumn(values, F.when(text.rlike(HINT), _found(text)))
     near = near.withColumn(n, F.coalesce(F.size(values), F.lit(0)))
     near = near.withColumn(fresh, F.when(F.col(n) > 0, F.transform(values, lambda v: pseudonym(v, key))))
     near = near.withColumn(parts, F.when(F.col(n) > 0, F.split(text, ANY, -1)))

@@ -1,7 +1,7 @@
 """Quality rules as a bitmask ledger.
 
-``ledger`` reads each text once and stores, per row, the measurements and one failure bit for
-each rule.  A *policy* is a named, versioned mask over those bits: a row is kept if none of the
+``ledger`` reads each text once and gives, per row, the measurements and one failure bit for
+each rule; ``stored`` writes that as a table, which all that follows reads.  A *policy* is a named, versioned mask over those bits: a row is kept if none of the
 mask's bits are set, so a new policy needs no second look at the texts.  ``apply_policies`` adds
 one column per policy, and ``ablations`` counts, by aggregation of the bits alone, what each
 rule rejects, what it alone rejects, and what a policy would keep without it.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from sparkloom.llm.common import documents, id_and_text, per_slice, text_bytes
+from sparkloom.llm.common import documents, id_and_text, per_slice, text_bytes, written
 
 #: Rule by bit.  Each is a test on the measurements of one text.
 RULES = {
@@ -126,20 +126,25 @@ def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations never see the texts again."""
+    return written(ledger(docs), "ledger")
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("failed_bits").bitwiseAND(F.lit(BASE)) != 0
-    return ledger(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept_by(CURRENT).alias("kept"), "failed_bits"
-    )
+    book = apply_policies(stored(documents(spark, sf_dir)))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept_by(CURRENT).alias("kept"), "failed_bits", *(f"keep_{v}" for v in POLICIES))
 
 
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the current policy rejects, alone rejects, and what would be kept without it."""
-    return ablations(ledger(documents(spark, sf_dir)))
+    return ablations(stored(documents(spark, sf_dir)))
 
 
 #: Words are those of [^\x20\x09-\x0D]+; whatever else a rule needs is counted as in ``measure``.
-OP9_SQL = r"""
+OP9_SQL = (
+    r"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -157,8 +162,10 @@ f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
              + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (NOT word_chars BETWEEN 2 * n_words AND 15 * n_words)::BIGINT
              + 32 * (10 * n_capital_words > 3 * n_words)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed,
-       failed_bits = 0 AS kept, failed_bits FROM f
-"""
+       failed_bits = 0 AS kept, failed_bits, """
+    + ", ".join(f"failed_bits & {mask} = 0 AS keep_{v}" for v, mask in POLICIES.items())
+    + " FROM f"
+)
 ABLATIONS_SQL = f"""
 WITH l AS ({OP9_SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{name}', {bit})" for name, bit in BITS.items())})
 SELECT rule, count(*) FILTER (WHERE failed_bits & bit <> 0) AS failed, count(*) FILTER (WHERE failed_bits = bit) AS failed_alone,
