@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.llm import anchors
 from sparkloom.llm.columnwise import Columns, later_windows
-from sparkloom.llm.common import documents, free_names, id_and_text, joined, per_slice, shuffle_width, text_bytes, written
+from sparkloom.llm.common import documents, free_names, id_and_text, joined, per_slice, pieces, shuffle_width, text_bytes, written
 
 LENGTH = anchors.WINDOW
 LEFT = anchors.SPAN - 1  # most bytes of a window before its anchor
@@ -105,38 +105,57 @@ def _anchor_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in cols.values()], names=list(cols))
 
 
-def _cut_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+def _cut_slice(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """(did, th, text, wanted: [(h, start, count, shift, hot)]) -> a row per segment with its bytes; of hot
     segments a row per window, the first of equal ones in the slice, and marks for the others."""
-    rows, hot, bodies = [], [], []
+    cold, hot = [], []
     for did, th, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()):
         for w in wanted:
-            body = text[w["start"] : w["start"] + w["count"] - 1 + LENGTH]
-            if w["hot"]:
-                hot.append((did, th, w["start"], w["count"]))
-                bodies.append(body)
-            else:
-                rows.append((w["h"], did, th, w["start"], w["count"], w["shift"], body, SEGMENT))
-    if hot:
-        data, ends = joined(bodies)
-        did, th, start, count = (np.array(x, np.int64) for x in zip(*hot))
-        owner = np.repeat(np.arange(len(hot)), count)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        begins = ends - (count - 1 + LENGTH)
-        key = anchors.window_hashes(data, begins[owner] + at).view(np.int64)
-        did, th, start = did[owner], th[owner], start[owner] + at
-        order = np.lexsort((th, start, did, key))
-        new = np.append(True, np.diff(key[order]) != 0)
-        head = np.flatnonzero(new)
-        first = np.repeat(order[head], np.diff(np.append(head, len(order))))
-        after = (did[order] != did[first]) | (start[order] != start[first])
-        late, keep = order[after], order[~after & (new | np.append(True, np.diff(th[order]) != 0))]
-        rows += [(int(key[k]), int(did[k]), int(th[k]), int(start[k]), 1, 0, None, LONE) for k in keep.tolist()]
-        rows += [(int(anchors.splitmix(th[k : k + 1])[0].view(np.int64)), int(did[k]), int(th[k]), int(start[k]), 1, 0, None, MARKED) for k in late.tolist()]
-    if not rows:
-        return None
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "did", "th", "start", "count", "shift", "body", "kind"])
+            row = (w["h"], did, th, w["start"], w["count"], w["shift"], text[w["start"] : w["start"] + w["count"] - 1 + LENGTH])
+            (hot if w["hot"] else cold).append(row)
+    if cold:
+        *numbers, bodies = zip(*cold)
+        yield _cut_rows(*(np.array(x, np.int64) for x in numbers), SEGMENT, pa.array(bodies, pa.binary()))
+    size, at = np.cumsum([len(r[6]) for r in hot]), 0
+    while at < len(hot):  # windows of some segments at a time: each is a row of many arrays
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 18), side="right")))
+        yield from _cut_windows(hot[at:upto])
+        at = upto
+
+
+def _cut_windows(hot: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Windows of hot segments: the first of equal ones, and runs of the others as marks."""
+    data, ends = joined([r[6] for r in hot])
+    _, did, th, begin, count = (np.array(x, np.int64) for x in list(zip(*hot))[:5])
+    owner = np.repeat(np.arange(len(hot)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    key = anchors.window_hashes(data, (ends - (count - 1 + LENGTH))[owner] + at).view(np.int64)
+    start = begin[owner] + at
+    order = np.lexsort((th[owner], start, did[owner], key))
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    head = np.flatnonzero(new)
+    first = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    after = (did[owner[order]] != did[owner[first]]) | (start[order] != start[first])
+    other = np.append(True, th[owner[order]][1:] != th[owner[order]][:-1])
+    keep, late = order[~after & (new | other)], order[after]
+    yield _cut_rows(key[keep], did[owner[keep]], th[owner[keep]], start[keep], np.ones(len(keep), np.int64), np.zeros(len(keep), np.int64), LONE)
+    if len(late):
+        of, b, c = _runs(owner[late], start[late], np.ones(len(late), np.int64))
+        yield _cut_rows(anchors.splitmix(th[of].view(np.uint64) ^ b.view(np.uint64)).view(np.int64), did[of], th[of], b, c, np.zeros(len(of), np.int64), MARKED)
+
+
+def _cut_rows(h: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray, count: np.ndarray, shift: np.ndarray, kind: int, body: pa.Array | None = None) -> pa.RecordBatch:
+    cols = [pa.array(h), pa.array(did), pa.array(th), pa.array(start), pa.array(count.astype(np.int32)), pa.array(shift.astype(np.int32))]
+    body = pa.nulls(len(h), pa.binary()) if body is None else body
+    return pa.RecordBatch.from_arrays([*cols, body, pa.array(np.full(len(h), kind, np.int32))], names=[c.split()[0] for c in CUT.split(", ")])
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import pyarrow.compute  # noqa: F401  pa.compute
+
+    for batch in batches:
+        for part in pieces(batch, 4 << 20):
+            yield from _cut_slice(part)
 
 
 CUT = "h long, did long, th long, start long, count int, shift int, body binary, kind int"
@@ -249,7 +268,7 @@ def repeated_windows(texts: DataFrame, dealt: DataFrame, width: int, hot: int =
 
     wanted = met.where("NOT marked").groupBy("did", "th").agg(F.collect_set(F.struct("h", "start", "count", "shift", "hot")).alias("wanted"))
     bodies = dealt.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "wanted")
-    bodies = bodies.mapInArrow(per_slice(_cut_slice, 8 << 20), CUT)
+    bodies = bodies.mapInArrow(_cut, CUT)
     found = bodies.repartition(width, "h").sortWithinPartitions("kind", "h", "did", "start").mapInArrow(_columnwise, MARKS)
     return met.where("marked").select("did", "th", "start", "count"), found
 

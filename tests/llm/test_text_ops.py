@@ -136,7 +136,7 @@ def test_a_slice_keeps_every_text_of_an_id():
     inside = {t: {(r["seg"], r["start"]) for r in rows if r["th"] == t and r["state"] == op7_suffix_dedup.OPEN and r["start"] + r["count"] + 99 <= 900} for t in th}
     assert len(inside[11]) > 3 and inside[11] == inside[12]
     hot = [[{"h": 1, "start": 0, "count": 3, "shift": 0, "hot": True}]] * 3
-    cut = op7_suffix_dedup._cut_slice(batch.append_column("wanted", pa.array(hot))).to_pylist()
+    cut = [r for part in op7_suffix_dedup._cut_slice(batch.append_column("wanted", pa.array(hot))) for r in part.to_pylist()]
     assert sorted((r["th"], r["start"]) for r in cut if r["kind"] == op7_suffix_dedup.LONE) == [(t, k) for t in (11, 12) for k in range(3)]
 
 
