@@ -12,8 +12,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from sparkloom.sources.scratch import scratch
+
 
 def _carried(rows: DataFrame, carried: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Rows and what is carried into their bucket, joined so that null keys meet null keys."""
@@ -67,3 +70,24 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     within = F.sum("__v").over(Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     joined = _carried(placed.withColumn(name, within), before, keys, "inner")
     return joined.withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, name: str, most: int | None = None) -> DataFrame:
+    """The rows with the sum of a value over one long order; with ``most`` only those whose sum stays within it.
+
+    The rows are dealt out in ranges of the order and written, as ranges are drawn from samples; a sum per range gives
+    what is before it, and windows run within ranges.  The order is total.  Values are not negative where ``most`` is given:
+    ranges that begin beyond it are not read again.
+    """
+    spark, part = df.sparkSession, F.col("__part")
+    place = scratch(spark, "ranges")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(width, *order).withColumn("__part", F.spark_partition_id()).write.parquet(place)
+    ranges = spark.read.schema(StructType([*df.schema.fields, StructField("__part", IntegerType())])).parquet(place)
+    sums = ranges.groupBy("__part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__s"))  # a row per range
+    before = sums.select(part, (F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).alias("__before"))
+    before = before if most is None else before.where(F.col("__before") <= most)
+    within = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = ranges.join(F.broadcast(before), "__part").withColumn(name, F.coalesce(within, F.lit(0)) + F.col("__before"))
+    out = out if most is None else out.where(F.col(name) <= most)
+    return out.select(*df.columns, name)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators import ordering
+
 #: Minutes of validity and plan, weekly goals, review factors by grade, step threshold.
 LEAST_MINUTES, MOST_MINUTES = 5, 180
 PLANNED = {"mattina": 30, "artefatto": 60, "lettura": 40, "paper": 45, "ripasso": 20}
@@ -91,6 +93,11 @@ def within_budget(files: DataFrame, budget: int, group: str, *order: Column | st
     return files.withColumn("upto", F.sum("size").over(w)).where(F.col("upto") <= budget)
 
 
+def within_whole_budget(files: DataFrame, budget: int, *order: Column) -> DataFrame:
+    """The first of all files, in one order, whose sizes together stay within a budget of bytes."""
+    return ordering.running_total(files, list(order), "size", "upto", most=budget)
+
+
 def next_occurrence(now: Column, weekday: int, hour: int) -> Column:
     """The next time, after now, of a weekday (Monday 0) at a full hour."""
     today = F.pmod(F.dayofweek(now) + 5, F.lit(7))

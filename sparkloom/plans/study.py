@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import dates
-from sparkloom.operators import study
+from sparkloom.operators import ordering, study
 from sparkloom.plans.registry import query
 from sparkloom.tables import Tables
 
@@ -72,6 +72,14 @@ def review_history(t: Tables) -> DataFrame:
     return g.select("user_id", F.size("x").cast("bigint").alias("n"), F.element_at(grades, -1).alias("last_grade"))
 
 
+@query("""WITH g AS (SELECT user_id, event_id % 50 AS card, list(event_id % 4 ORDER BY ts, event_id) AS grades FROM events GROUP BY 1, 2)
+SELECT user_id, card, list_reduce(grades, lambda days, g: CASE g WHEN 0 THEN 0 ELSE greatest(1, floor(greatest(days, 1) * CASE g WHEN 1 THEN 1.2 WHEN 2 THEN 2.2 ELSE 3.4 END::DOUBLE + 0.5)::BIGINT) END, 1::BIGINT)::INTEGER AS days FROM g""")
+def review_fold(t: Tables) -> DataFrame:
+    """Days to the next review of each card, folded over its grades in order."""
+    g = t.events.groupBy("user_id", F.pmod("event_id", F.lit(50)).alias("card")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("x"))  # one card's reviews
+    return g.select("user_id", "card", study.review_history(F.transform("x", lambda e: F.pmod(e["event_id"], F.lit(4)))).alias("days"))
+
+
 MATERIAL = """a AS (SELECT lang AS topic, count(*) AS texts FROM documents GROUP BY 1), b AS (SELECT lang AS topic, count(*) AS labelled, count(*) FILTER (WHERE quality = 1) AS good FROM documents JOIN labels USING (doc_id) GROUP BY 1),
 material AS (SELECT topic, coalesce(texts, 0) AS texts, coalesce(labelled, 0) AS labelled, coalesce(good, 0) AS good FROM a FULL JOIN b USING (topic))"""
 
@@ -162,6 +170,20 @@ def download_queue(t: Tables) -> DataFrame:
     return study.within_budget(p, 60_000, "device", F.desc("page_id")).select("page_id", "upto")
 
 
+@query("""SELECT page_id, upto FROM (SELECT page_id, (sum(length(html)) OVER (ORDER BY page_id DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM pages) WHERE upto <= 400000""")
+def download_order(t: Tables) -> DataFrame:
+    """Newest files first, as many as one budget of bytes allows for all devices: a running sum over one order."""
+    p = t.pages.select("page_id", F.length("html").cast("bigint").alias("size"))
+    return study.within_whole_budget(p, 400_000, F.desc("page_id")).select("page_id", "upto")
+
+
+@query("SELECT o_orderkey, (sum(round(o_totalprice * 100)::BIGINT) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM orders")
+def turnover_to_date(t: Tables) -> DataFrame:
+    """Cents of turnover up to each order, over all orders by date."""
+    o = t.orders.select("o_orderdate", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    return ordering.running_total(o, [F.col("o_orderdate"), F.col("o_orderkey")], "cents", "upto").select("o_orderkey", "upto")
+
+
 @query("SELECT d.doc_id FROM documents d WHERE d.n_chars >= 1000 AND EXISTS (SELECT 1 FROM pages p WHERE sha1('v:' || p.page_id) = sha1('v:' || d.doc_id)) AND d.doc_id % 2 = 0")
 def cleanup_set(t: Tables) -> DataFrame:
     """Read articles with a long text whose volume can go: a semi-join on a hashed key."""

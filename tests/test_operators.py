@@ -501,3 +501,19 @@ def test_clock_fold_equals_the_clock_step_by_step(spark):
         clock = hlc.Clock(device)
         for _, k, now, other in (r for r in rows if r[0] == device):
             assert got[device, k] == (clock.tick(now) if other is None else clock.absorb(other, now))
+
+
+@pytest.mark.parametrize("most", [None, 0, 60, 10**9])
+def test_running_total_over_one_order(spark, most):
+    draw = random.Random(6)
+    rows = [(k, draw.choice([0, 1, 2, 40, None])) for k in range(500)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    got = {r.k: r.upto for r in ordering.running_total(df, [F.desc("k")], "v", "upto", most).collect()}
+    want, upto = {}, 0
+    for k, v in sorted(rows, reverse=True):
+        upto += v or 0
+        if most is None or upto <= most:
+            want[k] = upto
+    assert got == want
+    assert ordering.running_total(df.limit(0), [F.col("k")], "v", "upto", most).count() == 0
