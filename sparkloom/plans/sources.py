@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import eventlog
 from sparkloom.plans.registry import query
-from sparkloom.sources import readers, sinks, versions
+from sparkloom.sources import arrivals, readers, sinks, versions
 from sparkloom.sources.scratch import scratch
 from sparkloom.tables import Tables
 
@@ -127,3 +127,21 @@ def versioned_tables(t: Tables) -> DataFrame:
         return both.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("l_orderkey").alias("with_lines")).select(F.lit(version).cast("bigint").alias("version"), "*")
 
     return of(1).unionByName(of(2))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN 2 ELSE 1 END * 600000 + epoch_us(ts) // 1000 AS arrived, event_type FROM events")
+def arrival_reader(t: Tables) -> DataFrame:
+    """Events as they arrive at a server, read in three visits: a seventh is visible only after rows with stamps up to
+    five minutes later, a fiftieth is sent twice, and each visit goes page by page."""
+    store = versions.Store(t.spark, scratch(t.spark, "arrivals"))
+    k, ms = F.col("event_id").cast("bigint"), F.unix_millis(F.col("ts").cast("timestamp"))
+    once = t.events.select(k.alias("id"), (ms + 600_000).alias("arrived"), "event_type")
+    twice = once.where("id % 50 = 0").withColumn("arrived", F.col("arrived") + 600_000)
+    log = once.unionByName(twice)
+    first, last = log.agg(F.min("arrived"), F.max("arrived")).first()
+    arrivals.begin(store, log)
+    for visit in range(3 if first is not None else 0):
+        now = first + (last - first) * (visit + 1) // 3 + (1 if visit == 2 else 0)
+        delay = F.when((F.col("id") % 7 == 0) & F.lit(visit < 2), 299_000).otherwise(0)
+        arrivals.follow(store, log.where(F.col("arrived") + delay <= now), now, rows=50_000)
+    return store.read(arrivals.NAME)

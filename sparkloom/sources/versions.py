@@ -111,6 +111,9 @@ class Store:
         """A table as one version (the last) has it; later versions do not change what is read."""
         return self._rows(self.tables(version)["tables"][name])
 
+    def note(self, name: str) -> dict:
+        return self.tables()["tables"][name].get("note", {})
+
     def replace(self, frames: dict[str, tuple[DataFrame, list[str]]], buckets: int = BUCKETS) -> int:
         """Tables with their keys, all new in one version; other tables stay as they are."""
         new = {}
@@ -119,16 +122,18 @@ class Store:
             new[name] = {"schema": df.schema.jsonValue(), "keys": keys, "buckets": buckets, "files": files}
         return self._again(lambda tables: tables | new)
 
-    def upsert(self, name: str, changes: DataFrame, deleted: str | None = None) -> int:
+    def upsert(self, name: str, changes: DataFrame, deleted: str | None = None, note: Callable[[dict], dict] | None = None) -> int:
         """A version in which rows of changes stand for those of equal keys (null equals null); where ``deleted``
-        names a boolean column of changes, its rows go.  Changes have one row per key, in the table's columns."""
+        names a boolean column of changes, its rows go.  Changes have one row per key, in the table's columns.
+        ``note`` makes the table's note, a small dict, from the last one: it changes with the rows or not at all."""
 
         def change(tables: dict) -> dict:
             table = tables[name]
             placed = changes.withColumn(_BUCKET, _bucket(table["keys"], table["buckets"]))
             touched = {str(r[0]) for r in placed.select(_BUCKET).distinct().collect()}  # at most the number of buckets
+            noted = {"note": note(table.get("note", {}))} if note else {}
             if not touched:
-                return tables
+                return tables | {name: table | noted}
             old = self._rows(table, touched)
             on = None
             for k in table["keys"]:
@@ -139,7 +144,7 @@ class Store:
             merged = stay.unionByName(fresh.select(*(F.col(f"`{c}`") for c in old.columns)))
             files = self._written(merged.withColumn(_BUCKET, _bucket(table["keys"], table["buckets"])).repartition(_BUCKET))
             kept = {b: p for b, p in table["files"].items() if b not in touched}
-            return tables | {name: table | {"files": kept | files}}
+            return tables | {name: table | noted | {"files": kept | files}}
 
         return self._again(change)
 

@@ -83,3 +83,43 @@ def test_tables_change_together_and_stay_readable(spark, store):
     assert before.count() == 101 and store.read("t").count() == 3 and store.read("u").count() == 0
     with pytest.raises(ValueError):
         store.read("t", 9)
+
+
+def test_arrivals_of_any_order_come_once(spark, tmp_path):
+    import random
+
+    from sparkloom.sources import arrivals
+
+    draw, schema = random.Random(3), "id string, arrived long, v long"
+    rows = [(f"r{k:03}", 1000 + 10 * k + draw.randrange(5), k) for k in range(300)]
+    visible = {r[0]: r[1] + (90 if draw.random() < 0.2 else 0) for r in rows}  # some are committed late
+    rows += [(i, a + 200, v) for i, a, v in rows[::17]] + [(i, a + 30, v) for i, a, v in rows[5:300:23]] + [(None, 5, 5), ("x", None, 6), ("ahead", 10**9, 7)]
+    store = Store(spark, str(tmp_path / "arrivals"))
+    everything = spark.createDataFrame(rows, schema)
+    arrivals.begin(store, everything)
+    for now in (1500, 1501, 2600, 5000):
+        seen = spark.createDataFrame([r for r in rows if r[1] is None or r[1] + (visible.get(r[0], 0) - r[1] if r[0] in visible and r[1] <= visible[r[0]] else 0) <= now or r[0] == "ahead"], schema)
+        arrivals.follow(Store(spark, store.folder), seen, now, margin_ms=100, rows=40)  # a new reader each time
+        assert store.note(arrivals.NAME)["cursor"] <= now
+    got = {r.id: (r.arrived, r.v) for r in store.read(arrivals.NAME).collect()}
+    want = {}
+    for i, a, v in rows:
+        if i is not None and a is not None and a >= want.get(i, (0,))[0]:
+            want[i] = (a, v)
+    assert got == want
+
+
+def test_a_reader_that_dies_reads_its_page_again(spark, tmp_path):
+    from sparkloom.sources import arrivals
+
+    store = Store(spark, str(tmp_path / "arrivals"))
+    log = spark.createDataFrame([(k, 10 * k) for k in range(20)], "id long, arrived long")
+    arrivals.begin(store, log)
+    arrivals.pull(store, log, 10**6, rows=5)
+    real = store._commit
+    store._commit = lambda *given: (_ for _ in ()).throw(KeyboardInterrupt)
+    with pytest.raises(KeyboardInterrupt):
+        arrivals.pull(store, log, 10**6, rows=5)
+    store._commit = real
+    assert store.note(arrivals.NAME)["cursor"] == 40 and store.read(arrivals.NAME).count() == 5
+    assert arrivals.follow(store, log, 10**6, rows=5) == 15 and store.read(arrivals.NAME).count() == 20
