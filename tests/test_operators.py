@@ -517,3 +517,25 @@ def test_running_total_over_one_order(spark, most):
             want[k] = upto
     assert got == want
     assert ordering.running_total(df.limit(0), [F.col("k")], "v", "upto", most).count() == 0
+
+
+def test_broken_feeds_give_their_items():
+    def item(n, inner=""):
+        return f"<item><title>T{n}</title><link>u{n}</link>{inner}<pubDate>d{n}</pubDate></item>"
+
+    def read(feed):
+        return [(i["title"], i["link"], i["date"]) for i in html.items_of(feed)]
+
+    whole = [(f"T{n}", f"u{n}", f"d{n}") for n in range(3)]
+    head, tail = "<rss><channel><title>Feed</title>", "</channel></rss>"
+    assert read(head + "".join(map(item, range(3))) + tail) == whole
+    assert read(head + "".join(map(item, range(3)))) == whole  # cut after an item
+    assert read(head + item(0) + item(1) + "<item><title>T2</title><link>u2</link><pubDate>d2") == whole  # cut within one
+    assert read(head + item(0) + item(1, "<description><b>bold</description>") + item(2) + tail) == whole  # crossed tags
+    assert read(head + item(0) + "<item><title>T1<link>u1</link><pubDate>d1</pubDate></item>" + item(2) + tail) == whole  # unclosed field
+    assert read(head + item(0) + "<item><title>T1</title><link>u1</link><pubDate>d1</pubDate>" + item(2) + tail) == whole  # unclosed item
+    assert read(head + item(0) + "</b></item></p>" + item(1) + item(2) + "</wrong>" + tail) == whole  # ends of nothing
+    assert read(head + item(0) + item(1, "<x a=1 b>text</x>") + item(2) + tail) == whole  # attributes without quotes
+    cut = "<feed><entry><title><![CDATA[A <b> & c]]></title><link href='h'/><author><name>N</name></author><updated>2024</updated><content>text<br>more</content>"
+    assert html.items_of(cut) == [{"title": "A <b> & c", "link": "h", "date": "2024", "text": "textmore", "author": "N", "media": ""}]
+    assert html.items_of("<broken") == [] and html.items_of("no feed < at all") == []
