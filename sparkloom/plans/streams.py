@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from sparkloom.operators import eventlog
 from sparkloom.plans.changelog import STATE
 from sparkloom.plans.registry import query
+from sparkloom.sources import versions
 from sparkloom.sources.scratch import scratch
-from sparkloom.streaming import health, projection
+from sparkloom.streaming import health, projection, sessions
 from sparkloom.tables import Tables
 
 
@@ -100,3 +101,15 @@ def breaker_runs(t: Tables) -> DataFrame:
     s = s.withColumn("run", F.col("run").cast("bigint")).withColumn("previous", F.lag("accepted").over(Window.orderBy("run")))  # a row per run
     fell = (F.col("previous") >= 5) & (F.col("accepted") < 0.5 * F.col("previous"))
     return s.withColumn("open", (F.col("network") >= 0.4 * F.col("n")) | F.coalesce(fell, F.lit(False)))
+
+
+@query("""WITH e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms FROM events), m AS (SELECT *, ms - lag(ms) OVER (PARTITION BY key ORDER BY ms) > 21600000 AS far FROM e),
+s AS (SELECT *, sum(coalesce(far, TRUE)::INT) OVER (PARTITION BY key ORDER BY ms) AS k FROM m) SELECT key, min(ms) AS start, max(ms) AS "end" FROM s GROUP BY key, k""")
+def late_sessions(t: Tables) -> DataFrame:
+    """Sessions with gaps of at most six hours, from batches that come in no order and overlap."""
+    store = versions.Store(t.spark, scratch(t.spark, "sessions"))
+    e = t.events.select("event_id", F.col("user_id").cast("bigint").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    sessions.begin(store)
+    for part in ("event_id % 3 = 2", "event_id % 2 = 0", "event_id % 3 <> 2"):
+        sessions.absorb(store, e.where(part).select("key", "at"), 6 * 3_600_000)
+    return store.read(sessions.NAME)

@@ -111,6 +111,17 @@ class Store:
         """A table as one version (the last) has it; later versions do not change what is read."""
         return self._rows(self.tables(version)["tables"][name])
 
+    def of_keys(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows of some keys (a frame with the table's key columns); other keys' buckets are not read."""
+        table = self.tables()["tables"][name]
+        touched = {str(r[0]) for r in keys.select(_bucket(table["keys"], table["buckets"])).distinct().collect()}  # at most the number of buckets
+        rows = self._rows(table, touched)
+        on = None
+        for k in table["keys"]:
+            same = rows[k].eqNullSafe(keys[k])
+            on = same if on is None else on & same
+        return rows.join(keys, on, "left_semi")
+
     def note(self, name: str) -> dict:
         return self.tables()["tables"][name].get("note", {})
 
@@ -124,8 +135,8 @@ class Store:
 
     def upsert(self, name: str, changes: DataFrame, deleted: str | None = None, note: Callable[[dict], dict] | None = None) -> int:
         """A version in which rows of changes stand for those of equal keys (null equals null); where ``deleted``
-        names a boolean column of changes, its rows go.  Changes have one row per key, in the table's columns.
-        ``note`` makes the table's note, a small dict, from the last one: it changes with the rows or not at all."""
+        names a boolean column of changes, its rows go.  All rows of a key are replaced by those that changes have
+        of it, in the table's columns.  ``note`` makes the table's note, a small dict, from the last one: it changes with the rows or not at all."""
 
         def change(tables: dict) -> dict:
             table = tables[name]

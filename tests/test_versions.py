@@ -123,3 +123,27 @@ def test_a_reader_that_dies_reads_its_page_again(spark, tmp_path):
     store._commit = real
     assert store.note(arrivals.NAME)["cursor"] == 40 and store.read(arrivals.NAME).count() == 5
     assert arrivals.follow(store, log, 10**6, rows=5) == 15 and store.read(arrivals.NAME).count() == 20
+
+
+def test_sessions_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
+    import random
+
+    from sparkloom.streaming import sessions
+
+    draw = random.Random(12)
+    events = [(draw.choice([1, 2, None]), draw.randrange(-400, 3000)) for _ in range(400)] + [(9, 0), (9, 10), (9, 21), (8, None)]
+    want = set()
+    for key in {k for k, at in events if at is not None}:
+        times = sorted(at for k, at in events if k == key and at is not None)
+        start = times[0]
+        for a, b in zip(times, [*times[1:], None]):
+            if b is None or b - a > 10:
+                want.add((key, start, a))
+                start = b
+    for n, order in enumerate((sorted(events, key=repr), draw.sample(events, len(events)))):
+        store = Store(spark, str(tmp_path / f"s{n}"))
+        sessions.begin(store)
+        for a in range(0, len(order), 110):
+            sessions.absorb(store, spark.createDataFrame(order[max(0, a - 30) : a + 110], "key long, at long"), 10)
+        sessions.absorb(store, spark.createDataFrame([], "key long, at long"), 10)
+        assert {(r.key, r.start, r.end) for r in store.read(sessions.NAME).collect()} == want and store.read(sessions.NAME).count() == len(want)
