@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.operators import eventlog
+from sparkloom.operators import eventlog, summaries
 from sparkloom.plans.changelog import STATE
 from sparkloom.plans.registry import query
 from sparkloom.sources import versions
@@ -113,3 +113,25 @@ def late_sessions(t: Tables) -> DataFrame:
     for part in ("event_id % 3 = 2", "event_id % 2 = 0", "event_id % 3 <> 2"):
         sessions.absorb(store, e.where(part).select("key", "at"), 6 * 3_600_000)
     return store.read(sessions.NAME)
+
+
+@query("""SELECT c_nationkey, c_mktsegment, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS total, min(round(o_totalprice * 100)::BIGINT) AS least, max(round(o_totalprice * 100)::BIGINT) AS greatest
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""")
+def summary_by_differences(t: Tables) -> DataFrame:
+    """Orders by nation and segment in cents, kept by differences: half of the orders come wrong (other prices, other
+    customers, orders that are taken back), a sixth of the customers in another segment; two batches put them right."""
+    store, key = versions.Store(t.spark, scratch(t.spark, "summary")), F.col("id")
+    kinds = {f.name: f.dataType.simpleString() for f in t.customer.schema}
+    summaries.begin(store, {c: kinds[c] for c in ("c_nationkey", "c_mktsegment")})
+    stay = F.lit(False).alias("gone")
+    right = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("dim"), F.round(F.col("o_totalprice") * 100).cast("long").alias("value"), stay)
+    changed = F.pmod(key, F.lit(4)) == 0
+    wrong = right.withColumn("dim", F.when(F.pmod(key, F.lit(8)) == 0, F.col("dim") + 1).otherwise(F.col("dim"))).withColumn("value", F.when(changed, F.col("value") * F.pmod(key, F.lit(3))).otherwise(F.col("value")))
+    extra = right.where(F.pmod(key, F.lit(5)) == 0).select((-key - 1).alias("id"), "dim", (F.col("value") + 50_000_000).alias("value"), "gone")
+    dims = t.customer.select(F.col("c_custkey").alias("dim"), "c_nationkey", "c_mktsegment", stay)
+    moved = F.pmod("dim", F.lit(6)) == 0
+    none = lambda df: df.where("false")
+    summaries.absorb(store, 0, wrong.unionByName(extra), dims.withColumn("c_mktsegment", F.when(moved, "OTHER").otherwise(F.col("c_mktsegment"))))
+    summaries.absorb(store, 1, right.where(changed).unionByName(extra.withColumn("gone", F.lit(True))), none(dims))
+    summaries.absorb(store, 2, none(right), dims.where(moved))
+    return summaries.summary(store)

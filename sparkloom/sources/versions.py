@@ -4,8 +4,8 @@ A store is a folder with ``data/`` and ``commits/``.  A commit lists, for each t
 of its buckets; it becomes the next version by a rename that fails where that version exists already, so that of two
 writers one wins and the other starts again from what the first has written.  Until then nothing refers to the new
 files: a writer that dies at any step leaves the last version as it was, and readers always see one whole version, of
-all tables together.  Rows lie in buckets by their keys; an upsert reads and writes the buckets that its changes touch
-alone.  ``vacuum`` deletes files that no kept version names.
+all tables together.  Rows lie in buckets by their keys, or by some of them; an upsert reads and writes the buckets that
+its changes touch alone.  ``vacuum`` deletes files that no kept version names.
 
 The rename is atomic where the file system's is (HDFS; on a local disk there is one machine to be careful on).
 """
@@ -15,8 +15,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -83,12 +85,12 @@ class Store:
             raise
         return version
 
-    def _again(self, change: Callable[[dict], dict]) -> int:
+    def _again(self, change: Callable[[dict, int], dict]) -> int:
         """Applies a change to the last version, and to the one after it where another writer was faster."""
         for _ in range(ATTEMPTS):
             last = self.tables()
             try:
-                return self._commit(last["version"], change(last["tables"]))
+                return self._commit(last["version"], change(last["tables"], last["version"]))
             except Conflict:
                 continue
         raise Conflict(f"{self.folder}: {ATTEMPTS} other writers were faster")
@@ -111,54 +113,60 @@ class Store:
         """A table as one version (the last) has it; later versions do not change what is read."""
         return self._rows(self.tables(version)["tables"][name])
 
-    def of_keys(self, name: str, keys: DataFrame) -> DataFrame:
-        """The rows of some keys (a frame with the table's key columns); other keys' buckets are not read."""
-        table = self.tables()["tables"][name]
-        touched = {str(r[0]) for r in keys.select(_bucket(table["keys"], table["buckets"])).distinct().collect()}  # at most the number of buckets
+    def of_keys(self, name: str, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """The rows of some keys (a frame with the columns that buckets go by); other keys' buckets are not read."""
+        table = self.tables(version)["tables"][name]
+        by = _by(table)
+        touched = {str(r[0]) for r in keys.select(_bucket(by, table["buckets"])).distinct().collect()}  # at most the number of buckets
         rows = self._rows(table, touched)
-        on = None
-        for k in table["keys"]:
-            same = rows[k].eqNullSafe(keys[k])
-            on = same if on is None else on & same
-        return rows.join(keys, on, "left_semi")
+        return rows.join(keys, _same(rows, keys, by), "left_semi")
 
     def note(self, name: str) -> dict:
         return self.tables()["tables"][name].get("note", {})
 
-    def replace(self, frames: dict[str, tuple[DataFrame, list[str]]], buckets: int = BUCKETS) -> int:
-        """Tables with their keys, all new in one version; other tables stay as they are."""
+    def replace(self, frames: dict[str, tuple[DataFrame, list[str]]], buckets: int = BUCKETS, by: dict[str, list[str]] | None = None) -> int:
+        """Tables with their keys, all new in one version; other tables stay as they are.  ``by`` names the keys that a
+        table's buckets go by, where these are not all of them: ``of_keys`` finds rows by these."""
         new = {}
         for name, (df, keys) in frames.items():
-            files = self._written(df.withColumn(_BUCKET, _bucket(keys, buckets)).repartition(_BUCKET))
-            new[name] = {"schema": df.schema.jsonValue(), "keys": keys, "buckets": buckets, "files": files}
-        return self._again(lambda tables: tables | new)
+            within = (by or {}).get(name, keys)
+            files = self._written(df.withColumn(_BUCKET, _bucket(within, buckets)).repartition(_BUCKET))
+            new[name] = {"schema": df.schema.jsonValue(), "keys": keys, "by": within, "buckets": buckets, "files": files}
+        return self._again(lambda tables, version: tables | new)
 
     def upsert(self, name: str, changes: DataFrame, deleted: str | None = None, note: Callable[[dict], dict] | None = None) -> int:
         """A version in which rows of changes stand for those of equal keys (null equals null); where ``deleted``
         names a boolean column of changes, its rows go.  All rows of a key are replaced by those that changes have
         of it, in the table's columns.  ``note`` makes the table's note, a small dict, from the last one: it changes with the rows or not at all."""
 
-        def change(tables: dict) -> dict:
-            table = tables[name]
-            placed = changes.withColumn(_BUCKET, _bucket(table["keys"], table["buckets"]))
-            touched = {str(r[0]) for r in placed.select(_BUCKET).distinct().collect()}  # at most the number of buckets
-            noted = {"note": note(table.get("note", {}))} if note else {}
-            if not touched:
-                return tables | {name: table | noted}
-            old = self._rows(table, touched)
-            on = None
-            for k in table["keys"]:
-                same = old[k].eqNullSafe(changes[k])
-                on = same if on is None else on & same
-            stay = old.join(changes, on, "left_anti")
-            fresh = changes.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else changes
-            merged = stay.unionByName(fresh.select(*(F.col(f"`{c}`") for c in old.columns)))
-            files = self._written(merged.withColumn(_BUCKET, _bucket(table["keys"], table["buckets"])).repartition(_BUCKET))
-            kept = {b: p for b, p in table["files"].items() if b not in touched}
-            return tables | {name: table | noted | {"files": kept | files}}
+        return self.amend(lambda version: {name: (changes, deleted)}, {name: note} if note else None)
+
+    def amend(self, make: Callable[[int], dict[str, tuple[DataFrame, str | None]]], notes: dict[str, Callable[[dict], dict]] | None = None) -> int:
+        """Changes of several tables in one version, each as in ``upsert``.  ``make`` gives them (table: its changes and the
+        name of their ``deleted``) for the version that they stand on, and is asked again where another writer was faster."""
+
+        def change(tables: dict, version: int) -> dict:
+            new = {name: tables[name] | self._merged(tables[name], *given) for name, given in make(version).items()}
+            for name, note in (notes or {}).items():
+                table = new.get(name, tables[name])
+                new[name] = table | {"note": note(table.get("note", {}))}
+            return tables | new
 
         return self._again(change)
 
+    def _merged(self, table: dict, changes: DataFrame, deleted: str | None) -> dict:
+        """What changes make of a table: new files for the buckets that they touch."""
+        keys, bucket = table["keys"], _bucket(_by(table), table["buckets"])
+        touched = {str(r[0]) for r in changes.select(bucket).distinct().collect()}  # at most the number of buckets
+        if not touched:
+            return {}
+        old = self._rows(table, touched)
+        stay = old.join(changes, _same(old, changes, keys), "left_anti")
+        fresh = changes.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else changes
+        merged = stay.unionByName(fresh.select(*(F.col(f"`{c}`") for c in old.columns)))
+        files = self._written(merged.withColumn(_BUCKET, bucket).repartition(_BUCKET))
+        return {"files": {b: p for b, p in table["files"].items() if b not in touched} | files}
+
     def vacuum(self, keep: int = 1) -> int:
         """Deletes all but the last versions, and data that no kept version names; the number of folders that went.
         Not to be run while a writer is at work: its new files are not named yet."""
@@ -176,3 +184,13 @@ class Store:
 
 def _bucket(keys: list[str], buckets: int):
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _by(table: dict) -> list[str]:
+    """The columns that a table's buckets go by."""
+    return table.get("by", table["keys"])
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Rows of equal keys; null equals null."""
+    return reduce(and_, (a[k].eqNullSafe(b[k]) for k in keys))
