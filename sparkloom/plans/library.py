@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import codes, dates, html, sqlite, text, vocabulary
 from sparkloom.operators import catalogue as c
+from sparkloom.operators import titles
 from sparkloom.plans.catalogue import items
 from sparkloom.plans.registry import query
 from sparkloom.sources import archives, readers, scouting
@@ -182,6 +183,14 @@ def title_similarity(t: Tables) -> DataFrame:
     return i.select("idx", F.round(text.similarity("title", "rest"), 6).alias("ratio"))
 
 
+@query()
+def similar_titles(t: Tables) -> DataFrame:
+    """Classes of titles (the smallest idx of equal ones) whose ratio of matching blocks is 0.95 or more; no SQL says it, a
+    test compares all pairs."""
+    found = titles.similar(titles.classes(items(t).select(F.col("idx").alias("id"), "title")))
+    return found.select(F.col("first").alias("idx"), F.col("second").alias("like"), F.round("ratio", 6).alias("ratio"))
+
+
 @query("""WITH e AS (SELECT event_id, event_id % 41 AS pending, CASE WHEN event_id % 9 <> 0 THEN (event_id * 7919) % 2000000 END AS since, CASE WHEN event_id % 5 = 0 THEN event_id % 7 ELSE 0 END AS failures, event_id % 6 = 0 AS low, event_id % 10 <> 0 AS able FROM events)
 SELECT event_id, CASE WHEN NOT able OR low AND pending < 25 OR failures > 0 AND since < least(30, power(2, failures - 1)) * 60000 THEN NULL WHEN since IS NULL THEN 'urgent' WHEN since < 90000 THEN NULL WHEN pending >= 25 THEN 'urgent' WHEN since >= 900000 THEN 'normal' END AS exchange FROM e""")
 def exchange_policy(t: Tables) -> DataFrame:
