@@ -9,7 +9,8 @@ folded are one class, so copies never meet each other.  Between classes:
 * If the grams of all texts stand in one order, rare ones first, two texts with that many in common share one among the
   first few of each, early enough for the rest to suffice.  Only these are joined, on gram and range of lengths.
 
-The last step computes the ratio of the pairs that are left, so the result is exact.  Rarity decides the speed alone: counts
+Of the pairs that are left, those with too few letters in common go, and the others' ratio is computed, so the result is
+exact.  Rarity decides the speed alone: counts
 of the grams that make up at least one in ``FREQUENT`` of all (so there are at most that many of them) are sent to all
 tasks, and the others count as equally rare.  Texts too short for q-grams meet by single characters, which are q-grams too.
 """
@@ -28,6 +29,7 @@ from pyspark.sql.window import Window
 from sparkloom.functions import text
 
 FREQUENT = 50_000
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def plain(title: Column) -> Column:
@@ -92,6 +94,12 @@ def _candidates(texts: DataFrame, percent: int, q: int) -> DataFrame:
     return a.join(b, ["token", "range"]).where(shorter & near & (rest >= shared)).select(F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).distinct()
 
 
+def _letters(text: Column) -> Column:
+    """How often each of some characters stands in a text, and all others together."""
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _LETTERS]
+    return F.array(*counts, F.length(text) - sum(counts[1:], counts[0]))
+
+
 def _ratio_from(least: float):
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -118,6 +126,9 @@ def similar(classes: DataFrame, percent: int = 95) -> DataFrame:
         short = texts.where(F.col("n") * percent < shortest * (200 - percent))  # those too short, and all that can be like them
         pairs = pairs.unionByName(_candidates(short, percent, 1)).distinct()
     pairs = pairs.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"))
-    named = lambda c: texts.select(F.col("class_id").alias(c), F.col("plain").alias(f"{c}_plain"))
+    texts = texts.withColumn("letters", _letters(F.col("plain")))
+    named = lambda c: texts.select(F.col("class_id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("plain", "n", "letters")))
     both = pairs.join(named("first"), "first").join(named("second"), "second")
+    common = F.aggregate(F.zip_with("first_letters", "second_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    both = both.where(common * 200 >= (F.col("first_n") + F.col("second_n")) * percent)
     return both.select("first", "second", _ratio_from(percent / 100)("first_plain", "second_plain").alias("ratio")).where(F.col("ratio") >= percent / 100)

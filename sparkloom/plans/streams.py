@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from sparkloom.operators import eventlog, summaries
 from sparkloom.plans.changelog import STATE
 from sparkloom.plans.registry import query
-from sparkloom.sources import versions
+from sparkloom.sources import ingest, versions
 from sparkloom.sources.scratch import scratch
 from sparkloom.streaming import health, projection, sessions
 from sparkloom.tables import Tables
@@ -135,3 +135,16 @@ def summary_by_differences(t: Tables) -> DataFrame:
     summaries.absorb(store, 1, right.where(changed).unionByName(extra.withColumn("gone", F.lit(True))), none(dims))
     summaries.absorb(store, 2, none(right), dims.where(moved))
     return summaries.summary(store)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def ingested_once(t: Tables) -> DataFrame:
+    """Events from four batches that overlap, the last one all of them, each taken once by an index of known ids; files
+    are put together and the filter, which starts too small, is made larger in between."""
+    store, rows = versions.Store(t.spark, scratch(t.spark, "ingest")), t.events.select(F.col("event_id").cast("string").alias("id"), "event_id", "user_id", "event_type")
+    ingest.begin(store, rows.schema, blocks=16, buckets=16)
+    for n, part in enumerate(("event_id % 3 = 0", "event_id % 2 = 0", "event_id % 4 <> 1", "true")):
+        ingest.absorb(store, n, rows.where(part))
+        if n == 1:
+            ingest.compact(store, 1)
+    return store.read("known").select("event_id", "user_id", "event_type")

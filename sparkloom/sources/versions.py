@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 from operator import and_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,12 @@ class Conflict(Exception):
     """Another writer has made this version."""
 
 
+class Added(NamedTuple):
+    """Rows to be added to a table as they are, whatever keys it has already."""
+
+    rows: DataFrame
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -105,7 +112,7 @@ class Store:
         return {n.partition("=")[2]: f"{name}/{n}" for n in found if n.startswith(f"{_BUCKET}=")}
 
     def _rows(self, table: dict, buckets: set[str] | None = None) -> DataFrame:
-        paths = [f"{self.folder}/{p}" for b, p in table["files"].items() if buckets is None or b in buckets]
+        paths = [f"{self.folder}/{p}" for b, at in table["files"].items() if buckets is None or b in buckets for p in _places(at)]
         schema = StructType.fromJson(table["schema"])
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -141,12 +148,13 @@ class Store:
 
         return self.amend(lambda version: {name: (changes, deleted)}, {name: note} if note else None)
 
-    def amend(self, make: Callable[[int], dict[str, tuple[DataFrame, str | None]]], notes: dict[str, Callable[[dict], dict]] | None = None) -> int:
+    def amend(self, make: Callable[[int], dict[str, tuple[DataFrame, str | None] | Added]], notes: dict[str, Callable[[dict], dict]] | None = None) -> int:
         """Changes of several tables in one version, each as in ``upsert``.  ``make`` gives them (table: its changes and the
-        name of their ``deleted``) for the version that they stand on, and is asked again where another writer was faster."""
+        name of their ``deleted``, or rows that are ``Added``) for the version that they stand on, and is asked again where
+        another writer was faster."""
 
         def change(tables: dict, version: int) -> dict:
-            new = {name: tables[name] | self._merged(tables[name], *given) for name, given in make(version).items()}
+            new = {name: tables[name] | (self._longer if isinstance(given, Added) else self._merged)(tables[name], *given) for name, given in make(version).items()}
             for name, note in (notes or {}).items():
                 table = new.get(name, tables[name])
                 new[name] = table | {"note": note(table.get("note", {}))}
@@ -167,12 +175,35 @@ class Store:
         files = self._written(merged.withColumn(_BUCKET, bucket).repartition(_BUCKET))
         return {"files": {b: p for b, p in table["files"].items() if b not in touched} | files}
 
+    def _longer(self, table: dict, rows: DataFrame) -> dict:
+        """The files of a table with new ones beside them; what is there is not read."""
+        columns = StructType.fromJson(table["schema"]).names
+        placed = rows.select(*(F.col(f"`{c}`") for c in columns)).withColumn(_BUCKET, _bucket(_by(table), table["buckets"]))
+        files = self._written(placed.repartition(_BUCKET))
+        return {"files": table["files"] | {b: [*_places(table["files"].get(b, [])), p] for b, p in files.items()}}
+
+    def compact(self, name: str, most: int = 8) -> int:
+        """One folder for each bucket that has more than ``most``; no row changes.  How many buckets were rewritten."""
+        done: list[str] = []
+
+        def change(tables: dict, version: int) -> dict:
+            table = tables[name]
+            done[:] = [b for b, at in table["files"].items() if len(_places(at)) > most]
+            if not done:
+                return tables
+            rows = self._rows(table, set(done)).withColumn(_BUCKET, _bucket(_by(table), table["buckets"]))
+            return tables | {name: table | {"files": table["files"] | self._written(rows.repartition(_BUCKET))}}
+
+        if any(len(_places(at)) > most for at in self.tables()["tables"][name]["files"].values()):
+            self._again(change)
+        return len(done)
+
     def vacuum(self, keep: int = 1) -> int:
         """Deletes all but the last versions, and data that no kept version names; the number of folders that went.
         Not to be run while a writer is at work: its new files are not named yet."""
         known = self.versions()
         old, kept = (known[:-keep], known[-keep:]) if keep else (known, [])
-        named = {p.split("/")[1] for v in kept for t in self.tables(v)["tables"].values() for p in t["files"].values()}
+        named = {p.split("/")[1] for v in kept for t in self.tables(v)["tables"].values() for at in t["files"].values() for p in _places(at)}
         for v in old:
             self._fs.delete(self._path(f"commits/{v:012d}.json"), False)
         gone = 0
@@ -186,6 +217,11 @@ def _bucket(keys: list[str], buckets: int):
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def _places(at: str | list[str]) -> list[str]:
+    """The folders of a bucket: one, or several where rows were added."""
+    return [at] if isinstance(at, str) else at
+
+
 def _by(table: dict) -> list[str]:
     """The columns that a table's buckets go by."""
     return table.get("by", table["keys"])
