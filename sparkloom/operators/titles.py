@@ -20,11 +20,11 @@ from __future__ import annotations
 import difflib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from sparkloom.functions import text
 
@@ -49,33 +49,60 @@ def gram_length(percent: int) -> int:
     return max((q for q in range(2, 6) if percent * (2 * q - 1) - 200 * (q - 1) >= 50), default=1)
 
 
-def _least_shared(n: int | Column, percent: int, q: int):
+def _least_shared(n: int, percent: int, q: int) -> int:
     """What a text of n characters shares with any similar one, at least: with the shortest there can be."""
-    ceil = math.ceil if isinstance(n, int) else lambda c: F.ceil(c).cast("long")
-    s = n + ceil(n * percent / (200 - percent))
-    return ceil((s * (percent * (2 * q - 1) - 200 * (q - 1)) - 200 * (q - 1)) / 200)
+    s = n + -(-n * percent // (200 - percent))
+    return -(-(s * (percent * (2 * q - 1) - 200 * (q - 1)) - 200 * (q - 1)) // 200)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashes(x: str, q: int) -> np.ndarray:
+    """A number for each q-gram; equal grams have equal ones."""
+    points = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = max(len(points) - q + 1, 0)
+    h = np.zeros(size, np.uint64)
+    for k in range(q):
+        h = _mixed(h + points[k : k + size] + np.uint64(1))
+    return h.view(np.int64)
+
+
+def _head(x: str, percent: int, q: int, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first grams of a text in the order of rarity, repeats numbered, as many as are needed."""
+    grams, counts = np.unique(_hashes(x, q), return_counts=True)
+    if not len(grams):
+        return grams
+    at = np.minimum(np.searchsorted(frequent, grams), max(len(frequent) - 1, 0))
+    known = np.where(frequent[at] == grams, often[at], 0) if len(frequent) else np.zeros(len(grams), np.int64)
+    order = np.lexsort((grams, known))
+    grams, counts = grams[order], counts[order]
+    occurrence = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    tokens = _mixed(np.repeat(grams, counts).view(np.uint64) + occurrence.astype(np.uint64)).view(np.int64)
+    return tokens[: max(len(tokens) - _least_shared(len(tokens) + q - 1, percent, q) + 1, 0)]
 
 
 def _heads(texts: DataFrame, percent: int, q: int) -> DataFrame:
-    """(class_id, n, size, token, place): the first grams of each text in the order of rarity, as many as are needed."""
-    chars = F.regexp_extract_all("plain", F.lit("(?s)."), F.lit(0))
-    whole = F.slice("chars", F.lit(1), F.size("chars") - (q - 1))
-    grams = F.transform(whole, lambda c, i: F.xxhash64(F.array_join(F.slice("chars", i + 1, F.lit(q)), "")))
-    counted = (
-        texts.withColumn("chars", chars)
-        .where(F.size("chars") >= q)
-        .select("class_id", "n", (F.size("chars") - (q - 1)).alias("size"), F.explode(grams).alias("gram"))
-        .groupBy("class_id", "n", "size", "gram")
-        .agg(F.count("*").alias("k"))
-    )
-    total = counted.agg(F.sum("k")).first()[0] or 0
-    frequent = counted.groupBy("gram").agg(F.sum("k").alias("often")).where(F.col("often") * FREQUENT >= total)  # at most FREQUENT rows
-    order = Window.partitionBy("class_id").orderBy(F.coalesce("often", F.lit(0)), "gram", "occurrence")
-    tokens = counted.join(F.broadcast(frequent), "gram", "left").withColumn("occurrence", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
-    placed = tokens.withColumn("place", F.row_number().over(order))
-    return placed.where(F.col("place") <= F.col("size") - _least_shared(F.col("n"), percent, q) + 1).select(
-        "class_id", "n", "size", F.xxhash64("gram", "occurrence").alias("token"), "place"
-    )
+    """(class_id, n, size, token, place): the first grams of each text, from 1.  Texts do not move."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def grams_of(xs: pd.Series) -> pd.Series:
+        return pd.Series([_hashes(x, q) for x in xs])
+
+    size = F.greatest(F.col("n") - (q - 1), F.lit(0))
+    total = texts.agg(F.sum(size)).first()[0] or 0
+    counts = texts.select(F.explode(grams_of("plain")).alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+    rows = counts.where(F.col("often") * FREQUENT >= total).where("often > 1").orderBy("gram").collect()  # at most FREQUENT rows
+    frequent, often = np.array([r.gram for r in rows], np.int64), np.array([r.often for r in rows], np.int64)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def head_of(xs: pd.Series) -> pd.Series:
+        return pd.Series([_head(x, percent, q, frequent, often) for x in xs])
+
+    placed = texts.select("class_id", "n", size.alias("size"), F.posexplode(head_of("plain")).alias("place", "token"))
+    return placed.withColumn("place", F.col("place") + 1)
 
 
 def _candidates(texts: DataFrame, percent: int, q: int) -> DataFrame:
