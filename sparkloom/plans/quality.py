@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,10 +40,19 @@ def licence_detection(t: Tables) -> DataFrame:
 
 @query(r"SELECT conv_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY turn), '\s+', ' ', 'g')) AS text FROM conversations GROUP BY 1")
 def transcript_text(t: Tables) -> DataFrame:
-    """Conversations written as WebVTT and read back as prose."""
-    cue = F.concat(F.lit("00:00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(".000 --> 00:01:00.000\n"), "text", F.lit("\n"))
-    turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("x"))
-    return turns.select("conv_id", html.transcript_text(F.concat(F.lit("WEBVTT\n\n"), F.array_join("x.cue", "\n"))).alias("text"))
+    """Conversations written as WebVTT and read back as prose.  Markup is escaped and empty lines go, as no cue can hold
+    them; between cues is a pause, so that what is said twice stays."""
+    said = F.regexp_replace(F.trim(F.regexp_replace("text", r"[ \t\r\f]*\n[ \t\n\r\f]*|\r[ \t\n\r\f]*", "\n")), "^\n|\n$", "")
+    for char, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        said = F.replace(said, F.lit(char), F.lit(reference))
+    turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull(), "turn", said.alias("said")))).alias("x"))
+
+    def time(at: Column) -> Column:
+        return F.concat_ws(":", *(F.format_string("%02d", x) for x in (F.floor(at / 3600), F.floor(at / 60) % 60, at % 60)))
+
+    turns = turns.select("conv_id", F.filter("x.said", lambda s: s.isNotNull()).alias("x"))
+    cues = F.transform("x", lambda s, i: F.concat(time(i * 2), F.lit(".000 --> "), time(i * 2 + 1), F.lit(".000\n"), s, F.lit("\n")))
+    return turns.select("conv_id", F.when(F.size("x") > 0, html.transcript_text(F.concat(F.lit("WEBVTT\n\n"), F.array_join(cues, "\n")))).alias("text"))
 
 
 @query(r"""SELECT source, 'D' || doc_id AS title, 'https://example.org/' || doc_id AS link, DATE '2024-01-01' AS day, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS text_sha256 FROM documents""")
