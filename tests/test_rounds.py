@@ -34,3 +34,29 @@ def test_transcripts_keep_what_is_said_twice(same_as_sql):
     turns = [(1, k, "user", x) for k, x in enumerate(texts)] + [(2, 150 + k, "user", str(k % 2)) for k in range(120)]
     turns += [(3, 0, "user", None), (4, 0, "user", ""), (5, 1, "user", "one"), (5, None, "user", "last"), (None, 1, "user", "x")]
     assert len(same_as_sql("transcript_text", "conversations", turns)) == 6
+
+
+def test_large_vocabularies_by_a_filter(spark):
+    """Terms of one to seven words, beyond what an automaton is made for, against all runs of each text."""
+    import random
+
+    from sparkloom.operators import catalogue
+
+    draw = random.Random(5)
+    words = ["a", "été", "b_1", "漢字", "x" * 300, "und", "der"]
+    line = lambda n: " ".join(draw.choices(words, k=n))
+    terms = list({(f"t{k % 3}", line(draw.randrange(1, 8)), bool(k % 2)) for k in range(400)}) + [("t0", "und-der", True), ("t0", "und der", False), ("t1", "?", True)]
+    items = [(k, line(draw.randrange(0, 12)), line(draw.randrange(0, 60))) for k in range(60)] + [(60, None, None), (61, "", " Der, ÉTÉ: ")]
+    df = spark.createDataFrame(items, "idx long, title string, abstract string").selectExpr("*", "CAST(array() AS array<string>) AS concepts")
+    vocabulary = spark.createDataFrame(terms, "topic string, term string, strong boolean")
+    got, want = (sorted(map(tuple, catalogue.topic_scores(df, vocabulary, [], most).collect())) for most in (3, 100_000))
+    assert got == want and len(got) > 60
+
+
+def test_runs_split_a_text_once(spark):
+    from sparkloom.functions import vocabulary
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("One, two three",), ("",), (None,)], "x string").select(vocabulary.runs(F.coalesce("x", F.lit("")), [2, 1]).alias("r"))
+    assert [r.r for r in df.collect()] == [["one", "two", "three", "one two", "two three"], [], []]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
