@@ -7,6 +7,7 @@ from sparkloom import plans
 from tests.test_queries import rows
 
 SCHEMAS = {
+    "documents": "doc_id long, text string",
     "conversations": "conv_id long, turn long, role string, text string",
 }
 
@@ -60,3 +61,58 @@ def test_runs_split_a_text_once(spark):
     df = spark.createDataFrame([("One, two three",), ("",), (None,)], "x string").select(vocabulary.runs(F.coalesce("x", F.lit("")), [2, 1]).alias("r"))
     assert [r.r for r in df.collect()] == [["one", "two", "three", "one two", "two three"], [], []]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_values_become_objects_some_at_a_time():
+    import pyarrow as pa
+
+    from sparkloom.functions import batches
+
+    alive, most = set(), [0]
+
+    class Made(str):
+        def __del__(self):
+            alive.discard(id(self))
+
+    def one(x):
+        made = Made(x or "")
+        alive.add(id(made))
+        most[0] = max(most[0], len(alive))
+        return made
+
+    values = [None, *map(str, range(999))]
+    assert batches.in_parts(pa.array(values), one, pa.string()).to_pylist() == ["", *values[1:]]
+    assert batches.in_parts(pa.array([], pa.string()), one, pa.string()).to_pylist() == [] and most[0] <= 2 * batches.ROWS
+
+
+def test_no_column_function_makes_a_batch_of_objects():
+    from sparkloom.functions import html, text, vocabulary
+    from pyspark.util import PythonEvalType
+
+    own = [html.html_text, html.feed_items, html.transcript_text, html.sitemap_places, html.decoded_text, html.page_paragraphs, text.normalised, vocabulary.finder(vocabulary.Automaton([("a",)]))]
+    assert {f.evalType for f in own} == {PythonEvalType.SQL_SCALAR_ARROW_UDF}
+
+
+def test_batches_are_bounded_in_bytes(spark, data):
+    plans.queries()["html_text"](spark, data)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{8 << 20}b"
+
+
+def test_inverted_texts_do_not_move(spark, data, same_as_sql):
+    df = plans.queries()["inverted_abstract"](spark, data)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    texts = ["b a b  a\tb", "", " ", "one", "é É\n\né \x0b x", None, "a " * 3000]
+    assert len(same_as_sql("inverted_abstract", "documents", list(enumerate(texts)))) == 6
+
+
+def test_a_backlog_is_read_in_few_versions(spark, tmp_path, monkeypatch):
+    from sparkloom.sources import arrivals
+    from sparkloom.sources.versions import Store
+
+    monkeypatch.setattr(arrivals, "SORTED", 25)
+    log = spark.createDataFrame([(k % 380, 10 * k) for k in range(400)], "id long, arrived long")
+    store = Store(spark, str(tmp_path / "arrivals"))
+    arrivals.begin(store, log, buckets=2)
+    assert arrivals.follow(store, log, 10**6, margin_ms=50, rows=20) == 400
+    assert len(store.versions()) < 12  # twenty pages and one before
+    assert {tuple(r) for r in store.read(arrivals.NAME).collect()} == {(k % 380, 10 * k) for k in range(20, 400)}
