@@ -36,11 +36,16 @@ def page_by_range(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL")
 def inverted_abstract(t: Tables) -> DataFrame:
-    """Texts as inverted indexes (word to positions) and back; words are split on white space, which comes back collapsed."""
+    """Texts as inverted indexes (word to positions) and back; words are split on white space, which comes back collapsed.
+    A text's index is made and read where the text lies: neither texts nor words move."""
     plain = F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " "))
-    texts = t.documents.where("text IS NOT NULL").select("doc_id", plain.alias("text")).repartition("doc_id")  # texts move once, words never
-    d = texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
-    index = d.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    words = t.documents.where("text IS NOT NULL").select("doc_id", F.split(plain, " ").alias("w"))
+    placed = words.select("doc_id", F.sort_array(F.transform("w", lambda w, p: F.struct(w.alias("w"), p.alias("p")))).alias("x"))
+    word = lambda at: F.get("x", at)["w"]
+    firsts = placed.select("doc_id", "x", F.filter(F.sequence(F.lit(0), F.size("x") - 1), lambda i: (i == 0) | (word(i) != word(i - 1))).alias("at"))
+    size = lambda i, k: F.coalesce(F.get("at", k + 1), F.size("x")) - i
+    entries = F.transform("at", lambda i, k: F.struct(word(i).alias("w"), F.transform(F.slice("x", i + 1, size(i, k)), lambda e: e["p"]).alias("ps")))
+    index = firsts.select("doc_id", F.map_from_entries(entries).alias("m"))
     return index.select("doc_id", readers.unfolded_abstract(F.col("m")).alias("text"))
 
 
