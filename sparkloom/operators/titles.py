@@ -4,15 +4,15 @@ The ratio of two texts is 2 M / s, with s characters in both and M in their matc
 folded are one class, so copies never meet each other.  Between classes:
 
 * A ratio of p per cent needs M >= p s / 200; as M is at most the shorter length, lengths can't be far apart.
-* Two blocks are a character apart at least, so there are at most s - 2 M + 1 of them, and each loses q - 1 of its q-grams:
-  the texts share at least M - (q - 1)(s - 2 M + 1) of them, counted with repeats.
-* If the grams of all texts stand in one order, rare ones first, two texts with that many in common share one among the
-  first few of each, early enough for the rest to suffice.  Only these are joined, on gram and range of lengths.
-
-Of the pairs that are left, those with too few letters in common go, and the others' ratio is computed, so the result is
-exact.  Rarity decides the speed alone: counts
-of the grams that make up at least one in ``FREQUENT`` of all (so there are at most that many of them) are sent to all
-tasks, and the others count as equally rare.  Texts too short for q-grams meet by single characters, which are q-grams too.
+* The blocks stand in the same order in both, so s - 2 M characters taken out and put in make one text of the other.
+  Each changes the counts of letters by one, and those of q-grams by 2 q - 1 at most, whatever is counted together.
+
+So texts become counts of letters and of grams (``PROFILE`` small numbers), and these are compared: all pairs of near
+lengths, in numpy.  Lengths are dealt out in ranges, so that similar ones lie in one or in two neighbouring ones, and ranges
+in blocks of about ``BLOCK`` texts.  Two blocks meet in one place, and so do two texts: no pair comes twice, none is
+stored for a gram, and a task holds two blocks.  Of the pairs that are left, those go of whose pieces too few stand in the
+other text, and the others' ratio is computed, so the result is exact.  The comparisons grow with the square of the texts; of
+its counts a text has a copy for each ``BLOCK`` texts of its own range and the two beside it.
 """
 
 from __future__ import annotations
@@ -22,14 +22,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from sparkloom.functions import text
 
-FREQUENT = 50_000
+BLOCK = 8192
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+_PLACE = np.full(128, len(_LETTERS), np.int64)
+_PLACE[[ord(c) for c in _LETTERS]] = range(len(_LETTERS))
+LETTERS, GRAMS = len(_LETTERS) + 1, 128  # the last letter stands for all others; grams are counted together by hash
+PROFILE = LETTERS + GRAMS
 
 
 def plain(title: Column) -> Column:
@@ -45,14 +51,8 @@ def classes(items: DataFrame) -> DataFrame:
 
 
 def gram_length(percent: int) -> int:
-    """The longest grams, up to five, of which similar texts still share enough: a quarter of s less q - 1, at least."""
-    return max((q for q in range(2, 6) if percent * (2 * q - 1) - 200 * (q - 1) >= 50), default=1)
-
-
-def _least_shared(n: int, percent: int, q: int) -> int:
-    """What a text of n characters shares with any similar one, at least: with the shortest there can be."""
-    s = n + -(-n * percent // (200 - percent))
-    return -(-(s * (percent * (2 * q - 1) - 200 * (q - 1)) - 200 * (q - 1)) // 200)
+    """The grams that are counted: of two characters, or of one where texts that have none in common may be similar."""
+    return 2 if 3 * (100 - percent) < 100 else 1
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -60,79 +60,114 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _hashes(x: str, q: int) -> np.ndarray:
-    """A number for each q-gram; equal grams have equal ones."""
-    points = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64)
+def _profile(x: str, q: int) -> np.ndarray:
+    """How often each letter and each bucket of q-grams stands in a text; counts stop at 65,535, which brings none apart."""
+    points = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    letters = np.bincount(_PLACE[np.minimum(points, 127)], minlength=LETTERS)
     size = max(len(points) - q + 1, 0)
     h = np.zeros(size, np.uint64)
     for k in range(q):
-        h = _mixed(h + points[k : k + size] + np.uint64(1))
-    return h.view(np.int64)
-
-
-def _head(x: str, percent: int, q: int, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first grams of a text in the order of rarity, repeats numbered, as many as are needed."""
-    grams, counts = np.unique(_hashes(x, q), return_counts=True)
-    if not len(grams):
-        return grams
-    at = np.minimum(np.searchsorted(frequent, grams), max(len(frequent) - 1, 0))
-    known = np.where(frequent[at] == grams, often[at], 0) if len(frequent) else np.zeros(len(grams), np.int64)
-    order = np.lexsort((grams, known))
-    grams, counts = grams[order], counts[order]
-    occurrence = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    tokens = _mixed(np.repeat(grams, counts).view(np.uint64) + occurrence.astype(np.uint64)).view(np.int64)
-    return tokens[: max(len(tokens) - _least_shared(len(tokens) + q - 1, percent, q) + 1, 0)]
-
-
-def _heads(texts: DataFrame, percent: int, q: int) -> DataFrame:
-    """(class_id, n, size, token, place): the first grams of each text, from 1.  Texts do not move."""
+        h = _mixed(h + points[k : k + size].astype(np.uint64) + np.uint64(1))
+    grams = np.bincount((h % np.uint64(GRAMS)).astype(np.int64), minlength=GRAMS)
+    return np.minimum(np.concatenate([letters, grams]), 65535).astype(np.uint16)
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def grams_of(xs: pd.Series) -> pd.Series:
-        return pd.Series([_hashes(x, q) for x in xs])
 
-    size = F.greatest(F.col("n") - (q - 1), F.lit(0))
-    total = texts.agg(F.sum(size)).first()[0] or 0
-    counts = texts.select(F.explode(grams_of("plain")).alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
-    rows = counts.where(F.col("often") * FREQUENT >= total).where("often > 1").orderBy("gram").collect()  # at most FREQUENT rows
-    frequent, often = np.array([r.gram for r in rows], np.int64), np.array([r.often for r in rows], np.int64)
+def _placed(texts: DataFrame, percent: int, q: int, most: int) -> DataFrame:
+    """(range, one, upper, other, second, class_id, n, profile): a row of a text for each pair of blocks that has its block.
+    The pair is of blocks ``one`` and ``other`` of a range, or with ``upper`` 1 of a range and the next; ``second``: of ``other``."""
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def head_of(xs: pd.Series) -> pd.Series:
-        return pd.Series([_head(x, percent, q, frequent, often) for x in xs])
+    @F.pandas_udf(BinaryType())
+    def profile_of(xs: pd.Series) -> pd.Series:
+        return pd.Series([_profile(x, q).tobytes() for x in xs])
 
-    placed = texts.select("class_id", "n", size.alias("size"), F.posexplode(head_of("plain")).alias("place", "token"))
-    return placed.withColumn("place", F.col("place") + 1)
-
-
-def _candidates(texts: DataFrame, percent: int, q: int) -> DataFrame:
-    """Pairs (a, b) of texts, a the shorter, that share a gram early enough."""
-    heads = _heads(texts, percent, q)
     width = math.log((200 - percent) / percent) * 1.0001  # similar lengths lie in one range or in two neighbouring ones
-    length = F.floor(F.log("n") / width)
-    a = heads.select(*(F.col(c).alias(f"a_{c}") for c in heads.columns if c != "token"), "token", F.explode(F.array(length, length + 1)).alias("range"))
-    b = heads.select(*(F.col(c).alias(f"b_{c}") for c in heads.columns if c != "token"), "token", length.alias("range"))
-    s = F.col("a_n") + F.col("b_n")
-    m = F.ceil(s * percent / 200)
-    shared = m - (q - 1) * (s - 2 * m + 1)
-    shorter = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class_id") < F.col("b_class_id")))
-    near = F.col("b_n") * percent <= F.col("a_n") * (200 - percent)
-    rest = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) + 1
-    return a.join(b, ["token", "range"]).where(shorter & near & (rest >= shared)).select(F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).distinct()
-
+    rows = texts.withColumn("range", F.floor(F.log("n") / width).cast("int"))
+    sizes = rows.groupBy("range").count().collect()  # lengths are below 2^31, so there are few ranges
+    known = F.create_map(*(F.lit(x) for r in sizes for x in (r["range"], -(-r["count"] // most)))) if sizes else F.create_map().cast("map<int,int>")
+    rows = rows.withColumn("known", F.coalesce(F.try_element_at(known, F.col("range")), F.lit(1))).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("known")).cast("int"))
+
+    def blocks(of: Column) -> Column:
+        n = F.coalesce(F.try_element_at(known, of), F.lit(0))
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def pair(of: Column, one: Column, upper: int, other: Column, second: Column) -> Column:
+        return F.struct(of.alias("range"), one.alias("one"), F.lit(upper).alias("upper"), other.alias("other"), second.alias("second"))
+
+    own, block = F.col("range"), F.col("block")
+    within = F.transform(blocks(own), lambda j: pair(own, F.least(block, j), 0, F.greatest(block, j), block > j))
+    above = F.transform(blocks(own + 1), lambda j: pair(own, block, 1, j, F.lit(False)))
+    below = F.transform(blocks(own - 1), lambda j: pair(own - 1, j, 1, block, F.lit(True)))
+    return rows.select(F.explode(F.concat(within, above, below)).alias("p"), "class_id", "n", profile_of("plain").alias("profile")).select("p.*", "class_id", "n", "profile")
+
+
+def _compared(percent: int, q: int):
+    """Of the texts of a pair of blocks, the pairs (a, b) whose counts are near enough, a the shorter."""
+
+    def half(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, ids = rows.column("n").to_numpy(), rows.column("class_id").to_numpy()
+        order = np.argsort(n, kind="stable")
+        counts = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint16).reshape(-1, PROFILE)[order]
+        return n[order], ids[order], np.ascontiguousarray(counts.T, np.int32)
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        of, one, upper, other = (k.as_py() for k in key)
+        n, ids, counts = half(rows.filter(pc.invert(rows.column("second"))))
+        alone = upper == 0 and one == other
+        to_n, to_ids, to = (n, ids, counts) if alone else half(rows.filter(rows.column("second")))
+        lo = np.arange(1, len(n) + 1) if alone else np.searchsorted(to_n, -(-n * percent // (200 - percent)))
+        hi = np.searchsorted(to_n, n * (200 - percent) // percent, side="right")
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(lo < hi).tolist():
+            a, b = lo[i], hi[i]
+            s = n[i] + to_n[a:b]
+            out_in = s - 2 * -(-s * percent // 200)
+            near = np.flatnonzero(np.abs(to[:LETTERS, a:b] - counts[:LETTERS, i : i + 1]).sum(0, np.int32) <= out_in)
+            if len(near):
+                near = near[np.abs(to[LETTERS:, a + near] - counts[LETTERS:, i : i + 1]).sum(0) <= (2 * q - 1) * out_in[near]]
+                found.append((np.full(len(near), i), a + near))
+        x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        shorter = (n[x] < to_n[y]) | ((n[x] == to_n[y]) & (ids[x] < to_ids[y]))
+        return pa.table({"a": np.where(shorter, ids[x], to_ids[y]), "b": np.where(shorter, to_ids[y], ids[x])})
+
+    return compare
+
+
+def _candidates(texts: DataFrame, percent: int, q: int, most: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of texts (class_id, plain, n), a the shorter, whose counts allow the ratio; each pair once."""
+    where = ["range", "one", "upper", "other"]
+    width, kind = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.schema["class_id"].dataType.simpleString()
+    return _placed(texts, percent, q, most).repartition(width, *where).groupBy(*where).applyInArrow(_compared(percent, q), f"a {kind}, b {kind}")
+
+
+def _apart(x: str, y: str, out_in: int, size: int) -> bool:
+    """Whether more pieces of x are missing in y than so many characters, taken out and put in, can spoil or move away."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    missing = 0
+    for k in range(0, len(x) - size + 1, size):
+        if y.find(x[k : k + size], max(k - out_in, 0), k + size + out_in) < 0:
+            missing += 1
+            if missing > out_in:
+                return True
+    return False
+
+
+def _ratio_from(percent: int):
+    size = 40 // (100 - percent)  # so long that a fifth of the pieces has to be there
 
-def _letters(text: Column) -> Column:
-    """How often each of some characters stands in a text, and all others together."""
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _LETTERS]
-    return F.array(*counts, F.length(text) - sum(counts[1:], counts[0]))
-
-
-def _ratio_from(least: float):
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        matcher, last = difflib.SequenceMatcher(), None
+
         def one(x: str, y: str) -> float | None:
-            matcher = difflib.SequenceMatcher(None, x, y)
-            return matcher.ratio() if matcher.quick_ratio() >= least else None
+            nonlocal last
+            s = len(x) + len(y)
+            if size > 2 and _apart(x, y, s - 2 * -(-s * percent // 200), size):
+                return None
+            if y != last:  # what is known of the second text serves for the next pair
+                matcher.set_seq2(y)
+                last = y
+            matcher.set_seq1(x)
+            return matcher.ratio()
 
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -146,16 +181,7 @@ def similar(classes: DataFrame, percent: int = 95) -> DataFrame:
     if not 0 < percent < 100:
         raise ValueError("a percentage between 0 and 100")
     texts = classes.select("class_id", "plain", F.length("plain").cast("long").alias("n"))
-    q = gram_length(percent)
-    pairs = _candidates(texts, percent, q)
-    if q > 1:
-        shortest = next(n for n in range(1, 10_000) if all(_least_shared(m, percent, q) >= 1 for m in range(n, n + 200)))
-        short = texts.where(F.col("n") * percent < shortest * (200 - percent))  # those too short, and all that can be like them
-        pairs = pairs.unionByName(_candidates(short, percent, 1)).distinct()
-    pairs = pairs.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"))
-    texts = texts.withColumn("letters", _letters(F.col("plain")))
-    named = lambda c: texts.select(F.col("class_id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("plain", "n", "letters")))
+    pairs = _candidates(texts, percent, gram_length(percent)).select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"))
+    named = lambda c: texts.select(F.col("class_id").alias(c), F.col("plain").alias(f"{c}_plain"))
     both = pairs.join(named("first"), "first").join(named("second"), "second")
-    common = F.aggregate(F.zip_with("first_letters", "second_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    both = both.where(common * 200 >= (F.col("first_n") + F.col("second_n")) * percent)
-    return both.select("first", "second", _ratio_from(percent / 100)("first_plain", "second_plain").alias("ratio")).where(F.col("ratio") >= percent / 100)
+    return both.select("first", "second", _ratio_from(percent)("first_plain", "second_plain").alias("ratio")).where(F.col("ratio") >= percent / 100)

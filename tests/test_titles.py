@@ -69,3 +69,22 @@ def test_candidates_are_few(spark):
     rows = [(n, "the study of " + " ".join(chance.choices(words, k=8)) + " in the field of medicine") for n in range(2000)]
     texts = titles.classes(spark.createDataFrame(rows, ITEMS)).selectExpr("class_id", "plain", "CAST(length(plain) AS LONG) AS n")
     assert titles._candidates(texts, 95, titles.gram_length(95)).count() < 20_000
+
+
+def test_no_row_for_each_gram(spark):
+    """Titles of one template with a fifth of their characters their own: none of the 500,000 pairs is handed on."""
+    chance = random.Random(4)
+    rows = [(n, "a long introduction to the theory and the practice of " + "".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=20)) + " in the age of medicine") for n in range(1000)]
+    texts = titles.classes(spark.createDataFrame(rows, ITEMS)).selectExpr("class_id", "plain", "CAST(length(plain) AS LONG) AS n")
+    assert titles._candidates(texts, 95, titles.gram_length(95)).count() < 50
+
+
+def test_blocks_meet_once(spark):
+    """Ranges in many small blocks: each pair comes once, and those of one block for all are the same."""
+    chance = random.Random(5)
+    lines = [" ".join(chance.choices(["some", "words", "of", "a", "title"], k=chance.randrange(1, 15))) for _ in range(60)]
+    rows = list(enumerate(lines + [damaged(chance, line) for line in lines * 3]))
+    classes = titles.classes(spark.createDataFrame(rows, ITEMS))
+    texts = classes.selectExpr("class_id", "plain", "CAST(length(plain) AS LONG) AS n")
+    whole, blocks = ([tuple(r) for r in titles._candidates(texts, 90, 2, most).collect()] for most in (10_000, 7))
+    assert len(set(blocks)) == len(blocks) and set(blocks) == set(whole) and {(min(p), max(p)) for p in blocks} >= compared(classes, 90).keys()
