@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from sparkloom.llm.common import forget, shuffle_width, shuffles, written
 
 EDGES = 200_000  # edges for a task
+FEW = 50_000  # edges that one task joins at once: rounds of nearly empty shuffles would take longer
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -59,15 +61,31 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
+def _joined_at_once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of all edges of a task -> (node, root)."""
+    stars = local_stars((a, b) for batch in batches for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    for k in range(0, len(stars), EDGES):
+        x, y = zip(*stars[k : k + EDGES])
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["node", "root"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)`` but the roots themselves; a root is its component's smallest node.
 
     The rounds grow with the logarithm of a component's size; edges that are stars already need
     none.  Each round's edges are a table in the shared folder, so lineage stays short and a lost
-    executor costs one round at most.
+    executor costs one round at most.  ``FEW`` edges at most need no rounds and no shuffle.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    with shuffles(now.sparkSession, now.count(), EDGES):
+    given = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    count = given.count()
+    if count <= FEW:
+        kind = given.schema["a"].dataType.simpleString()
+        roots = written(given.coalesce(1).mapInArrow(_joined_at_once, f"node {kind}, root {kind}"), "roots")
+        forget(given)
+        return roots
+    with shuffles(given.sparkSession, count, EDGES):
+        now = written(given.distinct(), "edges")
+        forget(given)
         for _ in range(most_rounds):
             if _are_stars(now):
                 return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -79,6 +79,18 @@ def test_components_of_a_hub(spark):
     assert len(got) == 10_003 and {bytes(r.root) for r in got} == {b"00000"}
 
 
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    draw = random.Random(8)
+    edges = [(b"%03d" % draw.randrange(300), b"%03d" % draw.randrange(300)) for _ in range(180)] + [(b"400", b"400"), (None, b"401")]
+    df = spark.createDataFrame(edges, "a binary, b binary")
+    with monkeypatch.context() as m:
+        m.setattr(components, "FEW", 0)
+        rounds = sorted((bytes(r.node), bytes(r.root)) for r in components.components(df).collect())
+    monkeypatch.setattr(components, "_large_star", None)
+    assert sorted((bytes(r.node), bytes(r.root)) for r in components.components(df).collect()) == rounds
+    assert components.components(df.where("a IS NULL")).count() == 0 and len(rounds) > 100
+
+
 def test_pairs_far_apart_in_a_large_leaf_are_compared():
     draw = np.random.default_rng(4)
     values = draw.integers(0, 60000, (1000, op4_lsh_forest.SIZE)).astype(np.uint16)
