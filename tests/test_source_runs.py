@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from sparkloom.streaming import health
 
 
@@ -25,3 +27,44 @@ def test_states_do_not_depend_on_batches(spark, tmp_path):
             stream = spark.readStream.schema(health.RUNS).option("recursiveFileLookup", True).parquet(f"{place}/in")
             health.follow(stream, f"{place}/out", f"{place}/checkpoint").awaitTermination()
         assert sorted(tuple(r) for r in spark.read.schema(health.STATES).parquet(f"{place}/out").collect()) == want
+
+
+class Kept:
+    """A value and a map state, with the items that were asked for."""
+
+    def __init__(self):
+        self.value, self.items, self.asked = None, {}, []
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        self.asked.append(key[0])
+        return key in self.items
+
+    def updateValue(self, key, value):
+        self.items[key] = value
+
+
+def test_each_item_is_asked_for_once_a_batch():
+    kept, work = Kept(), health.Health()
+    work.init(kept)
+
+    def batch(*runs):
+        frame = pd.DataFrame([(1, r, False, list(items)) for r, items in runs], columns=["source", "run", "transient", "items"])
+        return [r.n_new for out in work.handleInputRows((1,), iter([frame]), None) for r in out.itertuples()]
+
+    assert batch((1, "ab"), (2, "abc"), (3, "bc")) == [2, 1, 0] and kept.asked == []
+    assert batch((4, "ad"), (5, "ade"), (6, "de")) == [1, 1, 0] and sorted(kept.asked) == ["a", "d", "e"]
