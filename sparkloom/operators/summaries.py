@@ -21,21 +21,27 @@ A null dim joins nothing; a null group is a group; a null value is counted and h
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sparkloom.sources.versions import Store
+from sparkloom.sources.versions import BUCKET, Rewritten, Store
 
 SLOT = 4096
+ROWS = 200_000  # facts in a bucket
+LEAST = 16  # buckets
 TABLES = ("facts", "dims", "held", "counts", "slots")
 
 
-def begin(store: Store, groups: dict[str, str], buckets: int = 16) -> None:
-    """Empty tables of a summary by columns ``groups`` (name: type); nothing where there are some."""
+def begin(store: Store, groups: dict[str, str], buckets: int = LEAST) -> None:
+    """Empty tables of a summary by columns ``groups`` (name: type); nothing where there are some.  A bucket is written by
+    one task, so their number should grow with the facts (``buckets_for``)."""
     if "slots" in store.tables()["tables"]:
         return
     g, names = ", ".join(f"{n} {t}" for n, t in groups.items()), list(groups)
-    empty = lambda schema: store.spark.createDataFrame([], schema)
+    empty = lambda schema: store.empty(StructType.fromDDL(schema))
     store.replace(
         {
             "facts": (empty("id long, dim long, value long"), ["id"]),
@@ -45,25 +51,23 @@ def begin(store: Store, groups: dict[str, str], buckets: int = 16) -> None:
             "slots": (empty(f"{g}, slot long, n long, total long, least long, greatest long"), [*names, "slot"]),
         },
         buckets,
-        by={"held": ["dim"], "counts": [*names, "slot"], "slots": names},
+        by={"held": ["dim"], "counts": [*names, "slot"]},
     )
 
 
-def _one_each(changes: DataFrame, key: str) -> DataFrame:
-    """One row of each key: of several in a batch the greatest, in the order of its columns."""
-    rest = F.struct(*(F.col(c) for c in changes.columns if c != key))
-    return changes.groupBy(key).agg(F.max(rest).alias("__r")).select(key, "__r.*")
+def buckets_for(facts: int) -> int:
+    """Buckets for a number of facts: so many that a bucket has at most some ``ROWS`` of them."""
+    return max(LEAST, -(-facts // ROWS))
 
 
-def _signed(old: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with n, how many more of them there are after the changes; rows that stay as they were cancel out."""
-    added = changes.where(~F.coalesce(F.col("gone"), F.lit(False))).select(*columns, F.lit(1).alias("n"))
-    both = old.select(*columns, F.lit(-1).alias("n")).unionByName(added)
-    return _summed(both, columns).where("n <> 0")
+def _summed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.groupBy(*columns).agg(F.sum("n").cast("long").alias("n")).where("n <> 0")
 
 
-def _summed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.groupBy(*columns).agg(F.sum("n").cast("long").alias("n"))
+def _signed(moved: DataFrame, *columns: str) -> DataFrame:
+    """Rows as they were, with n = -1, and as they are now, with n = 1; ``columns`` stand beside them."""
+    sides = (moved.where(F.col(side).isNotNull()).select(*columns, f"{side}.*", F.lit(n).cast("long").alias("n")) for side, n in (("was", -1), ("now", 1)))
+    return reduce(DataFrame.unionByName, sides).drop("gone")
 
 
 def slot(value: Column) -> Column:
@@ -72,11 +76,16 @@ def slot(value: Column) -> Column:
 
 def absorb(store: Store, number: int, facts: DataFrame, dims: DataFrame) -> None:
     """A batch: facts (id, dim, value, gone) and dims (dim, groups, gone), with rows as they are now; ``gone`` rows are
-    deleted.  Batches are numbered upwards."""
+    deleted.  Of several rows of a key the greatest counts, in the order of its columns.  Batches are numbered upwards.
+
+    A table's rows and its changes go by bucket through one shuffle, where they are put together and from where they are
+    written; no row of an old version is looked up by a join."""
     if store.note("slots").get("batch", -1) >= number:
         return
-    groups = [f["name"] for f in store.tables()["tables"]["dims"]["schema"]["fields"]][1:]
-    facts, dims = _one_each(facts.select("id", "dim", "value", "gone"), "id"), _one_each(dims.select("dim", *groups, "gone"), "dim")
+    tables = store.tables()["tables"]
+    if tables["slots"].get("by") != tables["counts"]["by"]:
+        raise ValueError(f"{store.folder}: its slots lie in other buckets than its counts, as an earlier version made them; begin a new one")
+    groups = [f["name"] for f in tables["dims"]["schema"]["fields"]][1:]
     kept: list[DataFrame] = []
 
     def hold(df: DataFrame) -> DataFrame:
@@ -84,29 +93,45 @@ def absorb(store: Store, number: int, facts: DataFrame, dims: DataFrame) -> None
         return df
 
     def make(version: int) -> dict:
-        def of(table: str, keys: DataFrame) -> DataFrame:
-            return store.of_keys(table, keys, version)
-
-        new_facts = hold(_signed(of("facts", facts.select("id")), facts, ["dim", "value"]))
-        new_dims = hold(_signed(of("dims", dims.select("dim")), dims, ["dim", *groups]))
-        held = hold(_summed(of("held", new_facts.select("dim").distinct()).unionByName(new_facts), ["dim", "value"]))
-        moved = new_dims.select("dim").distinct()
-        as_they_are = _summed(of("held", moved).unionByName(new_facts.join(moved, "dim", "left_semi")), ["dim", "value"])
-        of_facts = new_facts.join(of("dims", new_facts.select("dim").distinct()), "dim").select(*groups, "value", "n")
-        of_dims = as_they_are.join(new_dims.withColumnRenamed("n", "sign"), "dim").select(*groups, "value", (F.col("n") * F.col("sign")).alias("n"))
-        change = hold(_summed(of_facts.unionByName(of_dims), [*groups, "value"]).where("n <> 0").withColumn("slot", slot(F.col("value"))))
-        touched = change.select(*groups, "slot").distinct()
-        counts = hold(_summed(of("counts", touched).unionByName(change), [*groups, "slot", "value"]))
-        there = F.when(F.col("n") > 0, F.col("value"))
-        slots = counts.groupBy(*groups, "slot").agg(
-            F.sum(F.col("n") * F.col("value")).alias("total"), F.min(there).alias("least"), F.max(there).alias("greatest"), F.sum("n").alias("n")
+        def by_bucket(table: str, rows: DataFrame) -> DataFrame:
+            return rows.withColumn(BUCKET, store.bucket(table, version)).repartition(BUCKET)
+
+        def of(table: str, keys: DataFrame) -> tuple[set[str], DataFrame]:
+            touched = store.touched(table, keys, version)
+            return touched, store.of_buckets(table, touched, version)
+
+        def compared(table: str, key: str, columns: list[str], changes: DataFrame) -> tuple[DataFrame, Rewritten]:
+            """The rows that changes make other (key, was, now), and the buckets with all their rows."""
+            touched, old = of(table, changes)
+            given = changes.select(key, *columns, F.coalesce("gone", F.lit(False)).alias("gone"), F.lit(True).alias("__new"))
+            both = old.select("*", F.lit(False).alias("gone"), F.lit(False).alias("__new")).unionByName(given)
+            row, new, now = F.struct(*columns, "gone"), F.col("__new"), F.col("now")
+            pairs = by_bucket(table, both).groupBy(BUCKET, key).agg(F.max(F.when(~new, row)).alias("was"), F.max(F.when(new, row)).alias("now"))
+            pairs = hold(pairs.withColumn("now", F.when(now.isNull(), F.col("was")).when(~now["gone"], now)))
+            rows = pairs.where(now.isNotNull()).select(BUCKET, key, *(now[c].alias(c) for c in columns))
+            return pairs.where(~F.col("was").eqNullSafe(now)).select(key, "was", "now"), Rewritten(rows, touched)
+
+        other_facts, facts_now = compared("facts", "id", ["dim", "value"], facts)
+        other_dims, dims_now = compared("dims", "dim", groups, dims)
+        moved_facts, moved_dims = _signed(other_facts), _signed(other_dims.where(F.col("dim").isNotNull()), "dim").withColumnRenamed("n", "sign")
+        touched, old = of("held", moved_facts)
+        held = hold(_summed(by_bucket("held", old.unionByName(moved_facts)), [BUCKET, "dim", "value"]))
+        others = store.of_buckets("held", store.touched("held", moved_dims, version) - touched, version)
+        as_they_are = held.select(others.columns).unionByName(others)
+        of_facts = moved_facts.join(of("dims", moved_facts)[1], "dim").select(*groups, "value", "n")
+        of_dims = as_they_are.join(moved_dims, "dim").select(*groups, "value", (F.col("n") * F.col("sign")).alias("n"))
+        change = hold(_summed(of_facts.unionByName(of_dims), [*groups, "value"]).withColumn("slot", slot(F.col("value"))))
+        spots, old = of("counts", change)
+        counts = hold(_summed(by_bucket("counts", old.unionByName(change)), [BUCKET, *groups, "slot", "value"]))
+        slots = counts.groupBy(BUCKET, *groups, "slot").agg(
+            F.sum(F.col("n") * F.col("value")).alias("total"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.sum("n").alias("n")
         )
         return {
-            "facts": (facts, "gone"),
-            "dims": (dims, "gone"),
-            "held": (held.withColumn("gone", F.col("n") == 0), "gone"),
-            "counts": (counts.withColumn("gone", F.col("n") == 0), "gone"),
-            "slots": (slots.withColumn("gone", F.col("n") == 0), "gone"),
+            "facts": facts_now,
+            "dims": dims_now,
+            "held": Rewritten(held, touched),
+            "counts": Rewritten(counts, spots),
+            "slots": Rewritten(slots, spots),  # its buckets are those of counts
         }
 
     try:

@@ -122,7 +122,7 @@ def summary_by_differences(t: Tables) -> DataFrame:
     customers, orders that are taken back), a sixth of the customers in another segment; two batches put them right."""
     store, key = versions.Store(t.spark, scratch(t.spark, "summary")), F.col("id")
     kinds = {f.name: f.dataType.simpleString() for f in t.customer.schema}
-    summaries.begin(store, {c: kinds[c] for c in ("c_nationkey", "c_mktsegment")})
+    summaries.begin(store, {c: kinds[c] for c in ("c_nationkey", "c_mktsegment")}, summaries.buckets_for(t.orders.count()))
     stay = F.lit(False).alias("gone")
     right = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("dim"), F.round(F.col("o_totalprice") * 100).cast("long").alias("value"), stay)
     changed = F.pmod(key, F.lit(4)) == 0

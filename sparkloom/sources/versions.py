@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 BUCKETS = 64
 ATTEMPTS = 20
-_BUCKET = "__bucket"
+BUCKET = "__bucket"
 
 
 class Conflict(Exception):
@@ -38,6 +38,13 @@ class Added(NamedTuple):
     rows: DataFrame
 
 
+class Rewritten(NamedTuple):
+    """All rows of some buckets as they are now, with their bucket (``BUCKET``), a bucket's rows in one partition."""
+
+    rows: DataFrame
+    buckets: set[str]
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -107,14 +114,18 @@ class Store:
     def _written(self, df: DataFrame) -> dict[str, str]:
         """The rows, which have a bucket, as new files: bucket -> folder."""
         name = f"data/{uuid.uuid4().hex}"
-        df.write.partitionBy(_BUCKET).parquet(f"{self.folder}/{name}")
+        df.write.partitionBy(BUCKET).parquet(f"{self.folder}/{name}")
         found = (s.getPath().getName() for s in self._fs.listStatus(self._path(name)))
-        return {n.partition("=")[2]: f"{name}/{n}" for n in found if n.startswith(f"{_BUCKET}=")}
+        return {n.partition("=")[2]: f"{name}/{n}" for n in found if n.startswith(f"{BUCKET}=")}
 
     def _rows(self, table: dict, buckets: set[str] | None = None) -> DataFrame:
         paths = [f"{self.folder}/{p}" for b, at in table["files"].items() if buckets is None or b in buckets for p in _places(at)]
         schema = StructType.fromJson(table["schema"])
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.empty(schema)
+
+    def empty(self, schema: StructType) -> DataFrame:
+        """No rows, without a Python worker, so that the optimizer sees that there are none."""
+        return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema)).where("false")
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """A table as one version (the last) has it; later versions do not change what is read."""
@@ -122,11 +133,21 @@ class Store:
 
     def of_keys(self, name: str, keys: DataFrame, version: int | None = None) -> DataFrame:
         """The rows of some keys (a frame with the columns that buckets go by); other keys' buckets are not read."""
+        rows = self.of_buckets(name, self.touched(name, keys, version), version)
+        return rows.join(keys, _same(rows, keys, _by(self.tables(version)["tables"][name])), "left_semi")
+
+    def bucket(self, name: str, version: int | None = None) -> Column:
+        """The bucket of a table's row."""
         table = self.tables(version)["tables"][name]
-        by = _by(table)
-        touched = {str(r[0]) for r in keys.select(_bucket(by, table["buckets"])).distinct().collect()}  # at most the number of buckets
-        rows = self._rows(table, touched)
-        return rows.join(keys, _same(rows, keys, by), "left_semi")
+        return _bucket(_by(table), table["buckets"])
+
+    def touched(self, name: str, keys: DataFrame, version: int | None = None) -> set[str]:
+        """The buckets of a table that some keys (a frame with the columns that buckets go by) fall into."""
+        return {str(r[0]) for r in keys.select(self.bucket(name, version)).distinct().collect()}  # at most the number of buckets
+
+    def of_buckets(self, name: str, buckets: set[str], version: int | None = None) -> DataFrame:
+        """The rows of some buckets; the others are not read."""
+        return self._rows(self.tables(version)["tables"][name], buckets)
 
     def note(self, name: str) -> dict:
         return self.tables()["tables"][name].get("note", {})
@@ -137,7 +158,7 @@ class Store:
         new = {}
         for name, (df, keys) in frames.items():
             within = (by or {}).get(name, keys)
-            files = self._written(df.withColumn(_BUCKET, _bucket(within, buckets)).repartition(_BUCKET))
+            files = self._written(df.withColumn(BUCKET, _bucket(within, buckets)).repartition(BUCKET))
             new[name] = {"schema": df.schema.jsonValue(), "keys": keys, "by": within, "buckets": buckets, "files": files}
         return self._again(lambda tables, version: tables | new)
 
@@ -148,13 +169,14 @@ class Store:
 
         return self.amend(lambda version: {name: (changes, deleted)}, {name: note} if note else None)
 
-    def amend(self, make: Callable[[int], dict[str, tuple[DataFrame, str | None] | Added]], notes: dict[str, Callable[[dict], dict]] | None = None) -> int:
+    def amend(self, make: Callable[[int], dict[str, tuple[DataFrame, str | None] | Added | Rewritten]], notes: dict[str, Callable[[dict], dict]] | None = None) -> int:
         """Changes of several tables in one version, each as in ``upsert``.  ``make`` gives them (table: its changes and the
-        name of their ``deleted``, or rows that are ``Added``) for the version that they stand on, and is asked again where
-        another writer was faster."""
+        name of their ``deleted``, rows that are ``Added``, or buckets that are ``Rewritten``) for the version that they
+        stand on, and is asked again where another writer was faster."""
 
         def change(tables: dict, version: int) -> dict:
-            new = {name: tables[name] | (self._longer if isinstance(given, Added) else self._merged)(tables[name], *given) for name, given in make(version).items()}
+            how = {Added: self._longer, Rewritten: self._rewritten}
+            new = {name: tables[name] | how.get(type(given), self._merged)(tables[name], *given) for name, given in make(version).items()}
             for name, note in (notes or {}).items():
                 table = new.get(name, tables[name])
                 new[name] = table | {"note": note(table.get("note", {}))}
@@ -172,16 +194,21 @@ class Store:
         stay = old.join(changes, _same(old, changes, keys), "left_anti")
         fresh = changes.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else changes
         merged = stay.unionByName(fresh.select(*(F.col(f"`{c}`") for c in old.columns)))
-        files = self._written(merged.withColumn(_BUCKET, bucket).repartition(_BUCKET))
+        files = self._written(merged.withColumn(BUCKET, bucket).repartition(BUCKET))
         return {"files": {b: p for b, p in table["files"].items() if b not in touched} | files}
 
     def _longer(self, table: dict, rows: DataFrame) -> dict:
         """The files of a table with new ones beside them; what is there is not read."""
         columns = StructType.fromJson(table["schema"]).names
-        placed = rows.select(*(F.col(f"`{c}`") for c in columns)).withColumn(_BUCKET, _bucket(_by(table), table["buckets"]))
-        files = self._written(placed.repartition(_BUCKET))
+        placed = rows.select(*(F.col(f"`{c}`") for c in columns)).withColumn(BUCKET, _bucket(_by(table), table["buckets"]))
+        files = self._written(placed.repartition(BUCKET))
         return {"files": table["files"] | {b: [*_places(table["files"].get(b, [])), p] for b, p in files.items()}}
 
+    def _rewritten(self, table: dict, rows: DataFrame, buckets: set[str]) -> dict:
+        """New files for some buckets; their old ones are not read."""
+        files = self._written(rows) if buckets else {}
+        return {"files": {b: p for b, p in table["files"].items() if b not in buckets} | files}
+
     def compact(self, name: str, most: int = 8) -> int:
         """One folder for each bucket that has more than ``most``; no row changes.  How many buckets were rewritten."""
         done: list[str] = []
@@ -191,8 +218,8 @@ class Store:
             done[:] = [b for b, at in table["files"].items() if len(_places(at)) > most]
             if not done:
                 return tables
-            rows = self._rows(table, set(done)).withColumn(_BUCKET, _bucket(_by(table), table["buckets"]))
-            return tables | {name: table | {"files": table["files"] | self._written(rows.repartition(_BUCKET))}}
+            rows = self._rows(table, set(done)).withColumn(BUCKET, _bucket(_by(table), table["buckets"]))
+            return tables | {name: table | {"files": table["files"] | self._written(rows.repartition(BUCKET))}}
 
         if any(len(_places(at)) > most for at in self.tables()["tables"][name]["files"].values()):
             self._again(change)

@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import summaries
+from sparkloom.plans import streams
 from sparkloom.sources.versions import Store
+from sparkloom.tables import Tables
 
 FACTS, DIMS = "id long, dim long, value long, gone boolean", "dim long, g string, gone boolean"
 
@@ -89,3 +92,37 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     for name in summaries.TABLES:
         files = {b: p for b, p in after[name]["files"].items() if before[name]["files"].get(b) != p}
         assert len(files) <= 1, name
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    store, seen = Store(spark, str(tmp_path / "s")), spark.sparkContext.accumulator(0)
+    summaries.begin(store, {"g": "string"}, buckets=2)
+
+    @F.udf("long")
+    def value(n):
+        seen.add(1)
+        return n
+
+    facts = spark.range(100).select("id", F.lit(1).cast("long").alias("dim"), value("id").alias("value"), F.lit(False).alias("gone"))
+    summaries.absorb(store, 0, facts, spark.createDataFrame([(1, "a", False)], DIMS))
+    assert kept(store) == {"a": (100, 4950, 0, 99)} and seen.value == 100
+
+
+def test_slots_of_one_group_lie_in_many_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    summaries.begin(store, {"g": "string"}, buckets=4)
+    facts = spark.createDataFrame([(n, 1, n * summaries.SLOT, False) for n in range(40)], FACTS)
+    summaries.absorb(store, 0, facts, spark.createDataFrame([(1, "a", False)], DIMS))
+    assert len(store.tables()["tables"]["slots"]["files"]) == 4
+    summaries.absorb(store, 1, facts.where("id < 30").withColumn("gone", F.lit(True)), spark.createDataFrame([], DIMS))
+    assert kept(store) == {"a": (10, sum(range(30, 40)) * summaries.SLOT, 30 * summaries.SLOT, 39 * summaries.SLOT)}
+
+
+def test_buckets_grow_with_the_facts(spark, tmp_path, monkeypatch):
+    stores = []
+    monkeypatch.setattr(summaries, "absorb", lambda store, *batch: stores.append(store))
+    monkeypatch.setattr(summaries, "ROWS", 4)
+    spark.range(100).selectExpr("id o_orderkey", "id o_custkey", "1.5D o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(5).selectExpr("id c_custkey", "1 c_nationkey", "'A' c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    streams.summary_by_differences(Tables(spark, str(tmp_path)))
+    assert {t["buckets"] for t in stores[0].tables()["tables"].values()} == {25}
