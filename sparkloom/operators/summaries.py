@@ -8,7 +8,7 @@ deletes of both tables becomes signed rows, which go through the join and the gr
 
 Counts and sums are added.  A least value that is taken away can't be found by adding, so the values themselves are kept
 with their counts, in slots of ``SLOT`` neighbouring values: a slot has at most that many rows, however many facts there
-are, and a batch counts again the slots that it touches, and no others.  Values are whole numbers (cents, say), so that
+are, and a batch counts again the slots of the buckets that it touches, and no others.  Values are whole numbers (cents, say), so that
 sums come out as if they had been computed anew, in any order.
 
 Five tables of one versioned store change in one version, together with the number of the batch: ``facts``, ``dims``,
