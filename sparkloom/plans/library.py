@@ -299,13 +299,13 @@ def long_vocabulary(t: Tables) -> DataFrame:
 @query(f"""WITH b AS (SELECT {_WORDS.format("text")} AS w FROM benchmark UNION ALL SELECT {_WORDS.format("substr(text, 1, 200)")} FROM documents WHERE doc_id % 13 = 0),
 v AS (SELECT DISTINCT unnest({_RUNS.format("w")}) AS term FROM b),
 terms AS (SELECT 't' || (length(term) * 7) % 22 AS topic, term, length(term) % 2 = 0 AS strong FROM v WHERE ('0x' || substr(md5(term), 1, 4))::BIGINT % 3 = 0),
-raw AS (SELECT doc_id AS idx, string_split(text, chr(10))[1] AS title, text FROM documents), s AS (SELECT idx, {_WORDS.format("title")} AS tw, {_WORDS.format("substr(text, length(title) + 2, 4000)")} AS aw FROM raw),
+raw AS (SELECT doc_id AS idx, string_split(text, chr(10))[1] AS title, text FROM documents), s AS (SELECT idx, {_WORDS.format("title")} AS tw, {_WORDS.format("substr(text, length(title) + 2)")} AS aw FROM raw),
 hits AS (SELECT idx, unnest({_RUNS.format("tw")}) AS term, 1.5::DOUBLE AS f FROM s UNION ALL SELECT idx, unnest({_RUNS.format("aw")}), 1.0 FROM s),
 best AS (SELECT idx, topic, term, strong, max(f) AS f FROM hits JOIN terms USING (term) GROUP BY ALL)
 SELECT idx, topic, round(sum(CASE WHEN strong THEN f ELSE 0.4 * f END), 3)::DOUBLE AS score, round(coalesce(sum(f) FILTER (WHERE strong), 0), 3)::DOUBLE AS strong FROM best GROUP BY 1, 2""")
 def topic_scores_long(t: Tables) -> DataFrame:
-    """Topic scores by terms of one to six words, those within others included."""
-    return c.topic_scores(items(t), long_vocabulary(t), [])
+    """Topic scores of whole texts by terms of one to six words, those within others included."""
+    return c.topic_scores(items(t, None), long_vocabulary(t), [])
 
 
 # ------------------------------------------------------------------ the catalogue of tables
